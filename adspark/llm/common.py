@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
 
 
