@@ -79,3 +79,41 @@ def row_key(df: DataFrame) -> DataFrame:
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+BLOOM_BITS = 1 << 25
+
+
+def bloom(keys: DataFrame, *cols: str):
+    """A fixed 4 MB Bloom filter of key columns, as a broadcast of 64-bit words.
+
+    It spares shuffling rows that cannot join. When it fills up it spares
+    less; results do not depend on it.
+    """
+    import numpy as np
+
+    bits = keys.select(F.explode(F.array(*_bloom_places(cols))).alias("p"))
+    got = bits.groupBy((F.col("p") / 64).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("w")).toArrow()
+    words = np.zeros(BLOOM_BITS // 64, np.uint64)
+    words[got.column("i").to_numpy()] = got.column("w").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def _bloom_places(cols) -> list:
+    return [F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(BLOOM_BITS)) for seed in (1, 2)]
+
+
+def with_bloom_places(df: DataFrame, *cols: str) -> DataFrame:
+    a, b = _bloom_places(cols)
+    return df.withColumns({"_p1": a, "_p2": b})
+
+
+def bloom_hits(words, batch):
+    """Which rows of an Arrow batch with ``_p1`` and ``_p2`` may be among the keys."""
+    import numpy as np
+
+    hit = np.ones(batch.num_rows, bool)
+    for c in ("_p1", "_p2"):
+        p = batch.column(c).to_numpy()
+        hit &= (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
+    return hit
