@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore
+from . import op1_ppm, op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore
 
 
 def queries() -> dict:
     out = {}
-    for module in (op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore):
+    for module in (op1_ppm, op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore):
         out |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2].isdigit() and callable(f)}
     return out
 
