@@ -6,7 +6,9 @@ band similarity bounds the symmetric difference by some k. The feature domain
 is dealt over about (k + 1) / 2 groups of three parts; two such sets differ in
 at most one feature in some group, so two of its three parts agree. A set's
 signatures are, for its band and the next, each group's three pairs of parts.
-Two sets similar enough share one signature at least, whatever the data.
+Two sets similar enough share one signature at least, whatever the data, and
+there differ in one feature at most in the group's third part; a 16-bit sketch
+of that part travels with the signature and parts sets that do not.
 
 Equal sets are one class, by a 128-bit hash of the set, before anything else.
 Signatures travel packed; the task of a bucket finds the groups of classes
@@ -36,6 +38,7 @@ from .graph import components
 
 U64 = np.uint64
 FLUSH = 1 << 21
+LOW = U64(0xFFFF)
 
 
 # -- sets ----------------------------------------------------------------------
@@ -123,7 +126,12 @@ class Bands:
 
 
 def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets and which set each belongs to."""
+    """All signatures of the sets and which set each belongs to.
+
+    The low 16 bits are no part of a signature: they are the odd sketch of the
+    group's third part, which differs in one feature at most, so in one bit,
+    between sets that the group is to bring together.
+    """
     owner = np.repeat(np.arange(len(n)), n)
     band = np.searchsorted(bands.upto(int(n.max(initial=1))), n)
     out, who = [], []
@@ -136,12 +144,17 @@ def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarra
         group = (((h >> U64(32)) * groups[owner].astype(U64)) >> U64(32)).astype(np.int64)
         cell = (base[owner] + group) * 3 + ((h & U64(0xFFFFFFFF)) % U64(3)).astype(np.int64)
         sums = np.zeros(int(groups.sum()) * 3, U64)
-        np.add.at(sums, cell, mix(h + U64(0x1234567)))
+        value = mix(h + U64(0x1234567))
+        np.add.at(sums, cell, value)
+        odd = np.zeros(len(sums), U64)
+        np.bitwise_xor.at(odd, cell, U64(1) << (value & U64(15)))
+        odd = odd.reshape(-1, 3)
         part = mix(sums).reshape(-1, 3)
         mine = np.repeat(np.arange(len(n)), groups)
         tag = mix(seed[mine] + (np.arange(len(mine)) - base[mine]).astype(U64))
         for i, j in ((0, 1), (0, 2), (1, 2)):
-            out.append(mix(part[:, i] + part[:, j] * U64(0x9FB21C651E98DF25) + tag + U64(3 * i + j)))
+            s = mix(part[:, i] + part[:, j] * U64(0x9FB21C651E98DF25) + tag + U64(3 * i + j))
+            out.append((s & LOW) ^ s | odd[:, 3 - i - j])
             who.append(mine)
     return np.concatenate(out), np.concatenate(who)
 
@@ -178,7 +191,7 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
 
         def flush():
             s, w = np.concatenate(sig), np.concatenate(who)
-            bucket = (s % U64(buckets)).astype(np.int64)
+            bucket = ((s >> U64(16)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             s, w, bucket = s[order], w[order], bucket[order]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -227,18 +240,7 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
         sig = np.concatenate([s for s, _, _ in blobs])
         member = inverse[np.concatenate([a.astype(np.int64) + base[i] for i, (_, a, _) in enumerate(blobs)])]
         del blobs, table
-        order = np.argsort(sig, kind="stable")
-        s = sig[order]
-        shared = np.zeros(len(s), bool)
-        same = s[1:] == s[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        s, m = s[shared], member[order][shared]
-        order = np.lexsort((m, s))
-        s, m = s[order], m[order]
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != s[:-1]) | (m[1:] != m[:-1])
-        s, m = s[keep], m[keep]
+        s, m = _shared(sig >> U64(16), member, sig & LOW)
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(s)))
         # groups of one class go; of groups with the same members one stays
@@ -259,6 +261,51 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
     return materialize(found.withColumn("piece", F.xxhash64("bucket", "sizes", "members", "classes")), "groups")
 
 
+def _distinct(s: np.ndarray, *more: np.ndarray):
+    """Entries in order of key, then of what follows, each once."""
+    order = np.lexsort((*more[::-1], s))
+    cols = [x[order] for x in (s, *more)]
+    keep = np.zeros(len(s), bool)
+    keep[:1] = True
+    for x in cols:
+        keep[1:] |= x[1:] != x[:-1]
+    return [x[keep] for x in cols]
+
+
+def _several(s: np.ndarray) -> np.ndarray:
+    """Which entries of sorted keys share theirs with another."""
+    same = s[1:] == s[:-1]
+    out = np.zeros(len(s), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def _shared(key: np.ndarray, member: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, member) in order: members that share a key and whose sketches are a bit apart at most.
+
+    Where a key's sketches are not all equal, its members meet once for each
+    bit, under their sketches without that bit.
+    """
+    order = np.argsort(key, kind="stable")
+    live = order[_several(key[order])]
+    s, m, v = _distinct(key[live], member[live], sketch[live])
+    if not len(s):
+        return s, m
+    begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    size = np.diff(np.append(begin, len(s)))
+    mixed = np.repeat(np.minimum.reduceat(v, begin) != np.maximum.reduceat(v, begin), size)
+    keys, members = [s[~mixed]], [m[~mixed]]
+    s, m, v = s[mixed], m[mixed], v[mixed]
+    for bit in range(16):
+        k = mix(s + mix((v & ~(U64(1) << U64(bit))) * U64(16) + U64(bit)))
+        order = np.argsort(k, kind="stable")
+        some = order[_several(k[order])]
+        keys.append(k[some])
+        members.append(m[some])
+    return tuple(_distinct(np.concatenate(keys), np.concatenate(members)))
+
+
 def _unpack(row_sizes: bytes, row_members: bytes, row_classes: bytes):
     size = np.frombuffer(row_sizes, np.uint32).astype(np.int64)
     member = np.frombuffer(row_members, np.uint32).astype(np.int64)
