@@ -43,12 +43,12 @@ ORDER = 7
 #: A byte that no UTF-8 text holds ends a text and stands before it.
 END = 0xFF
 SYMBOLS = 256
-NODES = 1 << 22
+NODES = 1 << 21
 #: Rarer n-grams tell less about a context than its suffix does.
 FLOOR = 4
 HEAVY = 1 << 18
 END_WORD = U64(0x1D0E5EED)
-HOLD = 3 << 20
+HOLD = 2 << 20
 
 
 # -- the two token streams -----------------------------------------------------
@@ -92,7 +92,8 @@ class Model:
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
         self.order = len(grams) - 1
-        self.codes, self.count, self.owner = [], [], []
+        self.codes, self.count = [], []
+        f4 = np.float32
         self.ctx, self.own_d, self.own_esc, self.sub_d, self.sub_esc, self.suffix = [], [], [], [], [], []
         size: list[np.ndarray] = []
         total: list[np.ndarray] = []
@@ -109,11 +110,10 @@ class Model:
                 seen = np.where(have, grams[k - 1][1][at], t) if len(ctx) else t
             lost = np.maximum(seen - t, 0)
             self.codes.append(codes)
-            self.count.append(np.log10(n - 0.5))
-            self.owner.append(owner)
+            self.count.append(np.log10(n - 0.5).astype(f4))
             self.ctx.append(ctx)
-            self.own_d.append(log(t + lost))
-            self.own_esc.append(log(q / 2 + lost) - log(t + lost))
+            self.own_d.append(log(t + lost).astype(f4))
+            self.own_esc.append((log(q / 2 + lost) - log(t + lost)).astype(f4))
             if k:
                 # a context's suffix, less the symbols that the context itself offers
                 suffix, _ = lookup(self.ctx[k - 1], ctx & U64((1 << (8 * (k - 1))) - 1))
@@ -122,9 +122,9 @@ class Model:
                 left = size[k - 1][suffix] - q
                 d = total[k - 1][suffix] - x + other[k - 1][suffix]
                 e = left / 2 + other[k - 1][suffix]
-                self.suffix.append(suffix)
-                self.sub_d.append(log(d))
-                self.sub_esc.append(np.where(e > 0, log(e) - log(d), 0.0))
+                self.suffix.append(suffix.astype(np.int32))
+                self.sub_d.append(log(d).astype(f4))
+                self.sub_esc.append(np.where(e > 0, log(e) - log(d), 0.0).astype(f4))
             else:
                 self.suffix.append(None)
                 self.sub_d.append(None)
@@ -133,7 +133,7 @@ class Model:
             total.append(t)
             other.append(lost)
         self.left = SYMBOLS - (int(size[0][0]) if len(size[0]) else 0)
-        self.best = self.count[-1] - self.own_d[-1][self.owner[-1]] if len(self.codes[-1]) else self.count[-1]
+        self.best = self.count[-1] - self.own_d[-1][owner] if len(owner) else self.count[-1]
         self.table = None
 
     def __getstate__(self):
@@ -177,8 +177,12 @@ class Model:
             live, slot = live[more], slot[more]
         return out
 
-    def log10(self, code: np.ndarray) -> np.ndarray:
+    def log10(self, code: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         """log10 probability of each position's symbol in its context."""
+        parts = [self._log10(code[i : i + block]) for i in range(0, len(code), block)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _log10(self, code: np.ndarray) -> np.ndarray:
         out = np.zeros(len(code))
         at = self._longest(code)
         hit = at >= 0
