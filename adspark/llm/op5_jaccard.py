@@ -77,9 +77,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def odd_sketch(s: np.ndarray) -> bytes:
-    """One bit per feature, flipped: bits are a power of two, half the features or more."""
+    """One bit per feature, flipped: bits are a power of two, as many as features or more."""
     bits = 64
-    while 2 * bits < len(s):
+    while bits < len(s):
         bits *= 2
     at = (mix(s ^ U64(0xA5A5A5A5A5A5A5A5)) % U64(bits)).astype(np.int64)
     odd = np.bincount(at, minlength=bits) & 1
@@ -318,17 +318,34 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """Each group's members against its least class."""
+    """A forest over each bucket's groups, larger groups first: members against their group's least class.
+
+    These links mostly hold and settle most components; what they miss is the
+    second round's, so it does not matter which are chosen.
+    """
 
     def run(batches):
         for t in batches:
             for s, m, c in zip(*(t.column(x).to_pylist() for x in ("sizes", "members", "classes"))):
                 size, member, table, begin = _unpack(s, m, c)
-                hub = np.repeat(member[begin], size)
-                pair = np.unique(hub[hub != member] * len(table) + member[hub != member])
-                yield _pair_batch(table[pair // len(table)], table[pair % len(table)])
-
-    return groups.select("sizes", "members", "classes").mapInArrow(run, "a binary, b binary").distinct()
+                up = list(range(len(table)))
+                flat_members, a, b = member.tolist(), [], []
+                for g in np.argsort(-size, kind="stable").tolist():
+                    own = flat_members[begin[g] : begin[g] + size[g]]
+                    hub = root = own[0]
+                    while up[root] != root:
+                        root = up[root]
+                    for x in own:
+                        r = x
+                        while up[r] != r:
+                            up[r] = r = up[up[r]]
+                        if r != root:
+                            up[r] = root
+                            a.append(hub)
+                            b.append(x)
+                yield _pair_batch(table[a], table[b])
+
+    return groups.select("sizes", "members", "classes").mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rest(groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
@@ -349,8 +366,8 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
                 info = [about[x.tobytes()] for x in table]
                 _, label = np.unique([x[0] for x in info], return_inverse=True)
                 n = np.array([x[1] for x in info], np.int64)
-                least = min(len(x[2]) for x in info) // 8
-                sketch = np.concatenate([fold(np.frombuffer(x[2], U64)[None], least) for x in info])
+                words = np.array([len(x[2]) // 8 for x in info])
+                sketches = [np.frombuffer(x[2], U64)[None] for x in info]
                 mixed = np.flatnonzero(np.minimum.reduceat(label[member], begin) != np.maximum.reduceat(label[member], begin))
                 got = [np.zeros(0, np.int64)]
                 for g in mixed:
@@ -358,13 +375,17 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
                     lab = label[own]
                     # the rows of the largest component meet the others only as the others' partners
                     common = np.bincount(lab).argmax()
+                    # a group's sets are of like sizes, so are their sketches
+                    least = int(words[own].min())
+                    sketch = np.concatenate([fold(sketches[x], least) for x in own.tolist()])
                     few = np.flatnonzero(lab != common)
                     for i in few:
                         other = np.flatnonzero((lab != lab[i]) & ((lab == common) | (np.arange(len(own)) > i)))
                         x, y = own[i], own[other]
                         low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                        y = y[low * den >= high * num]
-                        differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+                        fit = low * den >= high * num
+                        other, y = other[fit], y[fit]
+                        differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
                         y = y[differ * (den + num) <= (n[x] + n[y]) * (den - num)]
                         got.append(np.minimum(x, y) * len(table) + np.maximum(x, y))
                 pair = np.unique(np.concatenate(got))
