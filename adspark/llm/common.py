@@ -117,3 +117,53 @@ def bloom_hits(words, batch):
         p = batch.column(c).to_numpy()
         hit &= (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0
     return hit
+
+
+def lean(run):
+    """``run`` (over batches, groups or tables), giving freed memory back to the system when it ends.
+
+    Python workers live on between tasks; what their allocators keep would
+    count against the executor during stages that need none of it.
+    """
+    import functools
+    import inspect
+
+    def trim() -> None:
+        import contextlib
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def batches(*args):
+            try:
+                yield from run(*args)
+            finally:
+                trim()
+
+        return batches
+
+    # Spark reads the number of arguments off the function
+    if len(inspect.signature(run).parameters) == 1:
+
+        def table(a):
+            try:
+                return run(a)
+            finally:
+                trim()
+
+    else:
+
+        def table(a, b):
+            try:
+                return run(a, b)
+            finally:
+                trim()
+
+    return table

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, counted, flat, hash_spans, lookup, mix, runs_of_words, spaced, uniques
-from .common import bound_batches, buckets_for, crc_mod, materialize
+from .common import bound_batches, buckets_for, crc_mod, lean, materialize
 
 U64 = np.uint64
-ORDER = 7
+ORDER = 6
 #: A byte that no UTF-8 text holds ends a text and stands before it.
 END = 0xFF
 SYMBOLS = 256
@@ -48,7 +48,7 @@ NODES = 1 << 21
 FLOOR = 4
 HEAVY = 1 << 18
 END_WORD = U64(0x1D0E5EED)
-HOLD = 2 << 20
+HOLD = 3 << 20
 
 
 # -- the two token streams -----------------------------------------------------
@@ -134,47 +134,32 @@ class Model:
             other.append(lost)
         self.left = SYMBOLS - (int(size[0][0]) if len(size[0]) else 0)
         self.best = self.count[-1] - self.own_d[-1][owner] if len(owner) else self.count[-1]
-        self.table = None
+        self.tables: dict = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"table": None}
-
-    def _index(self):
-        """An open-addressed table of the longest n-grams."""
-        codes = self.codes[-1]
-        bits = max(4, int(2 * len(codes)).bit_length())
-        table = np.full(1 << bits, -1, np.int32)
-        slot = (mix(codes) >> U64(64 - bits)).astype(np.int64)
-        left = np.arange(len(codes))
-        while len(left):
-            free = left[table[slot[left]] < 0]
-            table[slot[free]] = free
-            left = left[table[slot[left]] != left]
-            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
-        self.table = (table, bits)
-
-    def _longest(self, code: np.ndarray) -> np.ndarray:
-        """The place of each code among the longest n-grams, or -1."""
-        if self.table is None:
-            self._index()
-        table, bits = self.table
-        known = self.codes[-1]
-        out = np.full(len(code), -1, np.int64)
-        if not len(known):
+        return self.__dict__ | {"tables": {}}
+
+    def _find(self, what: str, k: int, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among an order's n-grams or contexts, or -1: an open-addressed table."""
+        known = (self.codes if what == "codes" else self.ctx)[k]
+        out = np.full(len(keys), -1, np.int32)
+        if not len(known) or not len(keys):
             return out
-        slot = (mix(code) >> U64(64 - bits)).astype(np.int64)
-        found = table[slot]
-        hit = (found >= 0) & (known[found] == code)
-        out[hit] = found[hit]
-        live = np.flatnonzero(~hit & (found >= 0))
-        slot = slot[live]
-        while len(live):
-            slot = (slot + 1) & ((1 << bits) - 1)
+        if (what, k) not in self.tables:
+            self.tables[what, k] = _open_table(known)
+        table, bits = self.tables[what, k]
+        live, slot = None, (mix(keys) >> U64(64 - bits)).astype(np.int32)
+        while live is None or len(live):
             found = table[slot]
-            hit = (found >= 0) & (known[found] == code[live])
-            out[live[hit]] = found[hit]
-            more = ~hit & (found >= 0)
-            live, slot = live[more], slot[more]
+            hit = (found >= 0) & (known[found] == (keys if live is None else keys[live]))
+            more = np.flatnonzero(~hit & (found >= 0))
+            if live is None:
+                np.copyto(out, found, where=hit)
+                live = more
+            else:
+                out[live[hit]] = found[hit]
+                live = live[more]
+            slot = (slot[more] + 1) & np.int32((1 << bits) - 1)
         return out
 
     def log10(self, code: np.ndarray, block: int = 1 << 18) -> np.ndarray:
@@ -184,45 +169,46 @@ class Model:
 
     def _log10(self, code: np.ndarray) -> np.ndarray:
         out = np.zeros(len(code))
-        at = self._longest(code)
+        at = self._find("codes", self.order, code)
         hit = at >= 0
         out[hit] = self.best[at[hit]]
-        live = np.flatnonzero(~hit)
-        code = code[live]
-        sum_ = np.zeros(len(live))
-        child = np.full(len(live), -1)
-        open_ = np.ones(len(live), bool)
+        i = np.flatnonzero(~hit)  # positions whose symbol has not been found
+        above = np.full(len(i), -1, np.int32)  # their known context one order up, or -1
         for k in range(self.order, -1, -1):
-            i = np.flatnonzero(open_)
             if not len(i):
                 break
             c = code[i] & U64((1 << (8 * (k + 1))) - 1)
-            at, have = lookup(self.codes[k], c) if k < self.order else (np.zeros(len(i), np.int64), np.zeros(len(i), bool))
-            from_above = child[i] >= 0
-            up = np.maximum(child[i], 0)
-            # the context here: the child's suffix, or looked up
-            ctx, known = lookup(self.ctx[k], c >> U64(8))
-            if k < self.order and from_above.any():
-                ctx = np.where(from_above, self.suffix[k + 1][up], ctx)
-                known |= from_above
-                d = np.where(from_above, self.sub_d[k + 1][up], self.own_d[k][ctx] if len(self.ctx[k]) else 0)
-                e = np.where(from_above, self.sub_esc[k + 1][up], self.own_esc[k][ctx] if len(self.ctx[k]) else 0)
-            elif len(self.ctx[k]):
-                d, e = self.own_d[k][ctx], self.own_esc[k][ctx]
-            else:
-                d = e = np.zeros(len(i))
-            if have.any():
-                sum_[i[have]] += self.count[k][at[have]] - d[have]
-            miss = ~have & known
-            sum_[i[miss]] += e[miss]
-            child[i] = np.where(known, ctx, -1)
-            open_[i[have]] = False
-        rest = np.flatnonzero(open_)
-        sum_[rest] -= np.log10(max(self.left, 1))
-        out[live] = sum_
+            at = self._find("codes", k, c) if k < self.order else np.full(len(i), -1, np.int32)
+            ctx = np.empty(len(i), np.int32)
+            up = above >= 0
+            if up.any():
+                ctx[up] = self.suffix[k + 1][above[up]]
+            ctx[~up] = self._find("ctx", k, c[~up] >> U64(8))
+            known, have = ctx >= 0, at >= 0
+            for rows, own, sub, sign in ((have, self.own_d, self.sub_d, -1), (known & ~have, self.own_esc, self.sub_esc, 1)):
+                first, later = rows & ~up, rows & up
+                out[i[first]] += sign * own[k][ctx[first]]
+                if later.any():
+                    out[i[later]] += sign * sub[k + 1][above[later]]
+            out[i[have]] += self.count[k][at[have]]
+            i, above = i[~have], ctx[~have]
+        out[i] -= np.log10(max(self.left, 1))
         return out
 
 
+def _open_table(known: np.ndarray) -> tuple[np.ndarray, int]:
+    bits = max(4, int(2 * len(known)).bit_length())
+    table = np.full(1 << bits, -1, np.int32)
+    slot = (mix(known) >> U64(64 - bits)).astype(np.int32)
+    left = np.arange(len(known), dtype=np.int32)
+    while len(left):
+        free = left[table[slot[left]] < 0]
+        table[slot[free]] = free
+        left = left[table[slot[left]] != left]
+        slot[left] = (slot[left] + 1) & np.int32((1 << bits) - 1)
+    return table, bits
+
+
 class AdaptivePPM:
     """A context trie that learns a text while it codes it."""
 
@@ -262,25 +248,47 @@ class AdaptivePPM:
 
 
 class Tally:
-    """Counts of 64-bit keys, merged when many parts are held."""
+    """Counts of 64-bit keys. Parts are merged as they come; a task that still holds more than HOLD hands them on."""
 
     def __init__(self):
         self.keys, self.n, self.held = [], [], 0
 
-    def add(self, keys: np.ndarray):
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether it is time to hand on."""
         k, n = uniques(keys)
         self.keys.append(k)
         self.n.append(n)
         self.held += len(k)
+        if self.held > HOLD:
+            k, n = self.take()
+            self.keys, self.n, self.held = [k], [n], len(k)
+        return self.held > HOLD * 3 // 4
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.zeros(0, U64), np.zeros(0, np.int64)
-        out = counted(np.concatenate(self.keys), np.concatenate(self.n))
+        out = counted(np.concatenate(self.keys), np.concatenate(self.n)) if len(self.keys) > 1 else (self.keys[0], self.n[0])
         self.__init__()
         return out
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Ascending words as differences, byte by byte: mostly zeros, which the shuffle's codec shrinks."""
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
+def small_planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_small_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 WORDS, GRAMS = 0, 1
 
 
@@ -304,7 +312,7 @@ def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
                 edge = np.searchsorted(b[at], np.arange(buckets + 1, dtype=np.uint64))
                 for j in np.flatnonzero(np.diff(edge)):
                     own = at[edge[j] : edge[j + 1]]
-                    rows.append((kind, int(j), keys[own].tobytes(), np.minimum(n[own], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+                    rows.append((kind, int(j), planes(keys[own]), small_planes(np.minimum(n[own], 0xFFFFFFFF).astype(np.uint32))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))],
                 names=["kind", "bucket", "keys", "counts"],
@@ -314,24 +322,24 @@ def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
             data, off = flat(b.column("text"))
             docs = len(off) - 1
             w, _ = word_hashes(data, off)
-            tallies[WORDS].add(np.concatenate((w, np.full(docs, END_WORD))))
-            tallies[GRAMS].add(gram_codes(data, off, order)[0])
-            if tallies[0].held + tallies[1].held > HOLD:
+            full = tallies[WORDS].add(np.concatenate((w, np.full(docs, END_WORD))))
+            full |= tallies[GRAMS].add(gram_codes(data, off, order)[0])
+            if full:
                 yield flush()
         if tallies[0].held:
             yield flush()
 
     def add(t: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), U64)
-        n = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32).astype(np.int64)
-        keys, n = counted(keys, n)
+        keys = np.concatenate([from_planes(x.as_py()) for x in t.column("keys")])
+        n = np.concatenate([from_small_planes(x.as_py()) for x in t.column("counts")])
+        keys, n = counted(keys, n.astype(np.int64))
         return pa.table({
             "kind": t.column("kind").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "n": pa.array([len(keys)]), "total": pa.array([int(n.sum())]),
             "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()),
         })
 
-    parts = train.select("text").mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
-    return materialize(parts.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, n long, total long, keys binary, counts binary"), "counts")
+    parts = train.select("text").mapInArrow(lean(count), "kind int, bucket int, keys binary, counts binary")
+    return materialize(parts.groupBy("kind", "bucket").applyInArrow(lean(add), "kind int, bucket int, n long, total long, keys binary, counts binary"), "counts")
 
 
 def fit(counts: DataFrame, order: int, nodes: int = NODES, floor: int = FLOOR) -> Model:
@@ -448,7 +456,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = materialize(
         docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-            score, "kind int, doc_id long, train boolean, key long, n_tokens long, n_known long, base double, score double, bucket int, words binary, at binary, keys binary"
+            lean(score), "kind int, doc_id long, train boolean, key long, n_tokens long, n_known long, base double, score double, bucket int, words binary, at binary, keys binary"
         ),
         "scores",
     )
@@ -472,7 +480,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
     light = (
         words.select("bucket", "keys", "counts").groupBy("bucket")
         .cogroup(both.where("kind = 1").select("bucket", "words", "at", "keys").groupBy("bucket"))
-        .applyInArrow(rest, "key2 long, s double, k long")
+        .applyInArrow(lean(rest), "key2 long, s double, k long")
         .groupBy("key2").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
     )
     return (
