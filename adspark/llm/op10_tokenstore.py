@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import flat, mix, ragged
-from .common import NULL_ID, bound_batches, buckets_for, materialize
+from .common import NULL_ID, bound_batches, buckets_for, lean, materialize
 from .segments import SegmentEncoder
 
 U64 = np.uint64
@@ -213,7 +213,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, shard_words:
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = buckets_for(docs, 16 << 20)
     ordered = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    shards = materialize(ordered.mapInArrow(run, SCHEMA), "shards")
+    shards = materialize(ordered.mapInArrow(lean(run), SCHEMA), "shards")
     meta = shards.select("part", "number", "first_id", "last_id", "docs", "words")
     # parts are as many as tasks; shards of a part are numbered, so no window spans more than these
     totals = meta.groupBy("part").agg(F.sum("words").alias("w"))

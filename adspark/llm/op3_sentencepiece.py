@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat
-from .common import bound_batches
+from .common import bound_batches, lean
 from .segments import SegmentEncoder
 
 MARK = "▁"
@@ -231,7 +231,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verif
                 names=[*names, "ids", "round_trip", "parity"],
             )
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 def model_file() -> str:

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, flat, hash_spans, mix, ragged, runs_of_words, spaced
-from .common import bound_batches, buckets_for, materialize
+from .common import bound_batches, buckets_for, lean, materialize
 from .graph import components
 
 U64 = np.uint64
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 LOW = U64(0xFFFF)
 
 
@@ -177,7 +177,7 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
                 pa.array([odd_sketch(s) for s in own], pa.binary()),
             ], names=["doc_id", "k2", "n", "cid", "sketch"])
 
-    return docs.select("doc_id", "k2", "text").mapInArrow(run, "doc_id long, k2 long, n long, cid binary, sketch binary")
+    return docs.select("doc_id", "k2", "text").mapInArrow(lean(run), "doc_id long, k2 long, n long, cid binary, sketch binary")
 
 
 def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -256,8 +256,8 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             rows.append((size[g].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), own[used].tobytes()))
         return pa.table({"bucket": pa.array([k] * len(rows), pa.int32()), **{x: pa.array([r[i] for r in rows], pa.binary()) for i, x in enumerate(("sizes", "members", "classes"))}})
 
-    packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(emit, "bucket int, sigs binary, at binary, classes binary")
-    found = packed.groupBy("bucket").applyInArrow(gather, "bucket int, sizes binary, members binary, classes binary")
+    packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(emit), "bucket int, sigs binary, at binary, classes binary")
+    found = packed.groupBy("bucket").applyInArrow(lean(gather), "bucket int, sizes binary, members binary, classes binary")
     return materialize(found.withColumn("piece", F.xxhash64("bucket", "sizes", "members", "classes")), "groups")
 
 
@@ -394,7 +394,7 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
         return pa.table({"a": pa.array(outs_a, pa.binary()), "b": pa.array(outs_b, pa.binary())})
 
     who = groups.select("bucket", "piece", "classes").mapInArrow(names, "bucket int, piece long, cid binary").join(known, "cid")
-    return groups.groupBy("bucket", "piece").cogroup(who.groupBy("bucket", "piece")).applyInArrow(cross, "a binary, b binary").distinct()
+    return groups.groupBy("bucket", "piece").cogroup(who.groupBy("bucket", "piece")).applyInArrow(lean(cross), "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -421,7 +421,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
     texts = docs.join(where, ["doc_id", "k2"]).select("cid", "text")
     # rows that repeat in the table would repeat here
-    known = materialize(texts.mapInArrow(sets, "cid binary, features binary").dropDuplicates(["cid"]), "sets")
+    known = materialize(texts.mapInArrow(lean(sets), "cid binary, features binary").dropDuplicates(["cid"]), "sets")
 
     def test(batches):
         for t in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat, mix, ragged
-from .common import bloom, bloom_hits, bound_batches, buckets_for, materialize, row_key, with_bloom_places
+from .common import bloom, bloom_hits, bound_batches, buckets_for, lean, materialize, row_key, with_bloom_places
 from .suffix_array import suffix_array
 
 U64 = np.uint64
@@ -208,7 +208,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(q, pa.int32()),
             ], names=["k1", "k2", "gram", "run", "lo", "hi", "at"])
 
-    every = materialize(docs.select("k1", "k2", "text").mapInArrow(runs, RUN), "runs")
+    every = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN), "runs")
     often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     some = materialize(every.join(often, "gram"), "candidates")
     equal = materialize(
@@ -276,7 +276,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     NAMES = ["gram", "open", "k1", "k2", "lo", "hi", "at", "before", "behind", "window"]
     around = materialize(
         texts.join(per, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(
-            contexts, "gram long, open boolean, k1 long, k2 long, lo int, hi int, at int, before binary, behind binary, window long"
+            lean(contexts), "gram long, open boolean, k1 long, k2 long, lo int, hi int, at int, before binary, behind binary, window long"
         ),
         "contexts",
     )
@@ -297,7 +297,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         take = pa.array(r)
         return pa.table({"k1": t.column("k1").take(take), "k2": t.column("k2").take(take), "lo": pa.array(a, pa.int32()), "hi": pa.array(z, pa.int32())})
 
-    cold = around.where("window IS NULL").groupBy(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")).applyInArrow(settle, SPAN)
+    cold = around.where("window IS NULL").groupBy(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")).applyInArrow(lean(settle), SPAN)
     windows = around.where("window IS NOT NULL")
     twice = materialize(windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "window"), "hot")
     hot = windows.where("open").join(twice, ["gram", "window"], "left_semi").select("k1", "k2", "lo", "hi")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .bytesops import flat, ragged
-from .common import bound_batches, crc_mod
+from .common import bound_batches, crc_mod, lean
 
 WIDTH, STEP, HOP, DIM, FILTERS = 8, 2, 128, 8, 16
 
@@ -190,7 +190,7 @@ def score_documents(docs: DataFrame, model: ByteCNN, text: str = "text") -> Data
             data, off = flat(b.column(text))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(model.score(data, off, tables))], names=[*names, "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

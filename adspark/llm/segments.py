@@ -24,7 +24,7 @@ class SegmentEncoder:
     the bytes that an id stands for. Known segments stay in a bounded table.
     """
 
-    def __init__(self, encode, lengths: np.ndarray, keep: int = 1 << 20, block: int = 1 << 15):
+    def __init__(self, encode, lengths: np.ndarray, keep: int = 1 << 18, block: int = 1 << 15):
         self.encode, self.lengths, self.keep, self.block = encode, lengths, keep, block
         self.hash = np.zeros(0, np.uint64)
         self.size = np.zeros(0, np.int64)
