@@ -22,7 +22,7 @@ _MAP = pa.map_(pa.string(), pa.string())
 
 def _parse_files(spark: SparkSession, path: str, parse) -> DataFrame:
     """One task per file: records are not split at lines, so a file is read whole."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*").text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
 
     def run(batches):
         for b in batches:

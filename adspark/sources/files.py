@@ -35,5 +35,5 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
-    rows = spark.read.option("wholetext", "true").text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return rows[0][0] if rows else ""
