@@ -412,7 +412,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
     def score(batches):
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 32
         hw, hl = heavy.value
         for b in batches:
             data, off = flat(b.column("text"))
@@ -429,12 +429,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
             owner2 = np.concatenate((owner, np.arange(docs)))
             known = np.bincount(owner2[have], minlength=docs)
             s = np.bincount(owner2[have], hl[place[have]], minlength=docs) - n_tokens * unit
-            key = base + np.arange(docs)
-            base += docs
+            chunk += 1
+            place_of = pa.array(np.arange(docs), pa.int32())
             none = lambda k, n: pa.nulls(n, k)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(docs, np.int32)), b.column("doc_id"), b.column("train"), pa.array(key), pa.array(n_tokens), pa.array(known), pa.array(s), pa.array(p),
-                none(pa.int32(), docs), none(pa.binary(), docs), none(pa.binary(), docs), none(pa.binary(), docs),
+                pa.array(np.zeros(docs, np.int32)), b.column("doc_id"), b.column("train"), pa.array(np.full(docs, chunk)), place_of, pa.array(n_tokens), pa.array(known), pa.array(s), pa.array(p),
+                none(pa.int32(), docs), none(pa.binary(), docs), none(pa.binary(), docs),
             ], names=NAMES)
             rare = np.flatnonzero(~have)
             h, o = np.concatenate((w, np.full(docs, END_WORD)))[rare], owner2[rare]
@@ -444,48 +444,56 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
             rows = []
             for j in np.flatnonzero(np.diff(edge)):
                 own = by[edge[j] : edge[j + 1]]
-                who, idx = np.unique(o[own], return_inverse=True)
-                rows.append((int(j), h[own].tobytes(), idx.astype(np.uint16 if docs < 1 << 16 else np.uint32).tobytes(), key[who].tobytes()))
+                rows.append((int(j), h[own].tobytes(), o[own].astype(np.uint16 if docs < 1 << 16 else np.uint32).tobytes()))
             n = len(rows)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.ones(n, np.int32)), none(pa.int64(), n), none(pa.bool_(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.float64(), n), none(pa.float64(), n),
-                pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)),
+                pa.array(np.ones(n, np.int32)), none(pa.int64(), n), none(pa.bool_(), n), pa.array(np.full(n, chunk)), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.float64(), n),
+                none(pa.float64(), n), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)),
             ], names=NAMES)
 
-    NAMES = ["kind", "doc_id", "train", "key", "n_tokens", "n_known", "base", "score", "bucket", "words", "at", "keys"]
+    NAMES = ["kind", "doc_id", "train", "chunk", "place", "n_tokens", "n_known", "base", "score", "bucket", "words", "at"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = materialize(
         docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-            lean(score), "kind int, doc_id long, train boolean, key long, n_tokens long, n_known long, base double, score double, bucket int, words binary, at binary, keys binary"
+            lean(score), "kind int, doc_id long, train boolean, chunk long, place int, n_tokens long, n_known long, base double, score double, bucket int, words binary, at binary"
         ),
         "scores",
     )
 
     def rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_k, out_s, out_n = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        """A row per chunk that has words in the bucket: where they are known, and log counts."""
+        chunk, at, logs = [], [], []
         if left.num_rows and right.num_rows:
             table = np.frombuffer(left.column("keys")[0].as_py(), U64)
             n = np.log10(np.frombuffer(left.column("counts")[0].as_py(), np.int64) + 1.0)
-            for w, at, keys in zip(*(right.column(c).to_pylist() for c in ("words", "at", "keys"))):
-                w, keys = np.frombuffer(w, U64), np.frombuffer(keys, np.int64)
-                at = np.frombuffer(at, np.uint16 if len(at) == 2 * len(w) else np.uint32)
-                place, have = lookup(table, w)
-                k = np.bincount(at[have], minlength=len(keys))
-                some = k > 0
-                out_k.append(keys[some])
-                out_s.append(np.bincount(at[have], n[place[have]], minlength=len(keys))[some])
-                out_n.append(k[some])
-        return pa.table({"key2": np.concatenate(out_k), "s": np.concatenate(out_s), "k": np.concatenate(out_n)})
+            for c, w, p in zip(*(right.column(c).to_pylist() for c in ("chunk", "words", "at"))):
+                w = np.frombuffer(w, U64)
+                p = np.frombuffer(p, np.uint16 if len(p) == 2 * len(w) else np.uint32)
+                i, have = lookup(table, w)
+                who, idx = np.unique(p[have], return_inverse=True)
+                chunk.append(c)
+                at.append(np.stack((who.astype(np.int64), np.bincount(idx, minlength=len(who)))).tobytes())
+                logs.append(np.bincount(idx, n[i[have]], minlength=len(who)).tobytes())
+        return pa.table({"chunk2": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        """A row per document of a chunk, from its buckets' rows."""
+        places = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in t.column("at")]
+        who, n = np.concatenate(places, axis=1)
+        s = np.bincount(who, np.concatenate([np.frombuffer(x.as_py()) for x in t.column("logs")]))
+        k = np.bincount(who, n).astype(np.int64)
+        some = np.flatnonzero(k)
+        return pa.table({"chunk2": np.full(len(some), t.column("chunk2")[0].as_py()), "place2": pa.array(some, pa.int32()), "s": s[some], "k": k[some]})
 
     light = (
         words.select("bucket", "keys", "counts").groupBy("bucket")
-        .cogroup(both.where("kind = 1").select("bucket", "words", "at", "keys").groupBy("bucket"))
-        .applyInArrow(lean(rest), "key2 long, s double, k long")
-        .groupBy("key2").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        .cogroup(both.where("kind = 1").select("bucket", "chunk", "words", "at").groupBy("bucket"))
+        .applyInArrow(lean(rest), "chunk2 long, at binary, logs binary")
+        .groupBy("chunk2").applyInArrow(lean(add), "chunk2 long, place2 int, s double, k long")
     )
     return (
         both.where("kind = 0")
-        .join(light, F.col("key") == F.col("key2"), "left")
+        .join(light, (F.col("chunk") == F.col("chunk2")) & (F.col("place") == F.col("place2")), "left")
         .select(
             F.col("doc_id").cast(kind), "train", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base_score"), "score",
