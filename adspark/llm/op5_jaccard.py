@@ -12,9 +12,9 @@ of that part travels with the signature and parts sets that do not.
 
 Equal sets are one class, by a 128-bit hash of the set, before anything else.
 Signatures travel packed; the task of a bucket finds the groups of classes
-that share one. Links are then settled in two rounds: first each group's
-members against its least, then every pair of a group that the first round
-left in different components. Before a pair's sets are fetched, its odd
+that share one. Links are then settled in rounds: first each class against the
+least class of most of its groups, then against the likeliest of each other
+component, then every pair of a group that is still in different components. Before a pair's sets are fetched, its odd
 sketches (xor of one bit per feature, so they never differ in more bits than
 the sets differ in features) must allow the link. The test itself is exact, in
 integers. No pair that shares a signature goes untested unless both ends are in
@@ -245,19 +245,20 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
         size = np.diff(np.append(begin, len(s)))
         # groups of one class go; of groups with the same members one stays
         print_of = np.add.reduceat(mix(m.astype(U64) + U64(1)), begin) if len(s) else np.zeros(0, U64)
-        _, pick = np.unique(np.where(size > 1, print_of, U64(0)), return_index=True)
-        pick = pick[size[pick] > 1] if len(size) else pick
+        _, pick, often = np.unique(np.where(size > 1, print_of, U64(0)), return_index=True, return_counts=True)
+        live = size[pick] > 1 if len(size) else np.zeros(0, bool)
+        pick, often = pick[live], often[live]
         rows = []
         total = np.cumsum(size[pick]) // (1 << 20)
         for part in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(total)) + 1) if len(pick) else []:
             g = pick[part]
             who = m[ragged(begin[g], size[g])]
             used, at = np.unique(who, return_inverse=True)
-            rows.append((size[g].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), own[used].tobytes()))
-        return pa.table({"bucket": pa.array([k] * len(rows), pa.int32()), **{x: pa.array([r[i] for r in rows], pa.binary()) for i, x in enumerate(("sizes", "members", "classes"))}})
+            rows.append((size[g].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), own[used].tobytes(), often[part].astype(np.uint32).tobytes()))
+        return pa.table({"bucket": pa.array([k] * len(rows), pa.int32()), **{x: pa.array([r[i] for r in rows], pa.binary()) for i, x in enumerate(("sizes", "members", "classes", "often"))}})
 
     packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(emit), "bucket int, sigs binary, at binary, classes binary")
-    found = packed.groupBy("bucket").applyInArrow(lean(gather), "bucket int, sizes binary, members binary, classes binary")
+    found = packed.groupBy("bucket").applyInArrow(lean(gather), "bucket int, sizes binary, members binary, classes binary, often binary")
     return materialize(found.withColumn("piece", F.xxhash64("bucket", "sizes", "members", "classes")), "groups")
 
 
@@ -318,38 +319,37 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """A forest over each bucket's groups, larger groups first: members against their group's least class.
+    """In each bucket, a class with the least class of most signatures' groups that it is in.
 
-    These links mostly hold and settle most components; what they miss is the
-    second round's, so it does not matter which are chosen.
+    Classes that share many signatures mostly link, so these pairs settle most
+    components; what they miss is left to the later rounds.
     """
 
     def run(batches):
         for t in batches:
-            for s, m, c in zip(*(t.column(x).to_pylist() for x in ("sizes", "members", "classes"))):
+            for s, m, c, o in zip(*(t.column(x).to_pylist() for x in ("sizes", "members", "classes", "often"))):
                 size, member, table, begin = _unpack(s, m, c)
-                up = list(range(len(table)))
-                flat_members, a, b = member.tolist(), [], []
-                for g in np.argsort(-size, kind="stable").tolist():
-                    own = flat_members[begin[g] : begin[g] + size[g]]
-                    hub = root = own[0]
-                    while up[root] != root:
-                        root = up[root]
-                    for x in own:
-                        r = x
-                        while up[r] != r:
-                            up[r] = r = up[up[r]]
-                        if r != root:
-                            up[r] = root
-                            a.append(hub)
-                            b.append(x)
-                yield _pair_batch(table[a], table[b])
-
-    return groups.select("sizes", "members", "classes").mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _rest(groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a group in different components whose sketches allow a link."""
+                weight = np.repeat(np.frombuffer(o, np.uint32).astype(np.int64), size)
+                hub = np.repeat(member[begin], size)
+                other = hub != member
+                pair, at = np.unique(member[other] * len(table) + hub[other], return_inverse=True)
+                votes = np.bincount(at, weight[other], minlength=len(pair))
+                x, h = pair // len(table), pair % len(table)
+                best = np.lexsort((h, -votes, x))
+                first = np.ones(len(best), bool)
+                first[1:] = x[best][1:] != x[best][:-1]
+                best = best[first]
+                yield _pair_batch(table[h[best]], table[x[best]])
+
+    return groups.select("sizes", "members", "classes", "often").mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs of a group in different components whose sketches allow a link.
+
+    Not ``every``: of a class and another component, only the pair whose
+    sketches differ least.
+    """
 
     def names(batches):
         for t in batches:
@@ -386,7 +386,13 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
                         fit = low * den >= high * num
                         other, y = other[fit], y[fit]
                         differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                        y = y[differ * (den + num) <= (n[x] + n[y]) * (den - num)]
+                        fit = differ * (den + num) <= (n[x] + n[y]) * (den - num)
+                        y = y[fit]
+                        if not every and len(y) > 1:
+                            by = np.lexsort((differ[fit], label[y]))
+                            first = np.ones(len(by), bool)
+                            first[1:] = label[y][by][1:] != label[y][by][:-1]
+                            y = y[by[first]]
                         got.append(np.minimum(x, y) * len(table) + np.maximum(x, y))
                 pair = np.unique(np.concatenate(got))
                 outs_a += [x.tobytes() for x in table[pair // len(table)]]
@@ -454,12 +460,15 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     )
     groups = _groups(docs, width, num, den, buckets_for(docs))
     one = _verified(_stars(groups), classes, docs, width, num, den)
-    comp = materialize(components(one).withColumnsRenamed({"id": "cid", "component": "label"}), "round1")
-    known = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), "n", "sketch")
-    more = materialize(_rest(groups, known, num, den), "more")
-    if not more.isEmpty():
-        two = _verified(more, classes, docs, width, num, den)
-        comp = materialize(components(one.unionByName(two)).withColumnsRenamed({"id": "cid", "component": "label"}), "round2")
+    links = one
+    comp = materialize(components(links).withColumnsRenamed({"id": "cid", "component": "label"}), "comp")
+    for every in (False, True):
+        known = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), "n", "sketch")
+        more = materialize(_rest(groups, known, num, den, every), "more")
+        if more.isEmpty():
+            break  # nothing is left to test
+        links = links.unionByName(_verified(more, classes, docs, width, num, den))
+        comp = materialize(components(links).withColumnsRenamed({"id": "cid", "component": "label"}), "comp")
     labelled = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), F.col("row.doc_id").alias("least"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialize(labelled.join(least, "label").select("cid", "component_id"), "named")
