@@ -143,7 +143,7 @@ class Codec:
         self.table = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.table_at = np.cumsum(self.lengths) - self.lengths
         #: only an identity normaliser leaves segments independent
-        self.segments = SegmentEncoder(self._encode, self.lengths) if not self.model["charsmap"] and not self.model["squeeze"] else None
+        self.segments = SegmentEncoder(self._encode, self.lengths, whole_runs=True) if not self.model["charsmap"] and not self.model["squeeze"] else None
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)

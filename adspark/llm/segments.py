@@ -1,8 +1,9 @@
 """Encoding of long texts by way of their distinct segments.
 
-A text is cut before each blank that a visible character follows. Neither
-tokenizer's pre-tokens cross such a cut, so a segment's ids do not depend on
-its neighbours, and a batch encodes each distinct segment once.
+A text is cut before each blank that a visible character follows; where runs of
+blanks can be one piece, only before the first of a run. No pre-token crosses
+such a cut, so a segment's ids do not depend on its neighbours, and a batch
+encodes each distinct segment once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from .bytesops import hash_spans, ragged
 _UNSURE = np.zeros(256, bool)
 _UNSURE[:33] = True
 _UNSURE[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Last bytes of what continues a run of blanks: the blank and the metaspace marker.
+_RUN = np.zeros(256, bool)
+_RUN[[32, 0x81]] = True
 
 
 class SegmentEncoder:
@@ -40,12 +44,17 @@ class SegmentEncoder:
         buf = np.concatenate((data, np.zeros(8, np.uint8)))
         cut = np.zeros(len(data) + 1, bool)
         cut[:-1] = (data == 32) & ~_UNSURE[buf[1 : len(data) + 1]]
+        if self.whole_runs:
+            cut[1:-1] &= ~_RUN[data[:-1]]
         cut[off] = True
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
         first = np.zeros(len(data) + 1, bool)
         first[off] = True
         head = first[start] & ((data[start] != 32) | _UNSURE[buf[start + 1]])
+        if self.whole_runs:
+            # joined, a segment that ends in a blank would run into the next
+            head |= _RUN[data[end - 1]]
         # a segment that opens a text has no cut before it, whatever its first byte
         h = hash_spans(buf, start, end) ^ head.astype(np.uint64)
         uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
