@@ -60,7 +60,9 @@ def buckets_for(df: DataFrame, bytes_each: int = 10 << 20) -> int:
     """A bucket count in proportion to the input, at least the shuffle partitions."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // bytes_each))
+    size = input_bytes(df)
+    # a plan over an RDD has no estimate, which Catalyst writes as the largest long
+    return least if size >= 1 << 60 else max(least, -(-size // bytes_each))
 
 
 def row_key(df: DataFrame) -> DataFrame:

@@ -473,7 +473,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
                 who, idx = np.unique(p[have], return_inverse=True)
                 chunk.append(c)
                 at.append(np.stack((who.astype(np.int64), np.bincount(idx, minlength=len(who)))).tobytes())
-                logs.append(np.bincount(idx, n[i[have]], minlength=len(who)).tobytes())
+                logs.append(np.bincount(idx, n[i[have]], minlength=len(who)).astype(float).tobytes())
         return pa.table({"chunk2": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
@@ -481,7 +481,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
         places = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in t.column("at")]
         who, n = np.concatenate(places, axis=1)
         s = np.bincount(who, np.concatenate([np.frombuffer(x.as_py()) for x in t.column("logs")]))
-        k = np.bincount(who, n).astype(np.int64)
+        s, k = s.astype(float), np.bincount(who, n).astype(np.int64)
         some = np.flatnonzero(k)
         return pa.table({"chunk2": np.full(len(some), t.column("chunk2")[0].as_py()), "place2": pa.array(some, pa.int32()), "s": s[some], "k": k[some]})
 

@@ -55,8 +55,8 @@ class ByteCNN:
         buf[ragged(first * HOP, n)] = data
         return buf, first, hops
 
-    def _hops(self, buf: np.ndarray, tables: np.ndarray, want_at: bool):
-        """Each hop's largest response per filter, and where."""
+    def _hops(self, buf: np.ndarray, tables: np.ndarray, want_at: bool, last: np.ndarray):
+        """Each hop's largest response per filter, and where. ``last``: the hops that end a text."""
         per = HOP // STEP
         total = (len(buf) - WIDTH) // HOP
         best = np.empty((total, FILTERS), np.float32)
@@ -69,6 +69,9 @@ class ByteCNN:
             for j in range(1, WIDTH):
                 acc += np.take(tables[j], buf[a * HOP + j : a * HOP + j + n * STEP : STEP], axis=0)
             acc = acc.reshape(b - a, per, FILTERS)
+            # behind a text's padding the filters would see the next text
+            ends = last[np.searchsorted(last, a) : np.searchsorted(last, b)] - a
+            acc[ends, per - (WIDTH // STEP - 1) :] = -1e9
             if want_at:
                 k = acc.argmax(axis=1)
                 best[a:b] = np.take_along_axis(acc, k[:, None], 1)[:, 0]
@@ -86,7 +89,7 @@ class ByteCNN:
         return np.where(later, best[nxt], best), nxt, later
 
     def features(self, buf, first, hops, tables=None):
-        best, _ = self._hops(buf, self.tables() if tables is None else tables, False)
+        best, _ = self._hops(buf, self.tables() if tables is None else tables, False, first + hops - 1)
         chunk, _, _ = self._chunks(best, first, hops)
         chunk = np.maximum(chunk + self.p["bias"].astype(np.float32), 0)
         return np.concatenate((np.maximum.reduceat(chunk, first, axis=0), np.add.reduceat(chunk, first, axis=0) / hops[:, None]), axis=1)
@@ -126,7 +129,7 @@ class ByteCNN:
         data = np.frombuffer(b"".join(texts), np.uint8)
         off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         buf, first, hops = self.lay_out(data, off)
-        best, at = self._hops(buf, self.tables(), True)
+        best, at = self._hops(buf, self.tables(), True, first + hops - 1)
         chunk, nxt, later = self._chunks(best, first, hops)
         own = np.repeat(np.arange(len(first)), hops)
         pre = chunk + self.p["bias"]

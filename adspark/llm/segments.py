@@ -26,9 +26,11 @@ class SegmentEncoder:
 
     ``encode`` maps a list of strings to one id array each; ``lengths`` gives
     the bytes that an id stands for. Known segments stay in a bounded table.
+    ``whole_runs``: runs of blanks are never cut.
     """
 
-    def __init__(self, encode, lengths: np.ndarray, keep: int = 1 << 18, block: int = 1 << 15):
+    def __init__(self, encode, lengths: np.ndarray, keep: int = 1 << 18, block: int = 1 << 15, whole_runs: bool = False):
+        self.whole_runs = whole_runs
         self.encode, self.lengths, self.keep, self.block = encode, lengths, keep, block
         self.hash = np.zeros(0, np.uint64)
         self.size = np.zeros(0, np.int64)

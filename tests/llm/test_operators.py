@@ -393,7 +393,7 @@ def test_op9_learns_and_reads_whole_texts():
     good = [" ".join(word() for _ in range(rng.randint(5, 200))).encode() for _ in range(150)]
     bad = [b" ".join(w + b"###" for w in g.split()) for g in good[:75]]
     y = np.array([1] * 150 + [0] * 75)
-    model = op9_quality.ByteCNN().fit(good[:100] + bad[:50], np.concatenate((y[:100], y[150:200])))
+    model = op9_quality.ByteCNN().fit(good[:100] + bad[:50], np.concatenate((y[:100], y[150:200])), epochs=40)
     flat = lambda ts: (np.frombuffer(b"".join(ts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in ts]))))
     s = model.score(*flat(good[100:] + bad[50:]))
     assert ((s >= 0.3) == np.array([1] * 50 + [0] * 25)).mean() > 0.95
