@@ -4,8 +4,8 @@ A string of ``length`` bytes counts as repeated when it also starts anywhere
 else in the table. Every such window picks an anchor, the least hash among its
 ``gram``-byte substrings, so equal windows have equal anchors at equal offsets,
 and a document's windows fall into runs that share an anchor. Runs whose gram
-occurs once in the table hold no repeat. Runs with the same bytes throughout
-(by hash) hold repeats only. What is left, the runs at the edges of repeats,
+occurs once in the table hold no repeat. Chains of runs, and runs, with the same
+bytes throughout (by hash) hold repeats only. What is left, the runs at the edges of repeats,
 is settled exactly: the bytes left and right of an anchor's occurrences become
 sequences of wide symbols, and a suffix array of each side (grouping by Lyndon
 prefixes, ``suffix_array``) puts them in order. Neighbours' common prefixes say
@@ -17,7 +17,7 @@ task: its windows are hashed one by one and counted by key, which combines
 before the shuffle and splits over tasks.
 
 A 4 MB Bloom filter of the documents concerned spares shuffling other texts.
-Equality of runs and grams rests on 64-bit hashes (a run's two together).
+Equality of runs, chains and grams rests on 64-bit hashes (a run's and a chain's on two together).
 
 Null or short text: nothing removed. Empty text: hash of no bytes. Repeated
 rows: each one's windows occur in the other, so all of their bytes go where
@@ -76,9 +76,13 @@ class Rolling:
 
 
 def anchor_runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """(text, first window, last window, anchor, gram hash, run hash) of every run; places within the text."""
+    """(text, first window, last window, anchor, gram hash, run hash, chain, chain hash) of every run; places within the text.
+
+    A chain is some neighbouring runs; where one starts depends on gram hashes
+    alone, so equal stretches of text have equal chains, but at their ends.
+    """
     span = length - gram + 1
-    out = []
+    out, chains = [], 0
     segment = max(SEGMENT, 4 * length)
     bits = U64(int(segment + length).bit_length())
     low = (U64(1) << bits) - U64(1)
@@ -108,10 +112,18 @@ def anchor_runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
         begin = off[t] - a
         q = at[first]
         run = mix(roll.of(first, last + length) + (q - first).astype(U64) * U64(0x9FB21C651E98DF25) + (last - first).astype(U64))
-        out.append((t, first - begin, last - begin, q - begin, h[q], run))
+        head = (h[q] >> U64(61)) == U64(0)
+        head[0] = True
+        head[1:] |= t[1:] != t[:-1]
+        head = np.flatnonzero(head)
+        tail = np.append(head[1:], len(t)) - 1
+        chain = np.repeat(np.arange(len(head)), tail - head + 1)
+        whole = mix(roll.of(first[head], last[tail] + length) + (last[tail] - first[head]).astype(U64) * U64(0xD1B54A32D192ED03))
+        out.append((t, first - begin, last - begin, q - begin, h[q], run, chain + chains, whole[chain]))
+        chains += len(head)
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(U64), z.astype(U64)
+        return z, z, z, z, z.astype(U64), z.astype(U64), z, z.astype(U64)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -190,7 +202,7 @@ def _spans(hit: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 # -- operator ------------------------------------------------------------------
 
-RUN = "k1 long, k2 long, gram long, run long, lo int, hi int, at int"
+CHAIN = "k1 long, k2 long, chain long, lo int, hi int, runs array<struct<gram:long,run:long,lo:int,hi:int,at:int>>"
 SPAN = "k1 long, k2 long, lo int, hi int"
 
 
@@ -201,20 +213,31 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def runs(batches):
         for b in batches:
             data, off = flat(b.column("text"))
-            t, lo, hi, q, g, f = anchor_runs(data, off, length, gram)
-            take = pa.array(t)
+            t, lo, hi, q, g, f, chain, whole = anchor_runs(data, off, length, gram)
+            edge = np.flatnonzero(np.concatenate((np.ones(min(len(chain), 1), bool), chain[1:] != chain[:-1], np.ones(1, bool))))
+            a, z = edge[:-1], edge[1:] - 1
+            take = pa.array(t[a])
+            inner = pa.StructArray.from_arrays(
+                [pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), *(pa.array(x, pa.int32()) for x in (lo, hi, q))], names=["gram", "run", "lo", "hi", "at"]
+            )
             yield pa.RecordBatch.from_arrays([
-                b.column("k1").take(take), b.column("k2").take(take), pa.array(g.view(np.int64)), pa.array(f.view(np.int64)),
-                pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(q, pa.int32()),
-            ], names=["k1", "k2", "gram", "run", "lo", "hi", "at"])
-
-    every = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN), "runs")
+                b.column("k1").take(take), b.column("k2").take(take), pa.array(whole[a].view(np.int64)), pa.array(lo[a], pa.int32()), pa.array(hi[z], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(edge, pa.int32()), inner),
+            ], names=["k1", "k2", "chain", "lo", "hi", "runs"])
+
+    chains = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), CHAIN), "chains")
+    # whole chains that occur again need no look at their runs, but their runs count for others
+    chains = chains.withColumn("lead", F.col("runs")[0]["gram"])
+    twice = chains.groupBy("chain", "lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chain", "lead", F.lit(True).alias("again"))
+    marked = materialize(chains.join(materialize(twice, "again"), ["chain", "lead"], "left"), "marked")
+    every = marked.select("k1", "k2", F.coalesce("again", F.lit(False)).alias("again"), F.explode("runs").alias("r")).select("k1", "k2", "again", "r.*")
     often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     some = materialize(every.join(often, "gram"), "candidates")
     equal = materialize(
         some.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")), "equal"
     )
-    settled = some.join(equal.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("k1", "k2", "lo", "hi")
+    settled = some.where("NOT again").join(equal.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("k1", "k2", "lo", "hi")
+    settled = settled.unionByName(marked.where("again").select("k1", "k2", "lo", "hi"))
     # anchors with a run that is alone need all their different runs compared, one of each
     loose = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 AND m > 1").select("gram", "m")
     loose = materialize(loose, "loose")
