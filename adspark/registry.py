@@ -598,6 +598,108 @@ def p6(spark, d):
     return spark.createDataFrame([(all(tried), not refused("Memory > 3"))], "refused boolean, allowed boolean")
 
 
+# -- writes, as the rows that they leave ---------------------------------------
+
+
+def _with_writes(spark, d):
+    """The event log after an upsert of every user with a value over 90 and a delete of every user under 3."""
+    log = _event_log(spark, d).select("key", "seq", "deleted", "value")
+    head = log.agg(F.max("seq")).first()[0]
+    now = versions.visible(log)
+    ups = scan.where(now, "value > 90").select("key", F.lit(head + 1).cast("bigint").alias("seq"), F.lit(False).alias("deleted"), (F.col("value") + 1000).alias("value"))
+    downs = scan.where(now, "int(value) < 3").select("key", F.lit(head + 2).cast("bigint").alias("seq"), F.lit(True).alias("deleted"), F.lit(None).cast("double").alias("value"))
+    return log.unionByName(ups).unionByName(downs), head
+
+
+_VISIBLE = f"(SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {_LOG}) WHERE rn = 1 AND NOT deleted)"
+
+
+@query("S21_S22_upsert_delete_where", f"SELECT key, CASE WHEN value > 90 THEN value + 1000 ELSE value END AS value FROM {_VISIBLE} WHERE trunc(value) >= 3")
+def s21(spark, d):
+    return versions.visible(_with_writes(spark, d)[0]).select("key", "value")
+
+
+@query("P2_conflicts", f"SELECT DISTINCT key FROM {_VISIBLE} WHERE value > 90 OR trunc(value) < 3")
+def p2(spark, d):
+    """Keys written after a transaction's snapshot: its writes to them would be refused."""
+    log, head = _with_writes(spark, d)
+    return log.where(F.col("seq") > head).select("key").distinct()
+
+
+@query("P3_set_attribute", "SELECT p_partkey, CASE WHEN p_partkey = 5 THEN 77 ELSE p_size END AS p_size FROM part")
+def p3(spark, d):
+    base = _load(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit(1).alias("seq"), F.lit(False).alias("deleted"), "p_size")
+    one = scan.where(base, "key == 5").withColumns({"seq": F.lit(2), "p_size": F.lit(77)})
+    return versions.visible(base.unionByName(one)).select(F.col("key").alias("p_partkey"), "p_size")
+
+
+@query(
+    "P1_retention",
+    """SELECT CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) AS n FROM events
+    WHERE (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) FROM events) - ((CAST(floor(epoch(ts)) AS BIGINT) // 86400 + 1) * 86400 - 1) <= 5 * 86400 GROUP BY 1""",
+)
+def p1(spark, d):
+    """Whole days go when their newest possible row is five days old."""
+    rows = _load(spark, d, "events").select(unix_time(F.col("ts")).alias("t")).withColumn("day", F.expr("t div 86400"))
+    now = rows.agg(F.max("t")).first()[0]
+    return rows.where(F.lit(now) - ((F.col("day") + 1) * 86400 - 1) <= 5 * 86400).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S14_system_records", "SELECT key FROM (SELECT 'sys-' || n_name AS key, n_nationkey AS k FROM nation) WHERE k < 5")
+def s14(spark, d):
+    keyed = _load(spark, d, "nation").select(F.when(F.col("n_nationkey") < 5, F.concat(F.lit(versions.SYSTEM), F.col("n_name"))).otherwise(F.col("n_name")).alias("key"))
+    own = keyed.where(F.col("key").startswith(versions.SYSTEM))
+    return own.select(F.concat(F.lit("sys-"), F.substring(F.col("key"), len(versions.SYSTEM) + 1, 1000)).alias("key"))
+
+
+@query("S17_S19_text_forms", "SELECT p_partkey, true AS new_form, true AS old_form, true AS json_form FROM part")
+def s17(spark, d):
+    """Each record written in every form and read back is the record."""
+    from .sources import ads
+
+    src = _part_ads(spark, d)
+    public = F.map_filter("ad", lambda k, v: k != "ClaimId")
+    want = src.select("p_partkey", F.to_json(public).alias("want"))
+    out = want
+    for form, parse in (("old", ads.parse_old_column), ("json", ads.parse_json_column)):
+        back = parse(ads.render(src, form), "text").select("p_partkey", F.to_json("ad").alias(form))
+        out = out.join(back, "p_partkey")
+    new = ads._parsed(ads.render(src, "new"), "text", lambda t: ads.parse_ads(t)[0]).select("p_partkey", F.to_json("ad").alias("new"))
+    same = lambda c: (F.col(c) == F.col("want")).alias(f"{c}_form")
+    return out.join(new, "p_partkey").select("p_partkey", same("new"), same("old"), same("json"))
+
+
+@query("E29_references", "SELECT 'Factor,TARGET.Memory' AS outside, 'Base' AS inside")
+def e29(spark, d):
+    from .lang.fold import external_refs, internal_refs
+    from .lang.syntax import parse_ad, parse_expr
+
+    ad, e = parse_ad("[Base = 2]"), parse_expr("Base * Factor + TARGET.Memory")
+    return spark.createDataFrame([(",".join(external_refs(ad, e)), ",".join(internal_refs(ad, e)))], "outside string, inside string")
+
+
+@query("E33_two_scopes", f"SELECT c_custkey, s_suppkey, s_acctbal - c_acctbal AS margin {_PAIRS}")
+def e33(spark, d):
+    out = _customer_supplier(spark, d, "TARGET.s_acctbal - MY.c_acctbal")
+    return out.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), F.col("rank").alias("margin"))
+
+
+@query("E34_E35_text_and_equality", """SELECT true AS same_ads, true AS same_exprs, '"a\\"b"' AS quoted, '[A = 1; b = x + 2]' AS unparsed""")
+def e34(spark, d):
+    from .lang.syntax import ad_text, parse_ad, parse_expr, quote, same_ad, same_expr
+
+    ads_ = same_ad(parse_ad("[A = 1; b = X + 2.0]"), parse_ad("[B = x + 2.0000000000001; a = 1]"))
+    return spark.createDataFrame([(ads_, same_expr(parse_expr("foo(A)"), parse_expr("FOO(a)")), quote('a"b'), ad_text(parse_ad("[A = 1; b = x + 2]")))], "same_ads boolean, same_exprs boolean, quoted string, unparsed string")
+
+
+@query("W1_W2_catch_up", f"SELECT key, max(seq) AS seq FROM {_LOG} WHERE seq > (SELECT CAST(round(avg(event_id)) AS BIGINT) FROM events) GROUP BY 1")
+def w1(spark, d):
+    """What a reader with a cursor in the middle gets: every later key once, at its last event."""
+    log = _event_log(spark, d)
+    cursor = log.agg(F.round(F.avg("seq")).cast("bigint")).first()[0]
+    return watch.coalesce(watch.events(log, cursor)).select("key", "seq")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
