@@ -351,16 +351,45 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool)
     sketches differ least.
     """
 
+    spark = groups.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def names(batches):
+        """Each piece's classes, packed by slice of the class table."""
         for t in batches:
             for k, p, c in zip(*(t.column(x).to_pylist() for x in ("bucket", "piece", "classes"))):
-                own = np.frombuffer(c, "V16")
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([p] * len(own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["bucket", "piece", "cid"])
+                own = np.frombuffer(c, np.uint8).reshape(-1, 16)
+                at = (own[:, :7].astype(np.int64) << np.arange(48, -8, -8)).sum(axis=1) % slices
+                by = np.argsort(at, kind="stable")
+                edge = np.searchsorted(at[by], np.arange(slices + 1))
+                live = np.flatnonzero(np.diff(edge))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(live, pa.int32()), pa.array([k] * len(live), pa.int32()), pa.array([p] * len(live), pa.int64()),
+                    pa.array([own[by[edge[i] : edge[i + 1]]].tobytes() for i in live], pa.binary()),
+                ], names=["slice", "bucket", "piece", "cids"])
+
+    def attach(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What is known of a slice's classes, for each piece that asks."""
+        cid, label, n, sketch = (left.column(x).to_pylist() for x in ("cid", "label", "n", "sketch"))
+        at = {c: i for i, c in enumerate(cid)}
+        rows = []
+        for c in right.column("cids").to_pylist():
+            i = [at[c[j : j + 16]] for j in range(0, len(c), 16)]
+            own = [sketch[x] for x in i]
+            rows.append((b"".join(label[x] for x in i), np.array([n[x] for x in i], np.int64).tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), b"".join(own)))
+        return pa.table({
+            **{x: right.column(x) for x in ("bucket", "piece", "cids")}, **{x: pa.array([r[i] for r in rows], pa.binary()) for i, x in enumerate(("labels", "n", "bytes", "sketches"))}
+        })
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
         outs_a, outs_b = [], []
         if left.num_rows and right.num_rows:
-            about = {c: (lab, n, sk) for c, lab, n, sk in zip(*(right.column(x).to_pylist() for x in ("cid", "label", "n", "sketch")))}
+            about = {}
+            for c, lab, n, size, sk in zip(*(right.column(x).to_pylist() for x in ("cids", "labels", "n", "bytes", "sketches"))):
+                n, size = np.frombuffer(n, np.int64).tolist(), np.frombuffer(size, np.int64)
+                end = np.cumsum(size).tolist()
+                for j in range(len(n)):
+                    about[c[16 * j : 16 * j + 16]] = (lab[16 * j : 16 * j + 16], n[j], sk[end[j] - int(size[j]) : end[j]])
             for s, m, c in zip(*(left.column(x).to_pylist() for x in ("sizes", "members", "classes"))):
                 size, member, table, begin = _unpack(s, m, c)
                 info = [about[x.tobytes()] for x in table]
@@ -399,7 +428,12 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool)
                 outs_b += [x.tobytes() for x in table[pair % len(table)]]
         return pa.table({"a": pa.array(outs_a, pa.binary()), "b": pa.array(outs_b, pa.binary())})
 
-    who = groups.select("bucket", "piece", "classes").mapInArrow(names, "bucket int, piece long, cid binary").join(known, "cid")
+    asked = groups.select("bucket", "piece", "classes").mapInArrow(names, "slice int, bucket int, piece long, cids binary")
+    slice_of = F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("bigint") % slices
+    who = (
+        known.withColumn("slice", slice_of.cast("int")).groupBy("slice").cogroup(asked.groupBy("slice"))
+        .applyInArrow(lean(attach), "bucket int, piece long, cids binary, labels binary, n binary, bytes binary, sketches binary")
+    )
     return groups.groupBy("bucket", "piece").cogroup(who.groupBy("bucket", "piece")).applyInArrow(lean(cross), "a binary, b binary").distinct()
 
 
