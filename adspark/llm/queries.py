@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_ppm, op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore
+from . import op1_ppm, op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore, oracles
 
 
 def queries() -> dict:
@@ -13,4 +13,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express: no tokenizer, trained model, crc32 or byte-wise repeats."""
+    return {"op4_chat": oracles.OP4, "op5_jaccard": oracles.OP5, "op8_embeddings": oracles.OP8}
