@@ -48,9 +48,8 @@ def unescape(s: str) -> str:
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """A turn's string and where its text lies in it."""
-    head = f"{OPEN}{escape(role)}\n"
-    if "\n" in role:
-        head = f"{OPEN}{escape(role).replace(chr(10), chr(92) + chr(10))}\n"
+    # the first plain newline ends the role
+    head = OPEN + escape(role).replace("\n", "\\\n") + "\n"
     body = escape(text)
     return head + body + CLOSE, len(head), len(head) + len(body)
 
@@ -205,8 +204,6 @@ def read_back(packs: DataFrame) -> DataFrame:
 
 def format_conversations(turns: DataFrame, pack_chars: int = PACK_CHARS) -> tuple[DataFrame, DataFrame]:
     """The packed sequences, and (conv_id, leaf) of every conversation."""
-    import xxhash  # noqa: F401
-
     spark = turns.sparkSession
     bound_batches(spark)
     convs = materialize(fold_conversations(turns), "conversations")
