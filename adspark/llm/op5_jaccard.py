@@ -13,8 +13,8 @@ of that part travels with the signature and parts sets that do not.
 Equal sets are one class, by a 128-bit hash of the set, before anything else.
 Signatures travel packed; the task of a bucket finds the groups of classes
 that share one. Links are then settled in rounds: first each class against the
-least class of most of its groups, then against the likeliest of each other
-component, then every pair of a group that is still in different components. Before a pair's sets are fetched, its odd
+least class of most of its groups, then against the likeliest class of other
+components, twice, then every pair of a group that is still in two components. Before a pair's sets are fetched, its odd
 sketches (xor of one bit per feature, so they never differ in more bits than
 the sets differ in features) must allow the link. The test itself is exact, in
 integers. No pair that shares a signature goes untested unless both ends are in
@@ -347,8 +347,7 @@ def _stars(groups: DataFrame) -> DataFrame:
 def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     """Pairs of a group in different components whose sketches allow a link.
 
-    Not ``every``: of a class and another component, only the pair whose
-    sketches differ least.
+    Not ``every``: of a class, only the pair whose sketches differ least.
     """
 
     spark = groups.sparkSession
@@ -418,10 +417,7 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool)
                         fit = differ * (den + num) <= (n[x] + n[y]) * (den - num)
                         y = y[fit]
                         if not every and len(y) > 1:
-                            by = np.lexsort((differ[fit], label[y]))
-                            first = np.ones(len(by), bool)
-                            first[1:] = label[y][by][1:] != label[y][by][:-1]
-                            y = y[by[first]]
+                            y = y[differ[fit].argmin(keepdims=True)]
                         got.append(np.minimum(x, y) * len(table) + np.maximum(x, y))
                 pair = np.unique(np.concatenate(got))
                 outs_a += [x.tobytes() for x in table[pair // len(table)]]
@@ -496,7 +492,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     one = _verified(_stars(groups), classes, docs, width, num, den)
     links = one
     comp = materialize(components(links).withColumnsRenamed({"id": "cid", "component": "label"}), "comp")
-    for every in (False, True):
+    for every in (False, False, True):
         known = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), "n", "sketch")
         more = materialize(_rest(groups, known, num, den, every), "more")
         if more.isEmpty():
