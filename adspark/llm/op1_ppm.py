@@ -9,11 +9,17 @@ symbols left are equally likely. So probabilities of all texts sum to one.
 
 Pretrained: the counts come from the training rows. Tasks count their n-grams,
 buckets add the tasks' counts, and each order keeps the n-grams with at least
-total / ``nodes`` occurrences; no more than ``nodes`` can have so many, which
-bounds the broadcast model whatever the input's size. As a node's suffix is at
-least as frequent, the kept n-grams form a trie, and each context's followers
-are among its suffix's: exclusion is a subtraction that is worked out once per
-context, and scoring is table lookups over all positions at once.
+``floor`` occurrences, so the model grows with the input. As a node's suffix is
+at least as frequent, the kept n-grams form a trie, and each context's
+followers are among its suffix's: exclusion is a subtraction that is worked out
+once per context, and scoring is table lookups over many positions at once.
+
+The trie is never in one place. A bucket holds all contexts that end with the
+same three symbols, whole; orders below three are small and are broadcast. Positions
+travel packed to their context's bucket, and sums per document come back. The
+longest n-grams with at least total / 2**23 occurrences are broadcast with
+their final probabilities, which spares their positions the way and changes no
+score.
 
 Adaptive: a text is scored by a trie that learns from the text itself as it
 goes (``AdaptivePPM``).
@@ -43,12 +49,17 @@ ORDER = 6
 #: A byte that no UTF-8 text holds ends a text and stands before it.
 END = 0xFF
 SYMBOLS = 256
-NODES = 1 << 21
+#: Contexts that end with the same symbols, so many, share a bucket.
+JOINT = 3
+#: Of n-grams with at least one in so many occurrences, tasks know the probability beforehand.
+CACHE = 1 << 23
 #: Rarer n-grams tell less about a context than its suffix does.
 FLOOR = 4
 HEAVY = 1 << 18
 END_WORD = U64(0x1D0E5EED)
 HOLD = 3 << 20
+#: Positions that a task holds before it hands them on.
+SEND = 4 << 20
 
 
 # -- the two token streams -----------------------------------------------------
@@ -90,26 +101,36 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Model:
     """A trie as sorted n-gram codes per order, with the log10 terms of every path through it."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.order = len(grams) - 1
-        self.codes, self.count = [], []
+    PARTS = ("codes", "count", "n", "ctx", "own_d", "own_esc", "sub_d", "sub_esc", "suffix", "size", "total", "other")
+
+    def __init__(self, grams: list[tuple[np.ndarray, ...]], base: Model | None = None):
+        """``grams``: codes and counts per order, and contexts with all their occurrences where these are known; orders above ``base``'s."""
+        for x in self.PARTS:
+            setattr(self, x, list(getattr(base, x)) if base else [])
+        low = len(self.codes)
+        self.order = low + len(grams) - 1
         f4 = np.float32
-        self.ctx, self.own_d, self.own_esc, self.sub_d, self.sub_esc, self.suffix = [], [], [], [], [], []
-        size: list[np.ndarray] = []
-        total: list[np.ndarray] = []
-        other: list[np.ndarray] = []
+        size, total, other = self.size, self.total, self.other
+        self.tables: dict = dict(base.tables) if base else {}
+        if base:
+            self.left, self.best = base.left, base.best
+        if not grams:
+            return
         log = lambda x: np.log10(np.maximum(x, 1e-300))
-        for k, (codes, n) in enumerate(grams):
+        for k, (codes, n, *whole) in enumerate(grams, low):
             ctx, owner = np.unique(codes >> U64(8), return_inverse=True)
             q = np.bincount(owner, minlength=len(ctx)).astype(float)
             t = np.bincount(owner, n, minlength=len(ctx))
             # occurrences of the context whose follower is not kept go to the escape
             seen = t
-            if k:
+            if whole and len(ctx):
+                seen = whole[1][lookup(whole[0], ctx)[0]]
+            elif k and len(ctx):
                 at, have = lookup(self.codes[k - 1], ctx)
-                seen = np.where(have, grams[k - 1][1][at], t) if len(ctx) else t
+                seen = np.where(have, self.n[k - 1][at], t) if len(self.n[k - 1]) else t
             lost = np.maximum(seen - t, 0)
             self.codes.append(codes)
+            self.n.append(n)
             self.count.append(np.log10(n - 0.5).astype(f4))
             self.ctx.append(ctx)
             self.own_d.append(log(t + lost).astype(f4))
@@ -118,7 +139,7 @@ class Model:
                 # a context's suffix, less the symbols that the context itself offers
                 suffix, _ = lookup(self.ctx[k - 1], ctx & U64((1 << (8 * (k - 1))) - 1))
                 below, _ = lookup(self.codes[k - 1], codes & U64((1 << (8 * k)) - 1))
-                x = np.bincount(owner, grams[k - 1][1][below], minlength=len(ctx))
+                x = np.bincount(owner, self.n[k - 1][below], minlength=len(ctx))
                 left = size[k - 1][suffix] - q
                 d = total[k - 1][suffix] - x + other[k - 1][suffix]
                 e = left / 2 + other[k - 1][suffix]
@@ -134,7 +155,6 @@ class Model:
             other.append(lost)
         self.left = SYMBOLS - (int(size[0][0]) if len(size[0]) else 0)
         self.best = self.count[-1] - self.own_d[-1][owner] if len(owner) else self.count[-1]
-        self.tables: dict = {}
 
     def __getstate__(self):
         return self.__dict__ | {"tables": {}}
@@ -142,25 +162,9 @@ class Model:
     def _find(self, what: str, k: int, keys: np.ndarray) -> np.ndarray:
         """The place of each key among an order's n-grams or contexts, or -1: an open-addressed table."""
         known = (self.codes if what == "codes" else self.ctx)[k]
-        out = np.full(len(keys), -1, np.int32)
-        if not len(known) or not len(keys):
-            return out
-        if (what, k) not in self.tables:
+        if len(known) and len(keys) and (what, k) not in self.tables:
             self.tables[what, k] = _open_table(known)
-        table, bits = self.tables[what, k]
-        live, slot = None, (mix(keys) >> U64(64 - bits)).astype(np.int32)
-        while live is None or len(live):
-            found = table[slot]
-            hit = (found >= 0) & (known[found] == (keys if live is None else keys[live]))
-            more = np.flatnonzero(~hit & (found >= 0))
-            if live is None:
-                np.copyto(out, found, where=hit)
-                live = more
-            else:
-                out[live[hit]] = found[hit]
-                live = live[more]
-            slot = (slot[more] + 1) & np.int32((1 << bits) - 1)
-        return out
+        return _probe(known, self.tables.get((what, k)), keys)
 
     def log10(self, code: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         """log10 probability of each position's symbol in its context."""
@@ -209,6 +213,48 @@ def _open_table(known: np.ndarray) -> tuple[np.ndarray, int]:
     return table, bits
 
 
+def _probe(known: np.ndarray, opened: tuple[np.ndarray, int] | None, keys: np.ndarray) -> np.ndarray:
+    out = np.full(len(keys), -1, np.int32)
+    if not len(known) or not len(keys):
+        return out
+    table, bits = opened
+    live, slot = None, (mix(keys) >> U64(64 - bits)).astype(np.int32)
+    while live is None or len(live):
+        found = table[slot]
+        hit = (found >= 0) & (known[found] == (keys if live is None else keys[live]))
+        more = np.flatnonzero(~hit & (found >= 0))
+        if live is None:
+            np.copyto(out, found, where=hit)
+            live = more
+        else:
+            out[live[hit]] = found[hit]
+            live = live[more]
+        slot = (slot[more] + 1) & np.int32((1 << bits) - 1)
+    return out
+
+
+class Cache:
+    """Final log10 probabilities of frequent n-grams of the full order."""
+
+    def __init__(self, codes: np.ndarray, best: np.ndarray):
+        self.codes, self.best, self.table = codes, best, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def log10(self, code: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Each position's log10 probability, 0 where it is not known, and the positions where it is not."""
+        if self.table is None and len(self.codes):
+            self.table = _open_table(self.codes)
+        out, miss = np.zeros(len(code)), []
+        for i in range(0, len(code), block):
+            at = _probe(self.codes, self.table, code[i : i + block])
+            hit = at >= 0
+            out[i : i + block][hit] = self.best[at[hit]]
+            miss.append(np.flatnonzero(~hit) + i)
+        return out, np.concatenate(miss) if miss else np.zeros(0, np.int64)
+
+
 class AdaptivePPM:
     """A context trie that learns a text while it codes it."""
 
@@ -289,12 +335,29 @@ def from_small_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Ascending words, small."""
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes(values), asbytes=True)
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return from_planes(pa.Codec("zstd").decompress(b[8:], 8 * int.from_bytes(b[:8], "little"), asbytes=True))
+
+
+def pack_small(values: np.ndarray) -> bytes:
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(small_planes(values.astype(np.uint32)), asbytes=True)
+
+
+def unpack_small(b: bytes) -> np.ndarray:
+    return from_small_planes(pa.Codec("zstd").decompress(b[8:], 4 * int.from_bytes(b[:8], "little"), asbytes=True))
+
+
 WORDS, GRAMS = 0, 1
 
 
 def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    # n-grams with the same last three symbols meet, so orders from 2 are whole in a bucket
-    return (mix(keys & U64((1 << 24) - 1)) if kind == GRAMS else mix(keys)) % U64(buckets)
+    # n-grams whose contexts end alike meet, so contexts of JOINT symbols and more are whole in a bucket
+    return (mix((keys >> U64(8)) & U64((1 << (8 * JOINT)) - 1)) if kind == GRAMS else mix(keys)) % U64(buckets)
 
 
 def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -312,7 +375,7 @@ def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
                 edge = np.searchsorted(b[at], np.arange(buckets + 1, dtype=np.uint64))
                 for j in np.flatnonzero(np.diff(edge)):
                     own = at[edge[j] : edge[j + 1]]
-                    rows.append((kind, int(j), planes(keys[own]), small_planes(np.minimum(n[own], 0xFFFFFFFF).astype(np.uint32))))
+                    rows.append((kind, int(j), pack(keys[own]), pack_small(np.minimum(n[own], 0xFFFFFFFF))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))],
                 names=["kind", "bucket", "keys", "counts"],
@@ -330,62 +393,74 @@ def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
             yield flush()
 
     def add(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([from_planes(x.as_py()) for x in t.column("keys")])
-        n = np.concatenate([from_small_planes(x.as_py()) for x in t.column("counts")])
+        keys = np.concatenate([unpack(x.as_py()) for x in t.column("keys")])
+        n = np.concatenate([unpack_small(x.as_py()) for x in t.column("counts")])
         keys, n = counted(keys, n.astype(np.int64))
         return pa.table({
             "kind": t.column("kind").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "n": pa.array([len(keys)]), "total": pa.array([int(n.sum())]),
-            "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()),
+            "keys": pa.array([pack(keys)], pa.binary()), "counts": pa.array([pack(np.cumsum(n).astype(U64))], pa.binary()),
         })
 
     parts = train.select("text").mapInArrow(lean(count), "kind int, bucket int, keys binary, counts binary")
     return materialize(parts.groupBy("kind", "bucket").applyInArrow(lean(add), "kind int, bucket int, n long, total long, keys binary, counts binary"), "counts")
 
 
-def fit(counts: DataFrame, order: int, nodes: int = NODES, floor: int = FLOOR) -> Model:
-    """The model of the kept n-grams; what the driver gets is bounded by ``nodes`` an order."""
+def read_counts(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return unpack(keys), np.diff(unpack(counts).view(np.int64), prepend=0)
+
+
+def kept(codes: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams with ``least`` occurrences, and all contexts with all their occurrences."""
+    c = codes >> U64(8)
+    new = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
+    ok = n >= least
+    return codes[ok], n[ok], c[new], np.add.reduceat(n, new) if len(c) else n
+
+
+def upper(keys: np.ndarray, n: np.ndarray, order: int, floor: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """A bucket's kept n-grams of the orders from JOINT, and all n-grams of the order below."""
+    out = []
+    for k in range(order, JOINT - 1, -1):
+        out.append(kept(keys, n, floor))
+        keys, n = counted(keys & U64((1 << (8 * k)) - 1), n)
+    return out[::-1], keys, n
+
+
+def fit(counts: DataFrame, order: int, floor: int = FLOOR) -> tuple[Model, Cache]:
+    """The model of the orders below JOINT, and the cache."""
     total = counts.where(F.col("kind") == GRAMS).agg(F.sum("total")).first()[0] or 0
-    least = max(floor, -(-total // nodes))
+    often = max(floor, -(-total // CACHE))
+    top = min(order, JOINT - 1)
 
-    def keep(batches):
+    def split(batches):
         for b in batches:
-            out = []
             for keys, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                keys, n = np.frombuffer(keys, U64), np.frombuffer(n, np.int64)
-                for k in range(order, -1, -1):
-                    if k < order:
-                        keys, n = counted(keys & U64((1 << (8 * (k + 1))) - 1), n)
-                    # orders 0 and 1 are not whole in a bucket and are small: they go on as they are
-                    ok = n >= (least if k > 1 else 1)
-                    out.append((k, keys[ok].tobytes(), n[ok].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2))], names=["k", "keys", "counts"])
-
-    def short(batches):
-        for b in batches:
-            for k, keys, n in zip(*(b.column(c).to_pylist() for c in ("k", "keys", "counts"))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys) // 8, k, np.int32)), pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["k", "code", "n"])
-
-    kept = materialize(counts.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(keep, "k int, keys binary, counts binary"), "grams")
-    grams: list = [None] * (order + 1)
-    low = kept.where("k < 2").mapInArrow(short, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
-    lk, lc, ln = (low.column(c).to_numpy() for c in ("k", "code", "n"))
-    for k in range(min(2, order + 1)):
-        ok = lk == k
-        at = np.argsort(lc[ok])
-        grams[k] = (lc[ok][at].view(U64), ln[ok][at])
-    for k in range(2, order + 1):
-        rows = kept.where(F.col("k") == k).select("keys", "counts").toArrow()
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), U64)
-        n = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
-        at = np.argsort(keys)
-        grams[k] = (keys[at], n[at])
-    return Model(grams)
+                orders, codes, n = upper(*read_counts(keys, n), order, floor)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(codes), bool)), pa.array(codes.view(np.int64)), pa.array(n), pa.nulls(len(codes), pa.float32())], names=["top", "code", "n", "best"])
+                if orders:
+                    codes, n, *_ = orders[-1]
+                    ok = n >= often
+                    best = Model([orders[-1]]).best[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(best), bool)), pa.array(codes[ok].view(np.int64)), pa.array(n[ok]), pa.array(best, pa.float32())], names=["top", "code", "n", "best"])
+
+    rows = materialize(counts.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(lean(split), "top boolean, code long, n long, best float"), "grams")
+    low = rows.where("NOT top").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = counted(low.column("code").to_numpy().view(U64), low.column("n").to_numpy())
+    grams = []
+    for k in range(top, -1, -1):
+        # orders 0 and 1 are small and stay whole
+        grams.append(kept(keys, n, floor if k > 1 else 1))
+        keys, n = counted(keys & U64((1 << (8 * k)) - 1), n)
+    heavy = rows.where("top").select("code", "best").toArrow()
+    codes = heavy.column("code").to_numpy().view(U64)
+    at = np.argsort(codes)
+    return Model(grams[::-1]), Cache(codes[at], heavy.column("best").to_numpy()[at])
 
 
 # -- scoring -------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", nodes: int = NODES, floor: int = FLOOR) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", floor: int = FLOOR) -> DataFrame:
     """``docs`` (doc_id, text, and a boolean column that marks training rows): scores of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -394,12 +469,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
     counts = corpus_counts(docs.where("train"), order, buckets)
     words = counts.where(F.col("kind") == WORDS)
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    model = spark.sparkContext.broadcast(fit(counts, order, nodes, floor))
+    model, known_grams = (spark.sparkContext.broadcast(x) for x in fit(counts, order, floor))
 
     def often(batches):
         for b in batches:
             for keys, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+                keys, n = read_counts(keys, n)
+                keys = keys.view(np.int64)
                 ok = n * HEAVY > total
                 yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(n[ok])], names=["word", "n"])
 
@@ -414,13 +490,42 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
 
         chunk = TaskContext.get().partitionId() << 32
         hw, hl = heavy.value
+        none = lambda k, n: pa.nulls(n, k)
+        held: tuple[list, list] = ([], [])  # (keys, documents of the chunk) of words and of positions
+        count = size = 0
+
+        def flush():
+            """A row per kind and bucket: its distinct keys, how often each comes, and the documents in the keys' order."""
+            rows = []
+            for kind, parts in enumerate(held):
+                keys, who = (np.concatenate(x) for x in zip(*parts))
+                by = np.argsort(keys)
+                keys, who = keys[by], who[by]
+                by = np.argsort(_bucket(kind, keys, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+                keys, who = keys[by], who[by]
+                new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                keys, runs = keys[new], np.diff(np.append(new, len(keys)))
+                own = _bucket(kind, keys, buckets)
+                edge = np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
+                ends = np.append(new, len(who))
+                for j in np.flatnonzero(np.diff(edge)):
+                    x, y = edge[j], edge[j + 1]
+                    rows.append((kind + 1, int(j), pack(keys[x:y]), pack_small(runs[x:y]), pack_small(who[ends[x] : ends[y]])))
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int32()), none(pa.int64(), n), none(pa.bool_(), n), pa.array(np.full(n, chunk)), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.float64(), n),
+                none(pa.float64(), n), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)),
+            ], names=NAMES)
+
         for b in batches:
             data, off = flat(b.column("text"))
             docs = len(off) - 1
             if not docs:
                 continue
             code, first = gram_codes(data, off, order)
-            p = np.add.reduceat(model.value.log10(code), first)
+            p, miss = known_grams.value.log10(code)
+            p = np.add.reduceat(p, first)
+            held[GRAMS].append((code[miss], (np.searchsorted(first, miss, side="right") - 1 + count).astype(np.uint32)))
             del code
             w, at = word_hashes(data, off)
             owner = np.repeat(np.arange(docs), np.diff(at))
@@ -429,74 +534,80 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", n
             owner2 = np.concatenate((owner, np.arange(docs)))
             known = np.bincount(owner2[have], minlength=docs)
             s = np.bincount(owner2[have], hl[place[have]], minlength=docs) - n_tokens * unit
-            chunk += 1
-            place_of = pa.array(np.arange(docs), pa.int32())
-            none = lambda k, n: pa.nulls(n, k)
+            place_of = pa.array(np.arange(count, count + docs), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.zeros(docs, np.int32)), b.column("doc_id"), b.column("train"), pa.array(np.full(docs, chunk)), place_of, pa.array(n_tokens), pa.array(known), pa.array(s), pa.array(p),
-                none(pa.int32(), docs), none(pa.binary(), docs), none(pa.binary(), docs),
+                none(pa.int32(), docs), none(pa.binary(), docs), none(pa.binary(), docs), none(pa.binary(), docs),
             ], names=NAMES)
             rare = np.flatnonzero(~have)
-            h, o = np.concatenate((w, np.full(docs, END_WORD)))[rare], owner2[rare]
-            k = _bucket(WORDS, h, buckets)
-            by = np.argsort(k, kind="stable")
-            edge = np.searchsorted(k[by], np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for j in np.flatnonzero(np.diff(edge)):
-                own = by[edge[j] : edge[j + 1]]
-                rows.append((int(j), h[own].tobytes(), o[own].astype(np.uint16 if docs < 1 << 16 else np.uint32).tobytes()))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.ones(n, np.int32)), none(pa.int64(), n), none(pa.bool_(), n), pa.array(np.full(n, chunk)), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.float64(), n),
-                none(pa.float64(), n), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)),
-            ], names=NAMES)
+            held[WORDS].append((np.concatenate((w, np.full(docs, END_WORD)))[rare], (owner2[rare] + count).astype(np.uint32)))
+            count += docs
+            size += len(miss)
+            if size > SEND:
+                yield flush()
+                held, count, size, chunk = ([], []), 0, 0, chunk + 1
+        if count:
+            yield flush()
 
-    NAMES = ["kind", "doc_id", "train", "chunk", "place", "n_tokens", "n_known", "base", "score", "bucket", "words", "at"]
+    NAMES = ["kind", "doc_id", "train", "chunk", "place", "n_tokens", "n_known", "base", "score", "bucket", "words", "runs", "at"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = materialize(
         docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-            lean(score), "kind int, doc_id long, train boolean, chunk long, place int, n_tokens long, n_known long, base double, score double, bucket int, words binary, at binary"
+            lean(score), "kind int, doc_id long, train boolean, chunk long, place int, n_tokens long, n_known long, base double, score double, bucket int, words binary, runs binary, at binary"
         ),
         "scores",
     )
 
     def rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A row per chunk that has words in the bucket: where they are known, and log counts."""
+        """A row per chunk that has words or positions in the bucket: where they are known, and sums of logs."""
         chunk, at, logs = [], [], []
-        if left.num_rows and right.num_rows:
-            table = np.frombuffer(left.column("keys")[0].as_py(), U64)
-            n = np.log10(np.frombuffer(left.column("counts")[0].as_py(), np.int64) + 1.0)
-            for c, w, p in zip(*(right.column(c).to_pylist() for c in ("chunk", "words", "at"))):
-                w = np.frombuffer(w, U64)
-                p = np.frombuffer(p, np.uint16 if len(p) == 2 * len(w) else np.uint32)
-                i, have = lookup(table, w)
-                who, idx = np.unique(p[have], return_inverse=True)
+        if right.num_rows:
+            kind = right.column("kind")[0].as_py() - 1
+            none = np.zeros(0, U64), np.zeros(0, np.int64)
+            table, n = read_counts(left.column("keys")[0].as_py(), left.column("counts")[0].as_py()) if left.num_rows else none
+            trie = Model(upper(table, n, order, floor)[0], model.value) if kind == GRAMS else None
+            for c, w, r, p in zip(*(right.column(c).to_pylist() for c in ("chunk", "words", "runs", "at"))):
+                w, r, p = unpack(w), unpack_small(r), unpack_small(p)
+                if kind == GRAMS:
+                    have, log = np.ones(len(w), bool), trie.log10(w)
+                else:
+                    i, have = lookup(table, w)
+                    log = np.where(have, np.log10(n[i] + 1.0), 0.0) if len(n) else np.zeros(len(w))
+                some = np.repeat(have, r)
+                who, idx = np.unique(p[some], return_inverse=True)
                 chunk.append(c)
                 at.append(np.stack((who.astype(np.int64), np.bincount(idx, minlength=len(who)))).tobytes())
-                logs.append(np.bincount(idx, n[i[have]], minlength=len(who)).astype(float).tobytes())
-        return pa.table({"chunk2": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary())})
+                logs.append(np.bincount(idx, np.repeat(log, r)[some], minlength=len(who)).astype(float).tobytes())
+        return pa.table({"kind2": pa.array([kind] * len(chunk) if chunk else [], pa.int32()), "chunk2": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
         """A row per document of a chunk, from its buckets' rows."""
-        places = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in t.column("at")]
-        who, n = np.concatenate(places, axis=1)
-        s = np.bincount(who, np.concatenate([np.frombuffer(x.as_py()) for x in t.column("logs")]))
-        s, k = s.astype(float), np.bincount(who, n).astype(np.int64)
-        some = np.flatnonzero(k)
-        return pa.table({"chunk2": np.full(len(some), t.column("chunk2")[0].as_py()), "place2": pa.array(some, pa.int32()), "s": s[some], "k": k[some]})
+        kinds = t.column("kind2").to_pylist()
+        sums = []
+        for kind in (WORDS, GRAMS):
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            places = [np.frombuffer(t.column("at")[i].as_py(), np.int64).reshape(2, -1) for i in own]
+            who, n = np.concatenate(places or [np.zeros((2, 0), np.int64)], axis=1)
+            logs = np.concatenate([np.frombuffer(t.column("logs")[i].as_py()) for i in own] or [np.zeros(0)])
+            sums.append((np.bincount(who, n).astype(np.int64), np.bincount(who, logs).astype(float)))
+        size = max(len(x[0]) for x in sums)
+        (k, s), (g, p) = (tuple(np.pad(x, (0, size - len(x))) for x in y) for y in sums)
+        some = np.flatnonzero(k + g)
+        return pa.table({"chunk2": np.full(len(some), t.column("chunk2")[0].as_py()), "place2": pa.array(some, pa.int32()), "s": s[some], "k": k[some], "p": p[some]})
 
     light = (
-        words.select("bucket", "keys", "counts").groupBy("bucket")
-        .cogroup(both.where("kind = 1").select("bucket", "chunk", "words", "at").groupBy("bucket"))
-        .applyInArrow(lean(rest), "chunk2 long, at binary, logs binary")
-        .groupBy("chunk2").applyInArrow(lean(add), "chunk2 long, place2 int, s double, k long")
+        counts.withColumn("kind", F.col("kind") + 1).select("kind", "bucket", "keys", "counts").groupBy("kind", "bucket")
+        .cogroup(both.where("kind > 0").select("kind", "bucket", "chunk", "words", "runs", "at").groupBy("kind", "bucket"))
+        .applyInArrow(lean(rest), "kind2 int, chunk2 long, at binary, logs binary")
+        .groupBy("chunk2").applyInArrow(lean(add), "chunk2 long, place2 int, s double, k long, p double")
     )
     return (
         both.where("kind = 0")
         .join(light, (F.col("chunk") == F.col("chunk2")) & (F.col("place") == F.col("place2")), "left")
         .select(
             F.col("doc_id").cast(kind), "train", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base_score"), "score",
+            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base_score"),
+            (F.col("score") + F.coalesce("p", F.lit(0.0))).alias("score"),
         )
     )
 

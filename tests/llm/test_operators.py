@@ -84,6 +84,26 @@ def test_op1_probabilities_sum_to_one(least):
     assert np.allclose((10 ** model.log10(every.ravel())).reshape(-1, 256).sum(axis=1), 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("cache", [1 << 3, 1 << 23])
+def test_op1_whole_trie(spark, sf, table, monkeypatch, cache):
+    """Scores are those of one trie of all n-grams with FLOOR occurrences, in however many buckets and whatever is known beforehand."""
+    monkeypatch.setattr(op1_ppm, "CACHE", cache)
+    monkeypatch.setattr(op1_ppm, "SEND", 5000)
+    out = collect(op1_ppm.op1_ppm(spark, sf[0]))
+    own = by_row(table, out, "score")
+    texts = [(t or "").encode() for i, t in table if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    spans = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in x]))))
+    k, n = op1_ppm.uniques(op1_ppm.gram_codes(*spans(texts), op1_ppm.ORDER)[0])
+    grams = []
+    for o in range(op1_ppm.ORDER, -1, -1):
+        grams.append(op1_ppm.kept(k, n, op1_ppm.FLOOR if o > 1 else 1))
+        k, n = op1_ppm.counted(k & np.uint64((1 << (8 * o)) - 1), n)
+    model = op1_ppm.Model(grams[::-1])
+    code, first = op1_ppm.gram_codes(*spans([(t or "").encode() for _, t in table]), op1_ppm.ORDER)
+    for (i, _), want in zip(table, np.add.reduceat(model.log10(code), first)):
+        assert any(math.isclose(g[0], want, rel_tol=1e-5) for g in own[i]), (i, own[i], want)
+
+
 def test_op1_adaptive(spark, docs):
     fresh, again = op1_ppm.AdaptivePPM(), op1_ppm.AdaptivePPM()
     once = fresh.log10(b"abracadabra")
