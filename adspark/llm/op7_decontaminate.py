@@ -16,7 +16,9 @@ is the broadcast side of one scan, so its size is bounded whatever the
 benchmark's, and no document text is shuffled.
 
 Windows with fewer than half of their tokens outside placeholders are no
-evidence and are left out on both sides, unless an item has no others. Items
+evidence and are left out on both sides. An item that has no others (sums,
+equations, lists of names) is found by windows of its own values instead, so
+its verbatim copies are found and the same with other values throughout is not. Items
 shorter than a window are one window of their own length. Null or empty text:
 no tokens, no match. Null ids are carried as they are. Equal items each match.
 Repeated rows repeat. Empty tables: no rows.
@@ -85,8 +87,8 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return template, value, np.searchsorted(start, begin)
 
 
-def windows(template: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's windows of ``width`` tokens that have words enough."""
+def windows(template: np.ndarray, first: np.ndarray, width: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of a text's windows of ``width`` tokens that have words enough, or of all."""
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -96,7 +98,7 @@ def windows(template: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
     h += U64(width)
     plain = np.concatenate(([0], np.cumsum(template > U64(3))))
     text = np.searchsorted(first, np.arange(len(template) + 1), side="right")
-    ok = (2 * (plain[width:] - plain[:-width]) >= width) & (text[:n] == text[width - 1 : width - 1 + n])
+    ok = (every | (2 * (plain[width:] - plain[:-width]) >= width)) & (text[:n] == text[width - 1 : width - 1 + n])
     at = np.flatnonzero(ok)
     return at, h[at]
 
@@ -106,44 +108,42 @@ class Index:
 
     def __init__(self, items: list[tuple], width: int):
         self.items = []
-        hashes, item, place = [], [], []
+        # windows of templates, and windows of values of the items that have no others
+        found: tuple[list, list] = ([], [])
         for key, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             t, v, first = tokens(data, np.array([0, len(data)]))
             w = min(width, len(t))
             at, h = windows(t, np.array([0]), w) if w else (np.zeros(0, np.int64), np.zeros(0, U64))
+            bare = w > 0 and not len(at)
+            if bare:
+                at, h = windows(v, np.array([0]), w, every=True)
+            found[bare].append((h, np.full(len(at), len(self.items)), at, [w] * (len(at) > 0)))
             self.items.append((key, t, v, len(at), w))
-            hashes.append(h)
-            item.append(np.full(len(at), len(self.items) - 1))
-            place.append(at)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        self.widths = sorted({w for *_, n, w in self.items if n})
+        self.lists = []
+        for parts in found:
+            h, item, place = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U64 if i == 0 else np.int64) for i in range(3))
+            order = np.argsort(h, kind="stable")
+            self.lists.append((h[order], item[order], place[order], sorted({w for p in parts for w in p[3]})))
 
     def matches(self, data: np.ndarray, off: np.ndarray, cover: float) -> list[tuple]:
         """(text, item, windows, found, slots, verbatim) of each contamination."""
-        if not len(self.hash):
+        if not any(len(x[0]) for x in self.lists):
             return []
         t, v, first = tokens(data, off)
         out: list[tuple] = []
-        at, low, high = [], [], []
-        for w in self.widths:
-            a, h = windows(t, first[:-1], w)
-            i = np.searchsorted(self.hash, h)
-            hit = (i < len(self.hash)) & (self.hash[np.minimum(i, len(self.hash) - 1)] == h)
-            at.append(a[hit])
-            low.append(i[hit])
-            high.append(np.searchsorted(self.hash, h[hit], side="right"))
-        at, low, high = (np.concatenate(x) for x in (at, low, high))
-        text = np.searchsorted(first[1:], at, side="right")
         pairs: dict[tuple[int, int], dict[int, list[int]]] = {}
-        for p, d, a, b in zip(at.tolist(), text.tolist(), low.tolist(), high.tolist()):
-            for k in range(a, b):
-                j = int(self.place[k])
-                pairs.setdefault((d, int(self.item[k])), {}).setdefault(p - j, []).append(j)
+        for bare, (known, item, place, widths) in enumerate(self.lists):
+            for w in widths:
+                a, h = windows(v if bare else t, first[:-1], w, every=bool(bare))
+                i = np.searchsorted(known, h)
+                hit = known[np.minimum(i, len(known) - 1)] == h
+                at, low, high = a[hit], i[hit], np.searchsorted(known, h[hit], side="right")
+                text = np.searchsorted(first[1:], at, side="right")
+                for p, d, x, y in zip(at.tolist(), text.tolist(), low.tolist(), high.tolist()):
+                    for k in range(x, y):
+                        j = int(place[k])
+                        pairs.setdefault((d, int(item[k])), {}).setdefault(p - j, []).append(j)
         for (d, i), diagonals in pairs.items():
             key, it, iv, total, w = self.items[i]
             found: set[int] = set()

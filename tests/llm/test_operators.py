@@ -355,6 +355,23 @@ def test_op7(spark):
     assert [r["item_id"] for r in short.collect()] == [11]
 
 
+@pytest.mark.parametrize(
+    "item",
+    [
+        "Solve 3x + 5y = 12 and 2x - 4y = 6.",
+        "What is 125 + 37 - 48 * 2 + 19 - 7 * 3?",
+        "Put Paris, London, Berlin, Madrid, Rome, Vienna, Lisbon and Oslo in order",
+        "12 + 7 = 19",
+    ],
+)
+def test_op7_few_words(item):
+    index = op7_decontaminate.Index([(1, item), (2, "Tell me how the old mill by the river was ever built")], 8)
+    texts = [f"Here it comes: {item} And then some more.", "What is 1 + 2 - 3 * 4 + 5 - 6 * 7? Solve 1x + 2y = 3 and 4x - 5y = 9.", "Put Kyiv, Riga, Bern, Bonn, Nice, Pisa, Cork and Turku in order", "tell me how the old mill by the river was ever built"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = index.matches(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))), 0.5)
+    assert sorted((d, key, verbatim) for d, key, *_, verbatim in found) == [(0, 1, True), (3, 2, True)]
+
+
 def test_op7_slots():
     item = "add 5 apples to 5 pears and give back the 9 plums you took"
     index = op7_decontaminate.Index([(1, item)], 8)
