@@ -45,7 +45,7 @@ from .bytesops import LOWER, counted, flat, hash_spans, lookup, mix, runs_of_wor
 from .common import bound_batches, buckets_for, crc_mod, lean, materialize
 
 U64 = np.uint64
-ORDER = 6
+ORDER = 7
 #: A byte that no UTF-8 text holds ends a text and stands before it.
 END = 0xFF
 SYMBOLS = 256
