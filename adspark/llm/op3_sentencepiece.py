@@ -137,27 +137,33 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.checked = self.differ = 0
+        self.odd = np.zeros(0, bool)
         pieces = self.model["pieces"]
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, k in pieces]
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.table = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.table_at = np.cumsum(self.lengths) - self.lengths
         #: only an identity normaliser leaves segments independent
-        self.segments = SegmentEncoder(self._encode, self.lengths, whole_runs=True) if not self.model["charsmap"] and not self.model["squeeze"] else None
+        self.segments = SegmentEncoder(self._encode, self.lengths, whole_runs=True, differs=self._differs) if not self.model["charsmap"] and not self.model["squeeze"] else None
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [np.array(e.ids, np.int64) for e in found]
+        return [np.array(e.ids, np.int64) for e in found]
+
+    def _differs(self, texts: list[str], ids: list[np.ndarray]) -> np.ndarray:
+        """Which texts have other ids than the reference library's."""
+        out = np.zeros(len(texts), bool)
         if self.reference is not None:
             # segments carry the blank that the library would add
             self.checked += len(texts)
             cut = int(self.model["dummy_prefix"])
             want = self.reference.encode([t[cut:] for t in texts], num_threads=2)
-            self.differ += sum(not np.array_equal(a, np.array(b, np.int64)) for a, b in zip(ids, want))
-        return ids
+            out[:] = [not np.array_equal(a, np.array(b, np.int64)) for a, b in zip(ids, want)]
+            self.differ += int(out.sum())
+        return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the number for each."""
+        """Ids of all texts, and the number for each; ``odd`` marks texts with a segment that differs from the library's."""
         if self.model["dummy_prefix"]:
             # a blank before each text that is not empty
             n = np.diff(off)
@@ -169,8 +175,12 @@ class Codec:
             out[keep] = data
             data, off = out, np.concatenate(([0], off[1:] + shift))
         if self.segments is not None:
-            return self.segments.texts(data, off)
-        found = self._encode([bytes(data[a:b]).decode() for a, b in zip(off[:-1], off[1:])])
+            out = self.segments.texts(data, off)
+            self.odd = self.segments.odd
+            return out
+        texts = [bytes(data[a:b]).decode() for a, b in zip(off[:-1], off[1:])]
+        found = self._encode(texts)
+        self.odd = self._differs(texts, found)
         return (np.concatenate(found).astype(np.uint32) if found else np.zeros(0, np.uint32)), np.array([len(x) for x in found], np.int64)
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +209,7 @@ def codec(blob: bytes, verify: bool) -> Codec:
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verify: bool = True) -> DataFrame:
     """Add ``ids`` array<int>, ``round_trip`` (decoding gives the text back) and ``parity``
-    (every segment of the batch has the reference library's ids).
+    (every segment of the text has the reference library's ids).
 
     The model file travels in the task's closure, under 1 MB.
     """
@@ -218,7 +228,6 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verif
             if not b.num_rows:
                 continue
             data, off = flat(b.column(text))
-            before = coder.differ
             ids, n = coder.encode(data, off)
             back, back_off = coder.decode(ids, n)
             if np.array_equal(back_off, off) and np.array_equal(back, data):
@@ -227,7 +236,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verif
                 same = np.array([bytes(back[a:c]) == bytes(data[d:e]) for a, c, d, e in zip(back_off[:-1], back_off[1:], off[:-1], off[1:])])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(x) for x in names), lists, pa.array(same), pa.array(np.full(len(n), coder.differ == before))],
+                [*(b.column(x) for x in names), lists, pa.array(same), pa.array(~coder.odd)],
                 names=[*names, "ids", "round_trip", "parity"],
             )
 

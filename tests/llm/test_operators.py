@@ -148,6 +148,22 @@ def test_op3_unigram_rebuild():
     assert tok.encode(" ab ab").ids == [4, 4] and tok.decode([4, 4]) == " ab ab"
 
 
+def test_op3_parity_is_per_text():
+    with open(op3_sentencepiece.model_file(), "rb") as f:
+        coder = op3_sentencepiece.Codec(f.read())
+    true = coder.reference
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[0] + x if "zebra" in t else x for t, x in zip(texts, true.encode(texts))]
+
+    coder.reference = Other()
+    for texts in (["a zebra ran", "a horse ran"], ["a horse ran", "", "my zebra ran"], ["zebra", "ran"]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        coder.encode(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+        assert coder.odd.tolist() == ["zebra" in t for t in texts]
+
+
 def test_op10(spark, sf, table):
     import public_tokenizers
     from tokenizers import Tokenizer
