@@ -16,8 +16,8 @@ forest of the links found there. A slab with more rows than a tile holds is
 dealt to tiles by hash, homes against homes and guests, so a hot slab is many
 tasks.
 
-Null, zero and non-finite vectors, vectors of another length than most, and a
-null id link with nothing. Repeated ids with equal vectors count as copies.
+Vectors link within their own length; each length is a join of its own. Null,
+zero and non-finite vectors and a null id link with nothing. Repeated ids with equal vectors count as copies.
 Empty table: no rows.
 """
 
@@ -110,12 +110,13 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axe
     )
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.where("sound AND vec_id IS NOT NULL").select("vec_id", e.alias("vector")).withColumn("dim", F.size("vector"))
-    top = good.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    copies = None
-    if top is not None:
-        dim = top["dim"]
-        good = good.where(F.col("dim") == dim).select("vec_id", "vector")
-        one = materialize(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    # a vector that is alone in its length links with nothing
+    dims = sorted(r["dim"] for r in good.groupBy("dim").count().where("count > 1").collect())
+    joined = F.col("sound") & F.col("vec_id").isNotNull() & F.size("embedding").isin(dims)
+    out = rows.where(~F.coalesce(joined, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for dim in dims:
+        own = good.where(F.col("dim") == dim).select("vec_id", "vector")
+        one = materialize(own.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
         found = materialize(_join(one, dim, budget, threshold, blocks, axes), "near")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("near"))
         comp = components(found.where("b IS NOT NULL").select("a", "b"))
@@ -124,13 +125,7 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axe
             .join(comp, F.col("rep") == F.col("id"), "left")
             .select("vector", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
         )
-        copies = good.join(per, "vector").select("vec_id", "n_links", "component_id", F.lit(True).alias("_seen"))
-    alone = rows.where("NOT sound OR vec_id IS NULL" if copies is not None else "true")
-    if copies is not None:
-        alone = alone.unionByName(rows.where(F.col("sound") & F.col("vec_id").isNotNull() & (F.size("embedding") != dim)))
-    out = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if copies is not None:
-        out = copies.drop("_seen").unionByName(out)
+        out = own.join(per, "vector").select("vec_id", "n_links", "component_id").unionByName(out)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

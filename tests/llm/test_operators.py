@@ -428,6 +428,12 @@ def test_op8(spark, tmp_path, monkeypatch):
     assert op8_embeddings.op8_embeddings(spark, str(tmp_path)).count() == 0
 
 
+def test_op8_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.02]), (7, [1.0] * 5), (8, None)]
+    out = collect(op8_embeddings.near_pairs(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 0, 7), (8, 0, 8)]
+
+
 # -- 9 -------------------------------------------------------------------------
 
 
