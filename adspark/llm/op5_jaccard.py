@@ -473,9 +473,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return materialize(joined.select("a", "b", "fa", "fb").mapInArrow(test, "a binary, b binary").distinct(), "linked")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, keyed: bool = False) -> DataFrame:
     """``docs`` (doc_id, text): doc_id, n_shingles, component_id of every row.
 
+    ``keyed``: also k2 and component_k2, the text hashes of the row and of its component's least (id, hash).
+
     Rows link when den * |intersection| >= num * |union| of their shingle sets.
     """
     spark = docs.sparkSession
@@ -499,11 +501,12 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
             break  # nothing is left to test
         links = links.unionByName(_verified(more, classes, docs, width, num, den))
         comp = materialize(components(links).withColumnsRenamed({"id": "cid", "component": "label"}), "comp")
-    labelled = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), F.col("row.doc_id").alias("least"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(labelled.join(least, "label").select("cid", "component_id"), "named")
+    labelled = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), F.col("row").alias("least"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("least_row"))
+    named = materialize(labelled.join(least, "label").select("cid", F.col("least_row.doc_id").alias("component_id"), F.col("least_row.k2").alias("component_k2")), "named")
     return rows.join(named, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
+        *(["k2", F.coalesce("component_k2", "k2").alias("component_k2")] if keyed else []),
     )
 
 

@@ -25,14 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at Jaccard 0.8 of five-word shingles, the one with the least id stays.
+    """Of documents linked at Jaccard 0.8 of five-word shingles, the one with the least id (then text hash) stays.
 
     Documents without words are linked with nothing and stay; of rows that repeat
     an id and text, one stays; rows without an id stay.
     """
-    found = op5_jaccard.similar_documents(docs, width=5, num=80, den=100)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = op5_jaccard.similar_documents(docs, width=5, num=80, den=100, keyed=True)
+    kept = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("k2") == F.col("component_k2"))).select("doc_id", "k2").distinct()
+    keyed = docs.where("doc_id IS NOT NULL").withColumns({"k2": F.xxhash64(F.coalesce("text", F.lit(""))), "_null": F.col("text").isNull()})
+    named = keyed.join(kept, ["doc_id", "k2"], "left_semi").dropDuplicates(["doc_id", "k2", "_null"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -30,6 +30,14 @@ def test_near_duplicates(spark, sf):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in out.collect()) == [-1, 3, 4, 7, 8]
 
 
+def test_near_duplicates_with_repeated_ids(spark, sf):
+    base = " ".join(f"word{i} other{i % 7}" for i in range(100))
+    rows = [(4, "quite another text of some words"), (4, base), (4, base), (3, base.replace("word50", "else")), (5, "a third text that is like none of these"), (5, "and a fourth one, of the same id as it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_duplicates(spark, docs, sf[0])
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted({rows[0], rows[3], rows[4], rows[5]})
+
+
 def test_repeats_go_at_whole_characters(spark, sf):
     passage = "".join(chr(0xE0 + i % 31) for i in range(300))
     docs = spark.createDataFrame([(1, "é" + passage + "ü", "fr", "s", 302), (2, "è" + passage + "ö", "fr", "s", 302), (3, "clean text", "fr", "s", 10), (4, None, "fr", "s", None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
