@@ -4,29 +4,36 @@ A string of ``length`` bytes counts as repeated when it also starts anywhere
 else in the table. Every such window picks an anchor, the least hash among its
 ``gram``-byte substrings, so equal windows have equal anchors at equal offsets,
 and a document's windows fall into runs that share an anchor. Runs whose gram
-occurs once in the table hold no repeat. Chains of runs, and runs, with the same
-bytes throughout (by hash) hold repeats only. What is left, the runs at the edges of repeats,
-is settled exactly: the bytes left and right of an anchor's occurrences become
+occurs once in the table hold no repeat. Runs of one gram with the same bytes
+throughout (by hash) are one class, whose windows are repeated where it has two
+members. What is left, classes that are alone beside others of their gram, is
+settled exactly: the bytes left and right of the anchor become
 sequences of wide symbols, and a suffix array of each side (grouping by Lyndon
 prefixes, ``suffix_array``) puts them in order. Neighbours' common prefixes say
-for every depth which occurrences agree so far, and a window is repeated when
+for every depth which classes agree so far, and a window is repeated when
 another one agrees with it on both sides of the anchor.
 
-An anchor with more than ``hot`` unsettled occurrences is not sorted in one
-task: its windows are hashed one by one and counted by key, which combines
-before the shuffle and splits over tasks.
+An anchor with more than ``HOT`` classes would be a large sort in one task. Its
+gram is lengthened first: the offsets of its windows are cut into blocks, and
+all windows of a block hold the same bytes around the anchor, which with the
+block are the new gram. Classes and their number are found anew for each, so a
+block that is repeated throughout, or alone, needs no more work; a block that
+is still crowded is cut into single windows, where the gram is the whole window
+and each gram one class.
 
 A 4 MB Bloom filter of the documents concerned spares shuffling other texts.
-Equality of runs, chains and grams rests on 64-bit hashes (a run's and a chain's on two together).
+Equality of runs and grams rests on 64-bit hashes (a run's on two together).
 
 Null or short text: nothing removed. Empty text: hash of no bytes. Repeated
 rows: each one's windows occur in the other, so all of their bytes go where
-they are long enough. Very long texts are read in overlapping segments.
+they are long enough. Very long texts are read in overlapping segments. Columns
+of the input named ``n_bytes``, ``removed`` or ``kept`` give way to the
+result's; others are carried, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat, mix, ragged
-from .common import bloom, bloom_hits, bound_batches, buckets_for, lean, materialize, row_key, with_bloom_places
+from .common import bloom, bloom_hits, bound_batches, buckets_for, lean, materialize, row_key, shield, with_bloom_places
 from .suffix_array import suffix_array
 
 U64 = np.uint64
@@ -76,13 +83,9 @@ class Rolling:
 
 
 def anchor_runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """(text, first window, last window, anchor, gram hash, run hash, chain, chain hash) of every run; places within the text.
-
-    A chain is some neighbouring runs; where one starts depends on gram hashes
-    alone, so equal stretches of text have equal chains, but at their ends.
-    """
+    """(text, first window, last window, anchor, gram hash, run hash) of every run; places within the text."""
     span = length - gram + 1
-    out, chains = [], 0
+    out = []
     segment = max(SEGMENT, 4 * length)
     bits = U64(int(segment + length).bit_length())
     low = (U64(1) << bits) - U64(1)
@@ -112,21 +115,41 @@ def anchor_runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
         begin = off[t] - a
         q = at[first]
         run = mix(roll.of(first, last + length) + (q - first).astype(U64) * U64(0x9FB21C651E98DF25) + (last - first).astype(U64))
-        head = (h[q] >> U64(61)) == U64(0)
-        head[0] = True
-        head[1:] |= t[1:] != t[:-1]
-        head = np.flatnonzero(head)
-        tail = np.append(head[1:], len(t)) - 1
-        chain = np.repeat(np.arange(len(head)), tail - head + 1)
-        whole = mix(roll.of(first[head], last[tail] + length) + (last[tail] - first[head]).astype(U64) * U64(0xD1B54A32D192ED03))
-        out.append((t, first - begin, last - begin, q - begin, h[q], run, chain + chains, whole[chain]))
-        chains += len(head)
+        out.append((t, first - begin, last - begin, q - begin, h[q], run))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(U64), z.astype(U64), z, z.astype(U64)
+        return z, z, z, z, z.astype(U64), z.astype(U64)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def blocks(data: np.ndarray, base: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, length: int, gram: int, step: int):
+    """Runs cut where the windows' offsets from the anchor pass a multiple of ``step``.
+
+    (run, first window, last window, hash of what all of a block's windows hold, hash of all they cover).
+    """
+    need = length - gram
+    low, high = (at - hi) // step, (at - lo) // step
+    n = high - low + 1
+    own = np.repeat(np.arange(len(lo)), n)
+    block = ragged(low, n)
+    a = np.maximum(lo[own], at[own] - block * step - step + 1)
+    z = np.minimum(hi[own], at[own] - block * step)
+    core, whole = np.zeros(len(own), U64), np.zeros(len(own), U64)
+    # what a block shares depends on the block alone, so that its runs agree whichever of its windows they have
+    near, far = block * step, np.minimum(block * step + step - 1, need)
+    edge = np.concatenate(([0], np.cumsum(n)))
+    for i in range(len(lo)):
+        x, y = edge[i], edge[i + 1]
+        start = base[i] + lo[i]
+        roll = Rolling(data[start : base[i] + hi[i] + length])
+        mid = at[i] - lo[i]
+        tag = block[x:y].astype(U64) * U64(0xD1B54A32D192ED03)
+        core[x:y] = mix(roll.of(mid - near[x:y], mid + gram + need - far[x:y]) + tag + U64(step))
+        place = (at[i] - a[x:y]).astype(U64) * U64(0x9FB21C651E98DF25) + (z - a)[x:y].astype(U64)
+        whole[x:y] = mix(roll.of(a[x:y] - lo[i], z[x:y] - lo[i] + length) + place)
+    return own, a, z, core, whole
+
+
 # -- contexts of one anchor ----------------------------------------------------
 
 
@@ -202,50 +225,69 @@ def _spans(hit: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 # -- operator ------------------------------------------------------------------
 
-CHAIN = "k1 long, k2 long, chain long, lo int, hi int, runs array<struct<gram:long,run:long,lo:int,hi:int,at:int>>"
+RUN = "k1 long, k2 long, gram long, run long, lo int, hi int, at int"
 SPAN = "k1 long, k2 long, lo int, hi int"
 
 
+def _unsettled(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``runs`` (RUN and open: still to settle): spans repeated as a whole, and what to sort.
+
+    That is one run of each class of the grams with a class that is alone and
+    open beside others; ``m`` is the number of the gram's classes.
+    """
+    equal = materialize(
+        runs.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")), "equal"
+    )
+    settled = runs.where("open").join(equal.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("k1", "k2", "lo", "hi")
+    alone = (F.col("n") == 1) & F.col("open")
+    loose = materialize(equal.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max(alone).alias("some")).where("some AND m > 1").select("gram", "m"), "loose")
+    return settled, materialize(equal.join(loose, "gram").select("gram", "m", alone.alias("open"), "one.*"), "wanted")
+
+
 def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, lo, hi): starts lo..hi of repeated strings in the documents (k1, k2, text)."""
-    spark = docs.sparkSession
+    need = length - gram
 
     def runs(batches):
         for b in batches:
             data, off = flat(b.column("text"))
-            t, lo, hi, q, g, f, chain, whole = anchor_runs(data, off, length, gram)
-            edge = np.flatnonzero(np.concatenate((np.ones(min(len(chain), 1), bool), chain[1:] != chain[:-1], np.ones(1, bool))))
-            a, z = edge[:-1], edge[1:] - 1
-            take = pa.array(t[a])
-            inner = pa.StructArray.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), *(pa.array(x, pa.int32()) for x in (lo, hi, q))], names=["gram", "run", "lo", "hi", "at"]
+            t, lo, hi, q, g, f = anchor_runs(data, off, length, gram)
+            take = pa.array(t)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k1").take(take), b.column("k2").take(take), pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), *(pa.array(x, pa.int32()) for x in (lo, hi, q))],
+                names=["k1", "k2", "gram", "run", "lo", "hi", "at"],
             )
-            yield pa.RecordBatch.from_arrays([
-                b.column("k1").take(take), b.column("k2").take(take), pa.array(whole[a].view(np.int64)), pa.array(lo[a], pa.int32()), pa.array(hi[z], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(edge, pa.int32()), inner),
-            ], names=["k1", "k2", "chain", "lo", "hi", "runs"])
-
-    chains = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), CHAIN), "chains")
-    # whole chains that occur again need no look at their runs, but their runs count for others
-    chains = chains.withColumn("lead", F.col("runs")[0]["gram"])
-    twice = chains.groupBy("chain", "lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chain", "lead", F.lit(True).alias("again"))
-    marked = materialize(chains.join(materialize(twice, "again"), ["chain", "lead"], "left"), "marked")
-    every = marked.select("k1", "k2", F.coalesce("again", F.lit(False)).alias("again"), F.explode("runs").alias("r")).select("k1", "k2", "again", "r.*")
+
+    every = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN), "runs")
     often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    some = materialize(every.join(often, "gram"), "candidates")
-    equal = materialize(
-        some.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")), "equal"
-    )
-    settled = some.where("NOT again").join(equal.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("k1", "k2", "lo", "hi")
-    settled = settled.unionByName(marked.where("again").select("k1", "k2", "lo", "hi"))
-    # anchors with a run that is alone need all their different runs compared, one of each
-    loose = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 AND m > 1").select("gram", "m")
-    loose = materialize(loose, "loose")
-    wanted = materialize(equal.join(loose, "gram").select("gram", "m", (F.col("n") == 1).alias("open"), "one.*"), "wanted")
-    if wanted.isEmpty():
-        return materialize(settled, "spans")
-
-    per = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "m", "open", "lo", "hi", "at")).alias("runs"))
+    spans, wanted = _unsettled(materialize(every.join(often, "gram").withColumn("open", F.lit(True)), "candidates"))
+    # what is cut into blocks of windows, and those into single ones; a single window's classes are its grams, so none is left
+    for step in (math.isqrt(need) + 1, 1):
+        hot = wanted.where(F.col("m") > HOT)
+        cold = wanted.where(F.col("m") <= HOT)
+        if not cold.isEmpty():
+            spans = spans.unionByName(_sorted(docs, cold, length, gram))
+        if hot.isEmpty():
+            return materialize(spans, "spans")
+
+        def cut(batches, step=step):
+            for b in batches:
+                data, doc, base, k1, k2, g, op, lo, hi, at = _wanted(b)
+                own, a, z, core, whole = blocks(data, base, lo, hi, at, length, gram, step)
+                core = mix(core ^ g[own].view(U64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k1[own]), pa.array(k2[own]), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x, pa.int32()) for x in (a, z, at[own])), pa.array(op[own])],
+                    names=["k1", "k2", "gram", "run", "lo", "hi", "at", "open"],
+                )
+
+        more, wanted = _unsettled(materialize(_beside(docs, hot).mapInArrow(lean(cut), RUN + ", open boolean"), "blocks"))
+        spans = spans.unionByName(more)
+    return materialize(spans, "spans")
+
+
+def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, text, runs): the texts of the wanted runs, each once, with them."""
+    per = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "open", "lo", "hi", "at")).alias("runs"))
     filt = bloom(wanted.select("k1", "k2").distinct(), "k1", "k2")
 
     def maybe(batches):
@@ -253,57 +295,37 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield b.filter(pa.array(bloom_hits(filt.value, b))).select(["k1", "k2", "text"])
 
     texts = with_bloom_places(docs.select("k1", "k2", "text"), "k1", "k2").mapInArrow(maybe, "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
+    return texts.join(per, ["k1", "k2"]).select("k1", "k2", "text", "runs")
+
+
+def _wanted(b: pa.RecordBatch):
+    """The bytes of a batch of ``_beside``, and of each run: its text, where that begins, and the run's columns."""
+    data, off = flat(b.column("text"))
+    lists = b.column("runs")
+    n = np.diff(lists.offsets.to_numpy())
+    g, op, lo, hi, at = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    doc = np.repeat(np.arange(len(n)), n)
+    return data, doc, off[doc], b.column("k1").to_numpy()[doc], b.column("k2").to_numpy()[doc], g, op, *(x.astype(np.int64) for x in (lo, hi, at))
+
+
+def _sorted(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """The repeated windows of the wanted runs that are open, by suffix arrays of their gram's contexts."""
     need = length - gram
 
     def contexts(batches):
-        """Bytes left (nearest first) and right of each wanted anchor; hot anchors' windows by hash instead."""
+        """Bytes left (nearest first) and right of each wanted anchor."""
         for b in batches:
-            data, off = flat(b.column("text"))
-            lists = b.column("runs")
-            n = np.diff(lists.offsets.to_numpy())
-            r = lists.flatten()
-            g, m, op, lo, hi, at = (r.field(i).to_numpy(zero_copy_only=False) for i in range(6))
-            doc = np.repeat(np.arange(len(n)), n)
-            base = off[doc]
-            lo, hi, at = lo.astype(np.int64), hi.astype(np.int64), at.astype(np.int64)
-            k1, k2 = b.column("k1").to_numpy()[doc], b.column("k2").to_numpy()[doc]
-            hot = m > HOT
-            c = np.flatnonzero(~hot)
-            left = _matrix(data[::-1], len(data) - (base + at)[c], (at - lo)[c], need)
-            right = _matrix(data, (base + at + gram)[c], (hi + length - at - gram)[c], need)
-            hx, hk, hp, hg, hopen = [], [], [], [], []
-            w = np.flatnonzero(hot)
-            if len(w):
-                # window by window, hashed in the run's own bytes
-                for i in w.tolist():
-                    s, e = base[i] + lo[i], base[i] + hi[i] + length
-                    roll = Rolling(data[s:e])
-                    p = np.arange(hi[i] - lo[i] + 1)
-                    hx.append(mix(roll.of(p, p + length) + (at[i] - lo[i] - p).astype(U64)))
-                    hk.append(np.full(len(p), i))
-                    hp.append(lo[i] + p)
-            if len(c):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(g[c]), pa.array(op[c]), pa.array(k1[c]), pa.array(k2[c]), pa.array(lo[c], pa.int32()), pa.array(hi[c], pa.int32()), pa.array(at[c], pa.int32()),
-                    pa.array([x.tobytes()[:z] for x, z in zip(left, (at - lo)[c])], pa.binary()), pa.array([x.tobytes()[:z] for x, z in zip(right, (hi + length - at - gram)[c])], pa.binary()),
-                    pa.array(np.zeros(len(c), np.int64), mask=np.ones(len(c), bool)),
-                ], names=NAMES)
-            if hx:
-                x, i, p = np.concatenate(hx), np.concatenate(hk), np.concatenate(hp)
-                none = pa.nulls(len(x), pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(g[i]), pa.array(op[i]), pa.array(k1[i]), pa.array(k2[i]), pa.array(p, pa.int32()), pa.array(p, pa.int32()), pa.array(at[i], pa.int32()),
-                    none, none, pa.array(x.view(np.int64)),
-                ], names=NAMES)
-
-    NAMES = ["gram", "open", "k1", "k2", "lo", "hi", "at", "before", "behind", "window"]
-    around = materialize(
-        texts.join(per, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(
-            lean(contexts), "gram long, open boolean, k1 long, k2 long, lo int, hi int, at int, before binary, behind binary, window long"
-        ),
-        "contexts",
-    )
-    buckets = buckets_for(docs)
+            data, doc, base, k1, k2, g, op, lo, hi, at = _wanted(b)
+            if not len(g):
+                continue
+            ends = np.concatenate(([0], np.cumsum(at - lo))), np.concatenate(([0], np.cumsum(hi + length - at - gram)))
+            left = data[::-1][ragged(len(data) - (base + at), at - lo)]
+            right = data[ragged(base + at + gram, hi + length - at - gram)]
+            sides = [pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(e.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for e, x in zip(ends, (left, right))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g), pa.array(op), pa.array(k1), pa.array(k2), *(pa.array(x, pa.int32()) for x in (lo, hi, at)), *sides],
+                names=["gram", "open", "k1", "k2", "lo", "hi", "at", "before", "behind"],
+            )
 
     def settle(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("gram").to_numpy(), kind="stable")
@@ -320,11 +342,9 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         take = pa.array(r)
         return pa.table({"k1": t.column("k1").take(take), "k2": t.column("k2").take(take), "lo": pa.array(a, pa.int32()), "hi": pa.array(z, pa.int32())})
 
-    cold = around.where("window IS NULL").groupBy(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")).applyInArrow(lean(settle), SPAN)
-    windows = around.where("window IS NOT NULL")
-    twice = materialize(windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "window"), "hot")
-    hot = windows.where("open").join(twice, ["gram", "window"], "left_semi").select("k1", "k2", "lo", "hi")
-    return materialize(settled.unionByName(cold).unionByName(hot), "spans")
+    around = _beside(docs, wanted).mapInArrow(lean(contexts), "gram long, open boolean, k1 long, k2 long, lo int, hi int, at int, before binary, behind binary")
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets_for(docs)))
+    return around.groupBy(bucket.alias("bucket")).applyInArrow(lean(settle), SPAN)
 
 
 def _bytes_removed(n: int, spans: np.ndarray, length: int) -> np.ndarray:
@@ -344,8 +364,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None)
     bound_batches(spark)
     if gram is None:
         gram = max(length // 3, 1)
-    own = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
-    keyed = row_key(docs.select(*own))
+    docs, back = shield(docs, "doc_id", "text")
+    own = docs.columns
+    keyed = row_key(docs)
     spans = repeated_windows(keyed.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text")), length, gram)
     per = materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removed")
     filt = bloom(per, "k1", "k2")
@@ -383,12 +404,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None)
     clean = rows.select(*own, "_p1", "_p2").mapInArrow(lambda it: cut(it, False), schema)
     inner = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", k1 long, k2 long"
     near = rows.select(*own, "k1", "k2", "_p1", "_p2").mapInArrow(maybe, inner).join(per, ["k1", "k2"], "left")
-    return clean.unionByName(near.select(*own, "spans").mapInArrow(lambda it: cut(it, True), schema))
+    return back(clean.unionByName(near.select(*own, "spans").mapInArrow(lambda it: cut(it, True), schema)))
+
+
+def kept_text():
+    """``kept`` as text: a cut inside a character leaves bytes that are none, and these are dropped."""
+    left = F.col("kept").cast("string")
+    return F.coalesce(F.try_validate_utf8(left), F.regexp_replace(F.make_valid_utf8(left), "\ufffd", ""))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return remove_repeats(docs, length=400).select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept_text().alias("text")
     )
