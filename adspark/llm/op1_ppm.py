@@ -318,38 +318,54 @@ class Tally:
         return out
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Ascending words as differences, byte by byte: mostly zeros, which the shuffle's codec shrinks."""
-    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+def _squeeze(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(b, asbytes=True)
 
 
-def from_planes(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+def _swell(b: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
 
 
-def small_planes(values: np.ndarray) -> bytes:
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+def pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending words: how many leading bytes each shares with the one before, and its others."""
+    rows = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+    new = np.ones(rows.shape, bool)
+    new[1:] = rows[1:] != rows[:-1]
+    shared = np.where(new.any(axis=1), new.argmax(axis=1), 8).astype(np.uint8)
+    return _squeeze(shared.tobytes()), _squeeze(rows[np.arange(8)[None] >= shared[:, None]].tobytes())
 
 
-def from_small_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+def unpack(parts: tuple[bytes, bytes]) -> np.ndarray:
+    shared = np.frombuffer(_swell(parts[0]), np.uint8)
+    keep = np.arange(8)[None] >= shared[:, None]
+    rows = np.zeros(keep.shape, np.uint8)
+    rows[keep] = np.frombuffer(_swell(parts[1]), np.uint8)
+    for i in range(7):
+        # a shared byte is the last one that was written in its column
+        rows[:, i] = rows[np.maximum.accumulate(np.where(keep[:, i], np.arange(len(rows)), 0)), i]
+    return rows.view(">u8").ravel().astype(U64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Ascending words, small."""
-    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes(values), asbytes=True)
+def pack_small(values: np.ndarray) -> bytes:
+    """Whole numbers, mostly under 255; larger ones stand behind."""
+    low = np.minimum(values, 255).astype(np.uint8)
+    return len(low).to_bytes(8, "little") + _squeeze(low.tobytes() + values[values >= 255].astype(np.int64).tobytes())
 
 
-def unpack(b: bytes) -> np.ndarray:
-    return from_planes(pa.Codec("zstd").decompress(b[8:], 8 * int.from_bytes(b[:8], "little"), asbytes=True))
+def unpack_small(b: bytes) -> np.ndarray:
+    n, own = int.from_bytes(b[:8], "little"), _swell(b[8:])
+    out = np.frombuffer(own[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(own[n:], np.int64)
+    return out
 
 
-def pack_small(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(small_planes(values.astype(np.uint32)), asbytes=True)
+def pack_places(values: np.ndarray) -> bytes:
+    """Places under 2**32, byte by byte, of which the higher ones are mostly zeros."""
+    return _squeeze(values.astype(np.uint32).view(np.uint8).reshape(len(values), 4).T.tobytes())
 
 
-def unpack_small(b: bytes) -> np.ndarray:
-    return from_small_planes(pa.Codec("zstd").decompress(b[8:], 4 * int.from_bytes(b[:8], "little"), asbytes=True))
+def unpack_places(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_swell(b), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 WORDS, GRAMS = 0, 1
@@ -375,10 +391,10 @@ def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
                 edge = np.searchsorted(b[at], np.arange(buckets + 1, dtype=np.uint64))
                 for j in np.flatnonzero(np.diff(edge)):
                     own = at[edge[j] : edge[j + 1]]
-                    rows.append((kind, int(j), pack(keys[own]), pack_small(np.minimum(n[own], 0xFFFFFFFF))))
+                    rows.append((kind, int(j), *pack(keys[own]), pack_small(n[own])))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))],
-                names=["kind", "bucket", "keys", "counts"],
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4))],
+                names=["kind", "bucket", "shared", "keys", "counts"],
             )
 
         for b in batches:
@@ -393,20 +409,23 @@ def corpus_counts(train: DataFrame, order: int, buckets: int) -> DataFrame:
             yield flush()
 
     def add(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack(x.as_py()) for x in t.column("keys")])
-        n = np.concatenate([unpack_small(x.as_py()) for x in t.column("counts")])
-        keys, n = counted(keys, n.astype(np.int64))
+        keys, n = counted(*(np.concatenate(x) for x in zip(*(read_counts(*r) for r in counts_of(t)))))
+        shared, rest = pack(keys)
         return pa.table({
             "kind": t.column("kind").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "n": pa.array([len(keys)]), "total": pa.array([int(n.sum())]),
-            "keys": pa.array([pack(keys)], pa.binary()), "counts": pa.array([pack(np.cumsum(n).astype(U64))], pa.binary()),
+            "shared": pa.array([shared], pa.binary()), "keys": pa.array([rest], pa.binary()), "counts": pa.array([pack_small(n)], pa.binary()),
         })
 
-    parts = train.select("text").mapInArrow(lean(count), "kind int, bucket int, keys binary, counts binary")
-    return materialize(parts.groupBy("kind", "bucket").applyInArrow(lean(add), "kind int, bucket int, n long, total long, keys binary, counts binary"), "counts")
+    parts = train.select("text").mapInArrow(lean(count), "kind int, bucket int, shared binary, keys binary, counts binary")
+    return materialize(parts.groupBy("kind", "bucket").applyInArrow(lean(add), "kind int, bucket int, n long, total long, shared binary, keys binary, counts binary"), "counts")
+
 
+def counts_of(t) -> list[tuple[bytes, bytes, bytes]]:
+    return list(zip(*(t.column(x).to_pylist() for x in ("shared", "keys", "counts"))))
 
-def read_counts(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return unpack(keys), np.diff(unpack(counts).view(np.int64), prepend=0)
+
+def read_counts(shared: bytes, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return unpack((shared, keys)), unpack_small(counts)
 
 
 def kept(codes: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -434,8 +453,8 @@ def fit(counts: DataFrame, order: int, floor: int = FLOOR) -> tuple[Model, Cache
 
     def split(batches):
         for b in batches:
-            for keys, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                orders, codes, n = upper(*read_counts(keys, n), order, floor)
+            for row in counts_of(b):
+                orders, codes, n = upper(*read_counts(*row), order, floor)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(codes), bool)), pa.array(codes.view(np.int64)), pa.array(n), pa.nulls(len(codes), pa.float32())], names=["top", "code", "n", "best"])
                 if orders:
                     codes, n, *_ = orders[-1]
@@ -443,7 +462,7 @@ def fit(counts: DataFrame, order: int, floor: int = FLOOR) -> tuple[Model, Cache
                     best = Model([orders[-1]]).best[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(best), bool)), pa.array(codes[ok].view(np.int64)), pa.array(n[ok]), pa.array(best, pa.float32())], names=["top", "code", "n", "best"])
 
-    rows = materialize(counts.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(lean(split), "top boolean, code long, n long, best float"), "grams")
+    rows = materialize(counts.where(F.col("kind") == GRAMS).select("shared", "keys", "counts").mapInArrow(lean(split), "top boolean, code long, n long, best float"), "grams")
     low = rows.where("NOT top").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     keys, n = counted(low.column("code").to_numpy().view(U64), low.column("n").to_numpy())
     grams = []
@@ -473,13 +492,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", f
 
     def often(batches):
         for b in batches:
-            for keys, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                keys, n = read_counts(keys, n)
+            for row in counts_of(b):
+                keys, n = read_counts(*row)
                 keys = keys.view(np.int64)
                 ok = n * HEAVY > total
                 yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(n[ok])], names=["word", "n"])
 
-    top = words.select("keys", "counts").mapInArrow(often, "word long, n long").toArrow()
+    top = words.select("shared", "keys", "counts").mapInArrow(often, "word long, n long").toArrow()
     hw, hn = top.column("word").to_numpy().view(U64), top.column("n").to_numpy()
     by = np.argsort(hw)
     heavy = spark.sparkContext.broadcast((hw[by], np.log10(hn[by] + 1.0)))
@@ -490,13 +509,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", f
 
         chunk = TaskContext.get().partitionId() << 32
         hw, hl = heavy.value
-        none = lambda k, n: pa.nulls(n, k)
         held: tuple[list, list] = ([], [])  # (keys, documents of the chunk) of words and of positions
+        own: list[pa.RecordBatch] = []
         count = size = 0
 
         def flush():
-            """A row per kind and bucket: its distinct keys, how often each comes, and the documents in the keys' order."""
-            rows = []
+            """The chunk's documents, and a row per kind and bucket: its distinct keys, how often each comes, and the documents in the keys' order."""
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own[0].schema) as w:
+                for b in own:
+                    w.write_batch(b)
+            rows = [(0, chunk % buckets, sink.getvalue().to_pybytes(), None, None, None)]
             for kind, parts in enumerate(held):
                 keys, who = (np.concatenate(x) for x in zip(*parts))
                 by = np.argsort(keys)
@@ -505,17 +528,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", f
                 keys, who = keys[by], who[by]
                 new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
                 keys, runs = keys[new], np.diff(np.append(new, len(keys)))
-                own = _bucket(kind, keys, buckets)
-                edge = np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
+                edge = np.searchsorted(_bucket(kind, keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
                 ends = np.append(new, len(who))
                 for j in np.flatnonzero(np.diff(edge)):
                     x, y = edge[j], edge[j + 1]
-                    rows.append((kind + 1, int(j), pack(keys[x:y]), pack_small(runs[x:y]), pack_small(who[ends[x] : ends[y]])))
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()), none(pa.int64(), n), none(pa.bool_(), n), pa.array(np.full(n, chunk)), none(pa.int32(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.float64(), n),
-                none(pa.float64(), n), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)),
-            ], names=NAMES)
+                    rows.append((kind + 1, int(j), *pack(keys[x:y]), pack_small(runs[x:y]), pack_places(who[ends[x] : ends[y]])))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            cols = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
+            return pa.RecordBatch.from_arrays([*cols[:2], pa.array(np.full(len(rows), chunk)), *cols[2:]], names=["kind", "bucket", "chunk", "shared", "keys", "runs", "at"])
 
         for b in batches:
             data, off = flat(b.column("text"))
@@ -534,82 +554,68 @@ def score_documents(docs: DataFrame, order: int = ORDER, train: str = "train", f
             owner2 = np.concatenate((owner, np.arange(docs)))
             known = np.bincount(owner2[have], minlength=docs)
             s = np.bincount(owner2[have], hl[place[have]], minlength=docs) - n_tokens * unit
-            place_of = pa.array(np.arange(count, count + docs), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(docs, np.int32)), b.column("doc_id"), b.column("train"), pa.array(np.full(docs, chunk)), place_of, pa.array(n_tokens), pa.array(known), pa.array(s), pa.array(p),
-                none(pa.int32(), docs), none(pa.binary(), docs), none(pa.binary(), docs), none(pa.binary(), docs),
-            ], names=NAMES)
+            own.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("train"), pa.array(n_tokens), pa.array(known), pa.array(s), pa.array(p)], names=OWN))
             rare = np.flatnonzero(~have)
             held[WORDS].append((np.concatenate((w, np.full(docs, END_WORD)))[rare], (owner2[rare] + count).astype(np.uint32)))
             count += docs
             size += len(miss)
             if size > SEND:
                 yield flush()
-                held, count, size, chunk = ([], []), 0, 0, chunk + 1
+                held, own, count, size, chunk = ([], []), [], 0, 0, chunk + 1
         if count:
             yield flush()
 
-    NAMES = ["kind", "doc_id", "train", "chunk", "place", "n_tokens", "n_known", "base", "score", "bucket", "words", "runs", "at"]
+    OWN = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = materialize(
-        docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-            lean(score), "kind int, doc_id long, train boolean, chunk long, place int, n_tokens long, n_known long, base double, score double, bucket int, words binary, runs binary, at binary"
-        ),
-        "scores",
+    sent = docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
+        lean(score), "kind int, bucket int, chunk long, shared binary, keys binary, runs binary, at binary"
     )
 
     def rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A row per chunk that has words or positions in the bucket: where they are known, and sums of logs."""
-        chunk, at, logs = [], [], []
+        """A row per chunk that has words or positions in the bucket: where they are known, and sums of logs. A chunk's documents pass."""
+        chunk, at, logs, kind = [], [], [], 0
         if right.num_rows:
-            kind = right.column("kind")[0].as_py() - 1
+            kind = right.column("kind")[0].as_py()
             none = np.zeros(0, U64), np.zeros(0, np.int64)
-            table, n = read_counts(left.column("keys")[0].as_py(), left.column("counts")[0].as_py()) if left.num_rows else none
-            trie = Model(upper(table, n, order, floor)[0], model.value) if kind == GRAMS else None
-            for c, w, r, p in zip(*(right.column(c).to_pylist() for c in ("chunk", "words", "runs", "at"))):
-                w, r, p = unpack(w), unpack_small(r), unpack_small(p)
-                if kind == GRAMS:
+            table, n = read_counts(*counts_of(left)[0]) if left.num_rows else none
+            trie = Model(upper(table, n, order, floor)[0], model.value) if kind == GRAMS + 1 else None
+            for c, *w, r, p in zip(*(right.column(c).to_pylist() for c in ("chunk", "shared", "keys", "runs", "at"))):
+                chunk.append(c)
+                if kind == 0:
+                    at.append(w[0])
+                    logs.append(b"")
+                    continue
+                w, r, p = unpack(w), unpack_small(r), unpack_places(p)
+                if kind == GRAMS + 1:
                     have, log = np.ones(len(w), bool), trie.log10(w)
                 else:
                     i, have = lookup(table, w)
                     log = np.where(have, np.log10(n[i] + 1.0), 0.0) if len(n) else np.zeros(len(w))
                 some = np.repeat(have, r)
                 who, idx = np.unique(p[some], return_inverse=True)
-                chunk.append(c)
                 at.append(np.stack((who.astype(np.int64), np.bincount(idx, minlength=len(who)))).tobytes())
                 logs.append(np.bincount(idx, np.repeat(log, r)[some], minlength=len(who)).astype(float).tobytes())
-        return pa.table({"kind2": pa.array([kind] * len(chunk) if chunk else [], pa.int32()), "chunk2": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary())})
+        return pa.table({"kind2": pa.array([kind] * len(chunk), pa.int32()), "chunk2": pa.array(chunk, pa.int64()), "at": pa.array(at, pa.binary()), "logs": pa.array(logs, pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        """A row per document of a chunk, from its buckets' rows."""
-        kinds = t.column("kind2").to_pylist()
+        """A chunk's documents, with what its buckets' rows add."""
+        kinds, at, logs = (t.column(x).to_pylist() for x in ("kind2", "at", "logs"))
+        out = pa.ipc.open_stream(at[kinds.index(0)]).read_all()
         sums = []
         for kind in (WORDS, GRAMS):
-            own = [i for i, k in enumerate(kinds) if k == kind]
-            places = [np.frombuffer(t.column("at")[i].as_py(), np.int64).reshape(2, -1) for i in own]
-            who, n = np.concatenate(places or [np.zeros((2, 0), np.int64)], axis=1)
-            logs = np.concatenate([np.frombuffer(t.column("logs")[i].as_py()) for i in own] or [np.zeros(0)])
-            sums.append((np.bincount(who, n).astype(np.int64), np.bincount(who, logs).astype(float)))
-        size = max(len(x[0]) for x in sums)
-        (k, s), (g, p) = (tuple(np.pad(x, (0, size - len(x))) for x in y) for y in sums)
-        some = np.flatnonzero(k + g)
-        return pa.table({"chunk2": np.full(len(some), t.column("chunk2")[0].as_py()), "place2": pa.array(some, pa.int32()), "s": s[some], "k": k[some], "p": p[some]})
-
-    light = (
-        counts.withColumn("kind", F.col("kind") + 1).select("kind", "bucket", "keys", "counts").groupBy("kind", "bucket")
-        .cogroup(both.where("kind > 0").select("kind", "bucket", "chunk", "words", "runs", "at").groupBy("kind", "bucket"))
-        .applyInArrow(lean(rest), "kind2 int, chunk2 long, at binary, logs binary")
-        .groupBy("chunk2").applyInArrow(lean(add), "chunk2 long, place2 int, s double, k long, p double")
-    )
-    return (
-        both.where("kind = 0")
-        .join(light, (F.col("chunk") == F.col("chunk2")) & (F.col("place") == F.col("place2")), "left")
-        .select(
-            F.col("doc_id").cast(kind), "train", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("s", F.lit(0.0))).alias("base_score"),
-            (F.col("score") + F.coalesce("p", F.lit(0.0))).alias("score"),
-        )
+            own = [i for i, k in enumerate(kinds) if k == kind + 1]
+            who, n = np.concatenate([np.frombuffer(at[i], np.int64).reshape(2, -1) for i in own] or [np.zeros((2, 0), np.int64)], axis=1)
+            log = np.concatenate([np.frombuffer(logs[i]) for i in own] or [np.zeros(0)])
+            sums.append((np.bincount(who, n, minlength=out.num_rows).astype(np.int64), np.bincount(who, log, minlength=out.num_rows)))
+        more = {"n_known": sums[WORDS][0], "base_score": sums[WORDS][1], "score": sums[GRAMS][1]}
+        return pa.table({c: pa.array(out.column(c).to_numpy() + more[c]) if c in more else out.column(c) for c in OWN})
+
+    known = counts.withColumn("kind", F.col("kind") + 1).select("kind", "bucket", "shared", "keys", "counts")
+    scored = (
+        known.groupBy("kind", "bucket").cogroup(sent.groupBy("kind", "bucket")).applyInArrow(lean(rest), "kind2 int, chunk2 long, at binary, logs binary")
+        .groupBy("chunk2").applyInArrow(lean(add), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     )
+    return scored.select(F.col("doc_id").cast(kind), "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_adaptive(docs: DataFrame, order: int = 3) -> DataFrame:
