@@ -147,7 +147,6 @@ def encoder(blob: str) -> SegmentEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(blob)
-    tok.encode_special_tokens = True
     return SegmentEncoder(lambda texts: [np.array(e.ids, np.int64) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], _byte_lengths(tok))
 
 

@@ -8,7 +8,8 @@ Parity with the reference library is verified on every distinct segment that
 is encoded, so on all of each text.
 
 Null and empty text: no ids, decoded to the empty text. Repeated rows: equal
-results. Very long texts: in segments, whole. Extra columns are left alone.
+results. Very long texts: in segments, whole. Extra columns are left alone;
+those named ``ids``, ``round_trip`` or ``parity`` give way to the result's.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat
-from .common import bound_batches, lean
+from .common import bound_batches, lean, shield
 from .segments import SegmentEncoder
 
 MARK = "▁"
@@ -219,7 +220,8 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verif
     extra = "ids array<int>, round_trip boolean, parity boolean"
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([x for x in docs.schema if x.name not in ("ids", "round_trip", "parity")] + list(_parse_datatype_string(extra)))
+    docs, back = shield(docs, text)
+    schema = StructType(list(docs.schema) + list(_parse_datatype_string(extra)))
     names = [x.name for x in schema[:-3]]
 
     def run(batches):
@@ -240,7 +242,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verif
                 names=[*names, "ids", "round_trip", "parity"],
             )
 
-    return docs.select(*names).mapInArrow(lean(run), schema)
+    return back(docs.mapInArrow(lean(run), schema))
 
 
 def model_file() -> str:

@@ -7,7 +7,8 @@ typed placeholders, other words are themselves in lower case. Windows of
 ``width`` template tokens are hash-joined with the benchmark's. A hit pairs
 document slots with item slots; on one diagonal (document place minus item
 place) each item value must stand for one document value throughout, or the
-diagonal does not count. A document is contaminated by an item when the item's
+diagonal does not count. The reverse is not asked for: new values are drawn
+freely, so two of an item's may be equal in its copy. A document is contaminated by an item when the item's
 windows found on consistent diagonals are ``cover`` of all its windows or more;
 it is verbatim when every slot has the item's own value.
 

@@ -12,7 +12,8 @@ over every byte of every document.
 
 Null and empty text: one chunk of padding, so a defined score. Repeated rows:
 equal scores. No labels, or one label only: the score is the label's share
-(1/2 without labels). Extra columns are passed through.
+(1/2 without labels). Extra columns are passed through; one named ``score``
+gives way to the result's.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .bytesops import flat, ragged
-from .common import bound_batches, crc_mod, lean
+from .common import bound_batches, crc_mod, lean, shield
 
 WIDTH, STEP, HOP, DIM, FILTERS = 8, 2, 128, 8, 16
 
@@ -160,7 +161,11 @@ class ByteCNN:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, row_bytes: int = 1 << 16) -> ByteCNN:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """Fit on at most ``sample_rows`` labelled ids outside the held-out fold, chosen by a hash of the id.
+
+    Rows of such an id that repeat are one; of ids with several texts, twice ``sample_rows`` rows at most
+    are taken, by a hash of id and text, so the same rows give the same model.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     picked = None
     for q in (0, 1):
@@ -171,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, row_bytes
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .where(F.octet_length("text") <= row_bytes)
         .join(F.broadcast(picked), "doc_id")
-        .select("quality", "text")
+        .select("quality", "text", F.xxhash64("doc_id", "text").alias("place"))
+        .distinct()
+        .orderBy("place", "text", "quality")
         .limit(2 * sample_rows)
         .toArrow()
     )
@@ -184,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, row_bytes
 def score_documents(docs: DataFrame, model: ByteCNN, text: str = "text") -> DataFrame:
     """Add ``score`` to every row."""
     bound_batches(docs.sparkSession)
-    schema = StructType([x for x in docs.schema if x.name != "score"] + list(_parse_datatype_string("score double")))
+    docs, back = shield(docs, text)
+    schema = StructType(list(docs.schema) + list(_parse_datatype_string("score double")))
     names = [x.name for x in schema[:-1]]
 
     def run(batches):
@@ -193,7 +201,7 @@ def score_documents(docs: DataFrame, model: ByteCNN, text: str = "text") -> Data
             data, off = flat(b.column(text))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(model.score(data, off, tables))], names=[*names, "score"])
 
-    return docs.select(*names).mapInArrow(lean(run), schema)
+    return back(docs.mapInArrow(lean(run), schema))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
