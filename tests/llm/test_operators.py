@@ -169,7 +169,6 @@ def test_op10(spark, sf, table):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = collect(op10_tokenstore.op10_tokenstore(spark, sf[0]))
     assert len(out) == len(table) and all(r["keyed"] for r in out)
     enc = lambda t: np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -183,6 +182,24 @@ def test_op10(spark, sf, table):
     assert ids == sorted(ids, key=lambda i: -math.inf if i is None else i)
 
 
+def test_op10_special_tokens_are_the_librarys():
+    """Strings of the vocabulary's added tokens get the ids that a plain call of the library gives, wherever they stand."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        coder = op10_tokenstore.encoder(f.read())
+    texts = []
+    for x in [t.content for t in tok.get_added_tokens_decoder().values()]:
+        texts += [x, f"a {x} b", f"a{x}b", f"a {x}{x}  b", f"{x} é", f"line\n{x}\n", f" {x}", f"{x} ", x[:-1], f"the {x} the", f"a {x} b"]
+    assert texts
+    data = [t.encode() for t in texts]
+    ids, n = coder.texts(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in data]))))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 5000])
 def test_op10_perfect_hash(n):
     keys = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)
@@ -297,8 +314,10 @@ def test_op5(docs, table, width, num):
             assert r["component_id"] == comp[r["doc_id"]] and r["n_shingles"] in size[r["doc_id"]]
 
 
-def test_op5_signatures_meet():
-    """Two sets at the threshold share a signature and sketches a bit apart, for every size and difference."""
+@pytest.mark.parametrize("crowd", [0, 4096])
+def test_op5_signatures_meet(crowd, monkeypatch):
+    """Two sets at the threshold share a signature whose sketches allow a link, for every size and difference."""
+    monkeypatch.setattr(op5_jaccard, "CROWD", crowd)
     rng = np.random.default_rng(3)
     bands = op5_jaccard.Bands(85, 100)
     for n in [1, 2, 5, 6, 7, 13, 40, 41, 100, 333, 1000]:
@@ -311,9 +330,9 @@ def test_op5_signatures_meet():
             if 100 * both < 85 * (n + add) or both == 0:
                 continue
             sets, sizes = np.concatenate((np.sort(a), np.sort(b))), np.array([len(a), len(b)])
-            s, who = op5_jaccard.signatures(sets, sizes, bands)
-            x, y = ({int(v) >> 16: [int(u) & 0xFFFF for u in s[who == k] if int(u) >> 16 == int(v) >> 16] for v in s[who == k]} for k in (0, 1))
-            assert any((p ^ q).bit_count() <= 1 for key in x.keys() & y.keys() for p in x[key] for q in y[key]), (n, drop, add)
+            s, ahead, who = op5_jaccard.signatures(sets, sizes, bands)
+            _, members = op5_jaccard._shared(s >> np.uint64(16), who, s & np.uint64(0xFFFF), ahead)
+            assert set(members.tolist()) == {0, 1}, (n, drop, add)
             assert op5_jaccard.may_link(len(a), len(b), op5_jaccard.odd_sketch(np.sort(a)), op5_jaccard.odd_sketch(np.sort(b)), 85, 100)
 
 
@@ -398,6 +417,7 @@ def test_op7_slots():
 
     assert found(item.replace("5", "6")) == 1
     assert found("add 6 apples to 7 pears and give back the 9 plums you took") == 0  # the item's 5 cannot be both
+    assert found("add 9 apples to 9 pears and give back the 9 plums you took") == 1  # a copy's new values may be equal
 
 
 # -- 8 -------------------------------------------------------------------------

@@ -22,6 +22,20 @@ def test_stages_keep_the_columns(spark, sf):
         assert stage(spark, docs, sf[0]).columns == docs.columns
 
 
+def test_stages_carry_columns_of_any_name(spark, sf):
+    """Names that operators use inside or add themselves come back with their values."""
+    odd = ["score", "k1", "k2", "spans", "_p1", "_p2", "n_bytes", "removed", "kept", "_id", "_hash", "_null", "shard", "_b", "ids", "a b`c"]
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet")
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(odd)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf[0])
+        assert out.columns == wide.columns
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(odd)))}
+        assert stage(spark, docs.drop("n_chars"), sf[0]).columns == [c for c in docs.columns if c != "n_chars"]
+    last = corpus_pipeline.tokens(spark, wide, sf[0])
+    assert last.columns.count("ids") == 1 and last.first()["score"] == 0 and last.first()["a b`c"] == len(odd) - 1
+
+
 def test_near_duplicates(spark, sf):
     base = " ".join(f"word{i} other{i % 7}" for i in range(100))
     rows = [(5, base), (3, base), (9, base.replace("word50", "else")), (4, "quite another text of some words"), (8, None), (None, "x"), (7, ""), (4, "quite another text of some words")]
