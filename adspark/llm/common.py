@@ -34,14 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+def materialize(df: DataFrame, name: str = "t", files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there.
+
+    ``files``: dealt anew to so many, for results known to be small beside the shuffle partitions.
+    """
     spark = df.sparkSession
+    if files:
+        df = df.repartition(files)
     path = f"{shared_dir(spark)}/adspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int, each: int) -> int:
+    """A file for so many rows, one at least."""
+    return max(1, -(-rows // each))
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a ``materialize`` result that nothing reads any more."""
     spark = df.sparkSession

@@ -7,17 +7,21 @@ is dealt over about (k + 1) / 2 groups of three parts; two such sets differ in
 at most one feature in some group, so two of its three parts agree. A set's
 signatures are, for its band and the next, each group's three pairs of parts.
 Two sets similar enough share one signature at least, whatever the data, and
-there differ in one feature at most in the group's third part; a 16-bit sketch
-of that part travels with the signature and parts sets that do not.
+there differ in one feature at most in the group's third part. More holds of
+some group, by the pigeonring principle: with the l - 1 groups behind it on the
+ring of groups it has under 2 l differences, for every l. 16-bit odd sketches of
+the third part and of the next three groups travel with the signature, and sets
+that share it are kept apart where these rule a link out.
 
 Equal sets are one class, by a 128-bit hash of the set, before anything else.
 Signatures travel packed; the task of a bucket finds the groups of classes
-that share one. Links are then settled in rounds: first each class against the
+that share one and are linked by sketches. Links are then settled in rounds: first each class against the
 least class of most of its groups, then against the likeliest class of other
-components, twice, then every pair of a group that is still in two components. Before a pair's sets are fetched, its odd
+components, then every pair of a group that is still in two components and was
+not tested before. Before a pair's sets are fetched, its odd
 sketches (xor of one bit per feature, so they never differ in more bits than
 the sets differ in features) must allow the link. The test itself is exact, in
-integers. No pair that shares a signature goes untested unless both ends are in
+integers. No pair that shares a signature whose sketches allow a link goes untested unless both ends are in
 one component by then, and no cap holds anywhere.
 
 Null text and text without words: the empty set, linked with nothing. Fewer
@@ -33,12 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, flat, hash_spans, mix, ragged, runs_of_words, spaced
-from .common import bound_batches, buckets_for, lean, materialize
+from .common import bound_batches, buckets_for, files_for, lean, materialize
 from .graph import components
 
 U64 = np.uint64
 FLUSH = 1 << 20
 LOW = U64(0xFFFF)
+#: A table of tested pairs, or of their sets, has a file for so many pairs, one at least.
+PAIRS_A_FILE = 1 << 14
+#: Groups behind a signature's own whose sketches travel with it.
+AHEAD = 3
+#: Members of a signature from which it is parted by its sketches' bits before any two are compared.
+CROWD = 4096
 
 
 # -- sets ----------------------------------------------------------------------
@@ -125,8 +135,8 @@ class Bands:
         return (k + 2) // 2
 
 
-def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets and which set each belongs to.
+def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets, the odd sketches of the AHEAD groups behind each one's, and which set each belongs to.
 
     The low 16 bits are no part of a signature: they are the odd sketch of the
     group's third part, which differs in one feature at most, so in one bit,
@@ -134,7 +144,7 @@ def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarra
     """
     owner = np.repeat(np.arange(len(n)), n)
     band = np.searchsorted(bands.upto(int(n.max(initial=1))), n)
-    out, who = [], []
+    out, ring, who = [], [], []
     for more in (0, 1):
         b = band + more
         groups = np.where(n > 0, bands.groups(b), 0)
@@ -151,12 +161,19 @@ def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarra
         odd = odd.reshape(-1, 3)
         part = mix(sums).reshape(-1, 3)
         mine = np.repeat(np.arange(len(n)), groups)
-        tag = mix(seed[mine] + (np.arange(len(mine)) - base[mine]).astype(U64))
+        place = np.arange(len(mine)) - base[mine]
+        tag = mix(seed[mine] + place.astype(U64))
+        whole = np.bitwise_xor.reduce(odd, axis=1)
+        ahead = np.zeros(len(mine), U64)
+        for step in range(1, AHEAD + 1):
+            there = groups[mine] > step  # a short ring ends before it comes round
+            ahead[there] |= whole[(base[mine] + (place + step) % groups[mine])[there]] << U64(16 * step - 16)
         for i, j in ((0, 1), (0, 2), (1, 2)):
             s = mix(part[:, i] + part[:, j] * U64(0x9FB21C651E98DF25) + tag + U64(3 * i + j))
             out.append((s & LOW) ^ s | odd[:, 3 - i - j])
+            ring.append(ahead)
             who.append(mine)
-    return np.concatenate(out), np.concatenate(who)
+    return np.concatenate(out), np.concatenate(ring), np.concatenate(who)
 
 
 # -- operator ------------------------------------------------------------------
@@ -187,22 +204,23 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
     def emit(batches):
         bands = Bands(num, den)
         seen: set[bytes] = set()
-        sig, who, cids, held = [], [], [], 0
+        sig, ring, who, cids, held = [], [], [], [], 0
 
         def flush():
-            s, w = np.concatenate(sig), np.concatenate(who)
+            s, e, w = np.concatenate(sig), np.concatenate(ring), np.concatenate(who)
             bucket = ((s >> U64(16)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            s, w, bucket = s[order], w[order], bucket[order]
+            order = np.lexsort((w, bucket))
+            s, e, w, bucket = s[order], e[order], w[order], bucket[order]
+            e = np.ascontiguousarray(e.view(np.uint8).reshape(-1, 8)[:, : 2 * AHEAD])
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             table = np.frombuffer(b"".join(cids), np.uint8).reshape(-1, 16)
             rows = []
             for k in np.flatnonzero(np.diff(edge)):
-                own, at = np.unique(w[edge[k] : edge[k + 1]], return_inverse=True)
-                rows.append((k, s[edge[k] : edge[k + 1]].tobytes(), at.astype(np.uint32).tobytes(), table[own].tobytes()))
+                own, each = np.unique(w[edge[k] : edge[k + 1]], return_counts=True)
+                rows.append((k, s[edge[k] : edge[k + 1]].tobytes(), e[edge[k] : edge[k + 1]].tobytes(), each.astype(np.uint32).tobytes(), table[own].tobytes()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
-                names=["bucket", "sigs", "at", "classes"],
+                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))],
+                names=["bucket", "sigs", "ahead", "each", "classes"],
             )
 
         for b in batches:
@@ -221,26 +239,28 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                 seen.clear()
             if not take.any():
                 continue
-            s, w = signatures(sets[np.repeat(take, n)], n[take], bands)
+            s, e, w = signatures(sets[np.repeat(take, n)], n[take], bands)
             sig.append(s)
+            ring.append(e)
             who.append(w + len(cids) - int(take.sum()))
             held += len(s)
             if held > FLUSH:
                 yield flush()
-                sig, who, cids, held = [], [], [], 0
+                sig, ring, who, cids, held = [], [], [], [], 0
         if held:
             yield flush()
 
     def gather(t: pa.Table) -> pa.Table:
         k = t.column("bucket")[0].as_py()
-        blobs = [(np.frombuffer(s, U64), np.frombuffer(a, np.uint32), np.frombuffer(c, np.uint8).reshape(-1, 16)) for s, a, c in zip(*(t.column(x).to_pylist() for x in ("sigs", "at", "classes")))]
-        base = np.cumsum([0] + [len(c) for _, _, c in blobs])
-        table = np.concatenate([c for _, _, c in blobs])
-        own, inverse = np.unique(np.ascontiguousarray(table).view("V16").ravel(), return_inverse=True)
-        sig = np.concatenate([s for s, _, _ in blobs])
-        member = inverse[np.concatenate([a.astype(np.int64) + base[i] for i, (_, a, _) in enumerate(blobs)])]
-        del blobs, table
-        s, m = _shared(sig >> U64(16), member, sig & LOW)
+        sig, ahead, each, tables = (b"".join(t.column(x).to_pylist()) for x in ("sigs", "ahead", "each", "classes"))
+        own, inverse = np.unique(np.frombuffer(tables, "V16"), return_inverse=True)
+        sig = np.frombuffer(sig, U64)
+        ring = np.zeros((len(sig), 8), np.uint8)
+        ring[:, : 2 * AHEAD] = np.frombuffer(ahead, np.uint8).reshape(-1, 2 * AHEAD)
+        ring = ring.view(U64).ravel()
+        member = np.repeat(inverse, np.frombuffer(each, np.uint32))
+        del t, ahead, each, tables
+        s, m = _shared(sig >> U64(16), member, sig & LOW, ring)
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(s)))
         # groups of one class go; of groups with the same members one stays
@@ -257,7 +277,7 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             rows.append((size[g].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), own[used].tobytes(), often[part].astype(np.uint32).tobytes()))
         return pa.table({"bucket": pa.array([k] * len(rows), pa.int32()), **{x: pa.array([r[i] for r in rows], pa.binary()) for i, x in enumerate(("sizes", "members", "classes", "often"))}})
 
-    packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(emit), "bucket int, sigs binary, at binary, classes binary")
+    packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(emit), "bucket int, sigs binary, ahead binary, each binary, classes binary")
     found = packed.groupBy("bucket").applyInArrow(lean(gather), "bucket int, sizes binary, members binary, classes binary, often binary")
     return materialize(found.withColumn("piece", F.xxhash64("bucket", "sizes", "members", "classes")), "groups")
 
@@ -282,29 +302,73 @@ def _several(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(key: np.ndarray, member: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(group, member) in order: members that share a key and whose sketches are a bit apart at most.
-
-    Where a key's sketches are not all equal, its members meet once for each
-    bit, under their sketches without that bit.
-    """
+def _shared(key: np.ndarray, member: np.ndarray, sketch: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, member) in order: members that share a key, as far as sketches that allow a link join them."""
     order = np.argsort(key, kind="stable")
     live = order[_several(key[order])]
-    s, m, v = _distinct(key[live], member[live], sketch[live])
+    s, m, v, e = _distinct(key[live], member[live], sketch[live], ahead[live])
+    some = _several(s)
+    s, m, v, e = s[some], m[some], v[some], e[some]
     if not len(s):
         return s, m
     begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     size = np.diff(np.append(begin, len(s)))
-    mixed = np.repeat(np.minimum.reduceat(v, begin) != np.maximum.reduceat(v, begin), size)
-    keys, members = [s[~mixed]], [m[~mixed]]
-    s, m, v = s[mixed], m[mixed], v[mixed]
-    for bit in range(16):
-        k = mix(s + mix((v & ~(U64(1) << U64(bit))) * U64(16) + U64(bit)))
-        order = np.argsort(k, kind="stable")
-        some = order[_several(k[order])]
-        keys.append(k[some])
-        members.append(m[some])
-    return tuple(_distinct(np.concatenate(keys), np.concatenate(members)))
+    crowd = np.flatnonzero(np.repeat(size > CROWD, size))
+    rest = np.flatnonzero(np.repeat(size <= CROWD, size))
+    label = np.arange(len(s))
+    label = _allowed(label, s[rest], rest, v, e)
+    # an allowed pair agrees in all bits but one of the third part's sketch, and in one quarter of the next group's at least
+    for bit in range(16 if len(crowd) else 0):
+        for quarter in range(4):
+            k = mix(s[crowd] + mix((v[crowd] & ~(U64(1) << U64(bit))) * U64(64) + U64(4 * bit + quarter) + mix((e[crowd] >> U64(4 * quarter)) & U64(15))))
+            by = np.argsort(k, kind="stable")
+            label = _allowed(label, k[by], crowd[by], v, e)
+    order = np.argsort(label, kind="stable")
+    order = order[_several(label[order])]
+    return label[order].astype(U64), m[order]
+
+
+def _allowed(label: np.ndarray, key: np.ndarray, place: np.ndarray, sketch: np.ndarray, ahead: np.ndarray, some: int = 1 << 20) -> np.ndarray:
+    """The least labels after joining the places whose keys (in order) are equal and whose sketches allow a link."""
+    n = len(key)
+    if not n:
+        return label
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    end = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
+    left = end - np.arange(n) - 1
+    cut = np.cumsum(left) // some
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(cut)) + 1, [n]))
+    for x, y in zip(edge[:-1], edge[1:]):
+        i = np.repeat(place[x:y], left[x:y])
+        j = place[ragged(np.arange(x + 1, y + 1), left[x:y])]
+        differ = np.bitwise_count(sketch[i] ^ sketch[j])
+        for step in range(AHEAD + 1):
+            if step:
+                differ = differ + np.bitwise_count(((ahead[i] ^ ahead[j]) >> U64(16 * step - 16)) & LOW)
+            ok = differ <= 2 * step + 1
+            i, j, differ = i[ok], j[ok], differ[ok]
+        i, j = label[i], label[j]
+        if (i != j).any():
+            label = least_labels(len(label), i, j)[label]
+    return label
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each reaches over the links a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        # a link moves both ends' labels, and what hangs on them
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+        live = label[a] != label[b]
+        a, b = a[live], b[live]
+    return label
 
 
 def _unpack(row_sizes: bytes, row_members: bytes, row_classes: bytes):
@@ -344,15 +408,11 @@ def _stars(groups: DataFrame) -> DataFrame:
     return groups.select("sizes", "members", "classes", "often").mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool, slices: int) -> DataFrame:
     """Pairs of a group in different components whose sketches allow a link.
 
     Not ``every``: of a class, only the pair whose sketches differ least.
     """
-
-    spark = groups.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     def names(batches):
         """Each piece's classes, packed by slice of the class table."""
         for t in batches:
@@ -381,7 +441,8 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool)
         })
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
-        outs_a, outs_b = [], []
+        """The pairs of a piece, by a hash of the pair; other buckets may have some of them too."""
+        part, outs = [], []
         if left.num_rows and right.num_rows:
             about = {}
             for c, lab, n, size, sk in zip(*(right.column(x).to_pylist() for x in ("cids", "labels", "n", "bytes", "sketches"))):
@@ -420,9 +481,19 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool)
                             y = y[differ[fit].argmin(keepdims=True)]
                         got.append(np.minimum(x, y) * len(table) + np.maximum(x, y))
                 pair = np.unique(np.concatenate(got))
-                outs_a += [x.tobytes() for x in table[pair // len(table)]]
-                outs_b += [x.tobytes() for x in table[pair % len(table)]]
-        return pa.table({"a": pa.array(outs_a, pa.binary()), "b": pa.array(outs_b, pa.binary())})
+                both = np.stack((table[pair // len(table)], table[pair % len(table)]), axis=1).view(U64).reshape(-1, 4)
+                both = np.where((both[:, :1].byteswap() > both[:, 2:3].byteswap()) | (both[:, :1] == both[:, 2:3]) & (both[:, 1:2].byteswap() > both[:, 3:].byteswap()), both[:, [2, 3, 0, 1]], both)
+                at = mix(both[:, 0] ^ mix(both[:, 2])) % U64(slices)
+                by = np.argsort(at, kind="stable")
+                edge = np.searchsorted(at[by], np.arange(slices + 1, dtype=np.uint64))
+                for k in np.flatnonzero(np.diff(edge)):
+                    part.append(k)
+                    outs.append(both[by[edge[k] : edge[k + 1]]].tobytes())
+        return pa.table({"part": pa.array(part, pa.int32()), "pairs": pa.array(outs, pa.binary())})
+
+    def once(t: pa.Table) -> pa.Table:
+        both = np.unique(np.frombuffer(b"".join(t.column("pairs").to_pylist()), "V32"))
+        return pa.table({x: pa.array([v.tobytes()[i : i + 16] for v in both], pa.binary()) for x, i in (("a", 0), ("b", 16))})
 
     asked = groups.select("bucket", "piece", "classes").mapInArrow(names, "slice int, bucket int, piece long, cids binary")
     slice_of = F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("bigint") % slices
@@ -430,7 +501,7 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool)
         known.withColumn("slice", slice_of.cast("int")).groupBy("slice").cogroup(asked.groupBy("slice"))
         .applyInArrow(lean(attach), "bucket int, piece long, cids binary, labels binary, n binary, bytes binary, sketches binary")
     )
-    return groups.groupBy("bucket", "piece").cogroup(who.groupBy("bucket", "piece")).applyInArrow(lean(cross), "a binary, b binary").distinct()
+    return groups.groupBy("bucket", "piece").cogroup(who.groupBy("bucket", "piece")).applyInArrow(lean(cross), "part int, pairs binary").groupBy("part").applyInArrow(lean(once), "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -442,9 +513,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             ok = np.fromiter((may_link(*r, num, den) for r in rows), bool, t.num_rows)
             yield t.select(["a", "b"]).filter(pa.array(ok))
 
+    files = files_for(pairs.count(), PAIRS_A_FILE)
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    live = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(sieve, "a binary, b binary"), "pairs")
+    live = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(sieve, "a binary, b binary"), "pairs", files)
     used = live.select(F.col("a").alias("cid")).unionByName(live.select(F.col("b").alias("cid"))).distinct()
     where = classes.join(used, "cid").select("cid", F.col("row.doc_id").alias("doc_id"), F.col("row.k2").alias("k2"))
 
@@ -457,7 +529,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
     texts = docs.join(where, ["doc_id", "k2"]).select("cid", "text")
     # rows that repeat in the table would repeat here
-    known = materialize(texts.mapInArrow(lean(sets), "cid binary, features binary").dropDuplicates(["cid"]), "sets")
+    known = materialize(texts.mapInArrow(lean(sets), "cid binary, features binary").dropDuplicates(["cid"]), "sets", files)
 
     def test(batches):
         for t in batches:
@@ -470,7 +542,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = live.join(known.select(F.col("cid").alias("a"), F.col("features").alias("fa")), "a").join(known.select(F.col("cid").alias("b"), F.col("features").alias("fb")), "b")
-    return materialize(joined.select("a", "b", "fa", "fb").mapInArrow(test, "a binary, b binary").distinct(), "linked")
+    return materialize(joined.select("a", "b", "fa", "fb").mapInArrow(test, "a binary, b binary").distinct(), "linked", files)
 
 
 def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, keyed: bool = False) -> DataFrame:
@@ -490,20 +562,22 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         .agg(F.min(F.struct("doc_id", "k2")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "class",
     )
-    groups = _groups(docs, width, num, den, buckets_for(docs))
-    one = _verified(_stars(groups), classes, docs, width, num, den)
-    links = one
-    comp = materialize(components(links).withColumnsRenamed({"id": "cid", "component": "label"}), "comp")
-    for every in (False, False, True):
+    buckets = buckets_for(docs)
+    groups = _groups(docs, width, num, den, buckets)
+    tested = materialize(_stars(groups), "stars")
+    links = _verified(tested, classes, docs, width, num, den)
+    comp = components(links).withColumnsRenamed({"id": "cid", "component": "label"})
+    for every in (False, True):
         known = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), "n", "sketch")
-        more = materialize(_rest(groups, known, num, den, every), "more")
+        more = materialize(_rest(groups, known, num, den, every, buckets).join(tested, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
-            break  # nothing is left to test
+            continue  # nothing is left to test
+        tested = tested.unionByName(more)
         links = links.unionByName(_verified(more, classes, docs, width, num, den))
-        comp = materialize(components(links).withColumnsRenamed({"id": "cid", "component": "label"}), "comp")
+        comp = components(links).withColumnsRenamed({"id": "cid", "component": "label"})
     labelled = classes.join(comp, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), F.col("row").alias("least"))
     least = labelled.groupBy("label").agg(F.min("least").alias("least_row"))
-    named = materialize(labelled.join(least, "label").select("cid", F.col("least_row.doc_id").alias("component_id"), F.col("least_row.k2").alias("component_k2")), "named")
+    named = labelled.join(least, "label").select("cid", F.col("least_row.doc_id").alias("component_id"), F.col("least_row.k2").alias("component_k2"))
     return rows.join(named, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
         *(["k2", F.coalesce("component_k2", "k2").alias("component_k2")] if keyed else []),
