@@ -6,7 +6,7 @@ else in the table. Every such window picks an anchor, the least hash among its
 and a document's windows fall into runs that share an anchor. Runs whose gram
 occurs once in the table hold no repeat. Runs of one gram with the same bytes
 throughout (by hash) are one class, whose windows are repeated where it has two
-members. What is left, classes that are alone beside others of their gram, is
+members; those that meet in one batch are settled there, and one of them goes on. What is left, classes that are alone beside others of their gram, is
 settled exactly: the bytes left and right of the anchor become
 sequences of wide symbols, and a suffix array of each side (grouping by Lyndon
 prefixes, ``suffix_array``) puts them in order. Neighbours' common prefixes say
@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat, mix, ragged
-from .common import bloom, bloom_hits, bound_batches, buckets_for, lean, materialize, row_key, shield, with_bloom_places
+from .common import bloom, bloom_hits, bound_batches, buckets_for, files_for, lean, materialize, row_key, shield, with_bloom_places
 from .suffix_array import suffix_array
 
 U64 = np.uint64
 SEGMENT = 1 << 19
 HOT = 256
 SYMBOLS = 8
+#: Blocks of windows in a file.
+ROWS_A_FILE = 1 << 17
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -229,19 +231,19 @@ RUN = "k1 long, k2 long, gram long, run long, lo int, hi int, at int"
 SPAN = "k1 long, k2 long, lo int, hi int"
 
 
-def _unsettled(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _unsettled(runs: DataFrame, files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of ``runs`` (RUN and open: still to settle): spans repeated as a whole, and what to sort.
 
     That is one run of each class of the grams with a class that is alone and
     open beside others; ``m`` is the number of the gram's classes.
     """
     equal = materialize(
-        runs.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")), "equal"
+        runs.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")), "equal", files
     )
-    settled = runs.where("open").join(equal.where("n > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("k1", "k2", "lo", "hi")
+    settled = runs.where("open").join(equal.select("gram", "run", "n"), ["gram", "run"]).where("n > 1").select("k1", "k2", "lo", "hi")
     alone = (F.col("n") == 1) & F.col("open")
-    loose = materialize(equal.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max(alone).alias("some")).where("some AND m > 1").select("gram", "m"), "loose")
-    return settled, materialize(equal.join(loose, "gram").select("gram", "m", alone.alias("open"), "one.*"), "wanted")
+    loose = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max(alone).alias("some")).where("some AND m > 1").select("gram", "m")
+    return settled, materialize(equal.join(loose, "gram").select("gram", "m", alone.alias("open"), "one.*"), "wanted", files)
 
 
 def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -249,26 +251,48 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     need = length - gram
 
     def runs(batches):
+        """Runs that are equal in a batch are settled there: their stretches (gram null), and one of them for the rest of the table."""
         for b in batches:
             data, off = flat(b.column("text"))
             t, lo, hi, q, g, f = anchor_runs(data, off, length, gram)
-            take = pa.array(t)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k1").take(take), b.column("k2").take(take), pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), *(pa.array(x, pa.int32()) for x in (lo, hi, q))],
-                names=["k1", "k2", "gram", "run", "lo", "hi", "at"],
-            )
-
-    every = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN), "runs")
+            order = np.lexsort((f, g))
+            new = np.ones(len(order), bool)
+            new[1:] = (g[order][1:] != g[order][:-1]) | (f[order][1:] != f[order][:-1])
+            again = ~new
+            again[:-1] |= ~new[1:]
+            twice = np.zeros(len(order), bool)
+            twice[order] = again
+            one = np.sort(order[new])
+            # neighbours that are both settled are one stretch
+            own = np.flatnonzero(twice)
+            head = np.ones(len(own), bool)
+            head[1:] = (t[own][1:] != t[own][:-1]) | (lo[own][1:] > hi[own][:-1] + 1)
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(own))[: len(first)] - 1
+            rows = np.concatenate((one, own[first]))
+            n, m = len(one), len(first)
+            stretch = np.arange(n + m) >= n
+            take = pa.array(t[rows])
+            high = np.concatenate((hi[one], hi[own[last]]))
+            yield pa.RecordBatch.from_arrays([
+                b.column("k1").take(take), b.column("k2").take(take), pa.array(g[rows].view(np.int64), mask=stretch), pa.array(f[rows].view(np.int64)),
+                *(pa.array(x, pa.int32()) for x in (lo[rows], high, q[rows])), pa.array(~twice[rows]),
+            ], names=["k1", "k2", "gram", "run", "lo", "hi", "at", "open"])
+
+    found = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN + ", open boolean"), "runs")
+    every, here = found.where("gram IS NOT NULL"), found.where("gram IS NULL").select("k1", "k2", "lo", "hi")
     often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    spans, wanted = _unsettled(materialize(every.join(often, "gram").withColumn("open", F.lit(True)), "candidates"))
+    spans, wanted = _unsettled(materialize(every.join(often, "gram"), "candidates"))
+    spans = spans.unionByName(here)
     # what is cut into blocks of windows, and those into single ones; a single window's classes are its grams, so none is left
     for step in (math.isqrt(need) + 1, 1):
         hot = wanted.where(F.col("m") > HOT)
         cold = wanted.where(F.col("m") <= HOT)
         if not cold.isEmpty():
             spans = spans.unionByName(_sorted(docs, cold, length, gram))
-        if hot.isEmpty():
-            return materialize(spans, "spans")
+        crowded = hot.count()
+        if not crowded:
+            return spans
 
         def cut(batches, step=step):
             for b in batches:
@@ -280,9 +304,11 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     names=["k1", "k2", "gram", "run", "lo", "hi", "at", "open"],
                 )
 
-        more, wanted = _unsettled(materialize(_beside(docs, hot).mapInArrow(lean(cut), RUN + ", open boolean"), "blocks"))
+        # a run has step blocks at most, and a block step windows
+        files = files_for(crowded * (math.isqrt(need) + 1), ROWS_A_FILE)
+        more, wanted = _unsettled(materialize(_beside(docs, hot).mapInArrow(lean(cut), RUN + ", open boolean"), "blocks", files), files)
         spans = spans.unionByName(more)
-    return materialize(spans, "spans")
+    return spans
 
 
 def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
