@@ -311,7 +311,7 @@ def quantize(c, xs):
     a, b = xs
     if a.kind == "i" and b.kind == "i" and isinstance(b.lit, int) and b.lit > 0:
         return Typed("i", F.call_function("div", a.v + F.lit(b.lit - 1).cast("bigint"), b.v) * b.v, _or(a.err, a.v.isNull()))
-    if a.kind in "ir" and b.kind in "ir" and "r" in (a.kind, b.kind) and b.lit:
+    if a.kind in "ir" and b.kind in "ir" and "r" in (a.kind, b.kind) and b.lit and abs(b.lit) > 1e-8:
         return Typed("r", F.ceil(as_real(a) / as_real(b)).cast("double") * as_real(b), _or(a.err, a.v.isNull()))
     raise Untyped("quantize")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.files import delete_path, path_exists, write_text, read_text
+from ..sources.files import delete_path, path_exists, read_text, rename_path, write_text
 from .scan import project, where
 
 SYSTEM = "\u0000sys/"
@@ -32,6 +32,16 @@ def visible(log: DataFrame, key: str = "key", seq: str = "seq", deleted: str = "
     return last.where(~F.col(f"_last.{deleted}")).select(key, *(F.col(f"_last.{c}").alias(c) for c in cols))
 
 
+def last_of_key(rows: DataFrame, order: str | None) -> DataFrame:
+    """One row a key: the last by ``order``, which rows with equal keys must have."""
+    if order is not None:
+        cols = [c for c in rows.columns if c != "key"]
+        return rows.groupBy("key").agg(F.max_by(F.struct(*cols), F.col(order)).alias("_last")).select("key", "_last.*")
+    if not rows.groupBy("key").count().where("count > 1").isEmpty():
+        raise ValueError("rows with one key need an order")
+    return rows
+
+
 class Conflict(Exception):
     def __init__(self, keys: list):
         super().__init__(f"{len(keys)} keys changed since the transaction began")
@@ -61,24 +71,27 @@ class Table:
     def seq(self) -> int:
         return self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
-    def _append(self, rows: DataFrame, deleted: bool) -> int:
-        seq = self.seq() + 1
-        names = {f.name for f in self.attrs}
-        out = rows.select(
-            F.col("key").cast("string").alias("key"), F.lit(seq).cast("bigint").alias("seq"), F.lit(int(self.clock())).cast("bigint").alias("ts"), F.lit(deleted).alias("deleted"),
-            *((F.col(f.name) if f.name in rows.columns and not deleted else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.attrs if f.name in names),
-        )
-        out.write.mode("append").parquet(self.path)
+    def _append(self, *parts: tuple[DataFrame, bool]) -> int:
+        """Write rows and tombstones as one batch under the next sequence number: all of it or nothing."""
+        seq, ts = self.seq() + 1, int(self.clock())
+        batch = None
+        for rows, deleted in parts:
+            out = rows.select(
+                F.col("key").cast("string").alias("key"), F.lit(seq).cast("bigint").alias("seq"), F.lit(ts).cast("bigint").alias("ts"), F.lit(deleted).alias("deleted"),
+                *((F.col(f.name) if f.name in rows.columns and not deleted else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.attrs),
+            )
+            batch = out if batch is None else batch.unionByName(out)
+        batch.write.mode("append").parquet(self.path)
         return seq
 
     # -- writes ----------------------------------------------------------------
 
-    def put(self, rows: DataFrame) -> int:
-        """Upsert a batch; of rows with one key in the batch, one stays."""
-        return self._append(rows.dropDuplicates(["key"]), False)
+    def put(self, rows: DataFrame, order: str | None = None) -> int:
+        """Upsert a batch. Of rows with one key the last by ``order`` stays; without an order such rows are refused."""
+        return self._append((last_of_key(rows, order), False))
 
     def delete(self, keys: DataFrame) -> int:
-        return self._append(keys.select("key").distinct(), True)
+        return self._append((keys.select("key").distinct(), True))
 
     def delete_where(self, constraint: str) -> int:
         """Tombstones for the keys whose current row matches; how many."""
@@ -126,14 +139,15 @@ class Table:
     # -- upkeep ----------------------------------------------------------------
 
     def compact(self) -> None:
-        """Rewrite the log as its visible rows; history before now is gone."""
-        log = self.log()
-        last = visible(log)
-        fresh = f"{self.path}.{uuid.uuid4().hex}"
-        last.select(*(f.name for f in self.schema)).write.parquet(fresh)
-        delete_path(self.spark, self.path)
-        self.spark.read.parquet(fresh).write.parquet(self.path)
-        delete_path(self.spark, fresh)
+        """Rewrite the log as its visible rows; history before now is gone.
+
+        The fresh log is whole before it takes the old one's place, which stays beside until then.
+        """
+        fresh, was = (f"{self.path}.{kind}-{uuid.uuid4().hex}" for kind in ("fresh", "was"))
+        visible(self.log()).select(*(f.name for f in self.schema)).write.parquet(fresh)
+        rename_path(self.spark, self.path, was)
+        rename_path(self.spark, fresh, self.path)
+        delete_path(self.spark, was)
 
     def snapshot(self, path: str) -> None:
         visible(self.log()).write.mode("overwrite").parquet(path)
@@ -187,8 +201,9 @@ class Txn:
 
         With a ``ledger`` id the commit happens once however often it is tried.
         """
-        mark = f"{self.table.path}.ledger/{ledger}" if ledger else None
-        if mark and path_exists(self.table.spark, mark):
+        spark = self.table.spark
+        mark = f"{SYSTEM}ledger/{ledger}" if ledger else None
+        if mark and not self.table.log().where(F.col("key") == mark).isEmpty():
             return []
         keys = self._own_keys()
         if keys is None:
@@ -196,12 +211,12 @@ class Txn:
         newer = self.table.log().where(F.col("seq") > self.at).select("key").distinct()
         lost = keys.join(newer, "key", "left_semi").distinct()
         conflicted = sorted(r[0] for r in lost.collect())
-        for p in self.puts:
-            self.table.put(p.join(lost, "key", "left_anti"))
-        for d in self.drops:
-            self.table.delete(d.join(lost, "key", "left_anti"))
+        parts = [(last_of_key(p.join(lost, "key", "left_anti"), None), False) for p in self.puts]
+        parts += [(d.join(lost, "key", "left_anti").distinct(), True) for d in self.drops]
         if mark:
-            write_text(self.table.spark, mark, "done")
+            # the mark is a record of the same batch, so it is there if and only if the writes are
+            parts.append((spark.createDataFrame([(mark,)], "key string"), False))
+        self.table._append(*parts)
         return conflicted
 
 

@@ -20,6 +20,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _fs(spark, path)
+    if not fs.rename(p, _fs(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside and rename, so a reader never sees half a file."""
     fs, p = _fs(spark, path)

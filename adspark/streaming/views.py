@@ -147,7 +147,8 @@ class View:
             return 0
         groups = rollup(ripe, self.spec)
         n = groups.count()
-        groups.write.mode("append").parquet(f"{self.path}/sealed/upto={top}")
+        # rows at or before what was sealed are late, so no other seal has this folder; one that broke off is done anew
+        groups.write.mode("overwrite").parquet(f"{self.path}/sealed/upto={top}")
         # the watermark moves with what was sealed, not with the clock
         self._replace(live.where(F.col("bucket") > now - self.spec.width - self.spec.grace))
         self.state["sealed_to"] = max(top, self.state["sealed_to"] if self.state["sealed_to"] is not None else top)

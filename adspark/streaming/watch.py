@@ -108,20 +108,31 @@ class TableSink:
 
 
 class ArchiveSink:
-    """Appends upserts; deletes are ignored; (src, ver) at or before the cursor are not appended again."""
+    """Appends upserts; deletes are ignored; events at or before the source's cursor are not appended again.
+
+    What is about to be written is noted first, and each batch has a folder of
+    its own, so an append that broke off is done anew in its place.
+    """
 
     def __init__(self, spark: SparkSession, path: str, src: str):
-        self.spark, self.path, self.mark = spark, path, f"{path}.cursor/{src}"
+        self.spark, self.path, self.src, self.mark = spark, path, src, f"{path}.cursor/{src}"
 
     def apply(self, changes: DataFrame) -> None:
         raw = read_text(self.spark, self.mark)
-        after = json.loads(raw) if raw else 0
-        ups = changes.where((F.col("kind") == "upsert") & (F.col("seq") > after))
+        note = json.loads(raw) if raw else {"after": 0, "head": 0, "done": True}
+        if not note["done"]:
+            self._write(changes, note["after"], note["head"])
+        after = note["head"]
         head = changes.agg(F.max("seq")).first()[0]
-        if not ups.isEmpty():
-            ups.drop("kind").write.mode("append").parquet(self.path)
-        if head is not None:
-            write_text(self.spark, self.mark, json.dumps(max(head, after)))
+        if head is not None and head > after:
+            self._write(changes, after, head)
+
+    def _write(self, changes: DataFrame, after: int, head: int) -> None:
+        note = {"after": after, "head": head, "done": False}
+        write_text(self.spark, self.mark, json.dumps(note))
+        ups = changes.where((F.col("kind") == "upsert") & (F.col("seq") > after) & (F.col("seq") <= head))
+        ups.drop("kind").write.mode("overwrite").parquet(f"{self.path}/source={self.src}/upto={head}")
+        write_text(self.spark, self.mark, json.dumps(note | {"done": True}))
 
 
 class AckRegistry:

@@ -50,6 +50,29 @@ def test_stream_to_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/arch").count() == 3
 
 
+def test_archive_sink_after_a_crash(spark, tmp_path, monkeypatch):
+    """An append whose last step never came is done anew in its place, also when more events have come since."""
+    t = jobs(spark, f"file://{tmp_path}/t")
+    t.put(rows(spark, ("a", "x", 1, 0), ("b", "y", 2, 0)))
+    path = f"file://{tmp_path}/arch"
+    changes = lambda: watch.events(t.log()).drop("ts", "deleted")
+    write, calls = watch.write_text, []
+
+    def once(spark, path, text):
+        calls.append(text)
+        if len(calls) == 2:
+            raise OSError("gone")
+        write(spark, path, text)
+
+    monkeypatch.setattr(watch, "write_text", once)
+    with pytest.raises(OSError):
+        watch.ArchiveSink(spark, path, "s").apply(changes())
+    t.put(rows(spark, ("a", "x", 5, 0)))
+    watch.ArchiveSink(spark, path, "s").apply(changes())
+    watch.ArchiveSink(spark, path, "s").apply(changes())
+    assert sorted((r["key"], r["mem"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("a", 5), ("b", 2)]
+
+
 def test_fan_out(spark):
     before = spark.createDataFrame([("p", "x"), ("q", "y")], "key string, cmd string")
     after = spark.createDataFrame([("p", "z"), ("q", "y")], "key string, cmd string")

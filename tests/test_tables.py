@@ -62,6 +62,28 @@ def test_transactions(spark, jobs):
     assert t.commit("tx1") == [] and len(jobs) == 3
 
 
+def test_put_of_repeated_keys(spark, jobs):
+    twice = spark.createDataFrame([("a", "x", 1, 7), ("a", "x", 2, 9), ("a", "x", 3, 8)], "key string, owner string, status bigint, at int")
+    with pytest.raises(ValueError):
+        jobs.put(twice)
+    jobs.put(twice, order="at")
+    assert got(jobs.scan()) == [("a", "x", 2)]
+
+
+def test_commit_is_one_batch(spark, jobs):
+    """Writes, deletes and the mark have one sequence number, so a commit that broke off left nothing, and one that did not is not repeated."""
+    jobs.put(rows(spark, ("a", "x", 1), ("b", "x", 1)))
+    t, again = jobs.begin(), jobs.begin()
+    for x in (t, again):
+        x.put(rows(spark, ("c", "x", 2)))
+        x.delete(rows(spark, ("a", None, None)))
+    assert t.commit("once") == [] and again.commit("once") == []
+    assert got(jobs.scan()) == [("b", "x", 1), ("c", "x", 2)] and jobs.seq() == 2
+    assert jobs.log().where("seq = 2").count() == 3 and jobs.scan(system=True).count() == 1
+    jobs.compact()
+    assert jobs.begin().commit("once") == [] and got(jobs.scan()) == [("b", "x", 1), ("c", "x", 2)]
+
+
 def test_archive(spark, tmp_path):
     a = Archive(spark, f"file://{tmp_path}/arch", "done", width=100)
     a.append(spark.createDataFrame([(i, 10 * i) for i in range(40)], "id bigint, done bigint"))
