@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import chain, match as matching, order, scan, versions
 from .operators.aggregate import Agg, Group, aggregate, numeric_stats, presence
 from .plans.compile import unix_time
+from .sources.files import scratch_path
 from .streaming import views, watch
 
 _QUERIES: dict = {}
@@ -129,6 +130,15 @@ def _event_log(spark, d):
 _LOG = "(SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type = 'purchase' AS deleted, event_type, value FROM events)"
 
 
+def _table(spark, rows: DataFrame, attrs: str) -> versions.Table:
+    """A table in the shared folder with ``rows`` as its log: key and attributes, and what else of a log's columns they have."""
+    t = versions.Table(spark, scratch_path(spark, "table"), f"key string, {attrs}", lambda: 0)
+    given = {"seq": F.lit(1), "ts": F.lit(0), "deleted": F.lit(False)}
+    rows = rows.withColumns({c: v for c, v in given.items() if c not in rows.columns})
+    rows.select(*(F.col(f.name).cast(f.dataType) for f in t.schema)).write.parquet(t.path)
+    return t
+
+
 @query(
     "S11_as_of",
     f"""SELECT key, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {_LOG}
@@ -146,11 +156,12 @@ def s11(spark, d):
     SELECT o_orderkey, 'O' FROM orders WHERE o_orderkey % 6 = 0""",
 )
 def s12(spark, d):
-    """Buffered upserts and deletes over a base: keys divisible by 3 are written, half of them deleted."""
-    base = _load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    keys = scan.where(base, "o_orderkey % 3 == 0").select("o_orderkey")
-    buffered = scan.where(base, "o_orderkey % 6 == 0").withColumn("o_orderstatus", F.lit("O"))
-    return scan.where(base.join(keys, "o_orderkey", "left_anti").unionByName(buffered), 'o_orderstatus == "o"')
+    """A transaction's own reads: keys divisible by 3 are written, half of them deleted."""
+    base = _load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderkey", "o_orderstatus")
+    txn = _table(spark, base, "o_orderkey bigint, o_orderstatus string").begin()
+    txn.delete(scan.where(base, "o_orderkey % 3 == 0"))
+    txn.put(scan.where(base, "o_orderkey % 6 == 0").withColumn("o_orderstatus", F.lit("O")))
+    return txn.query('o_orderstatus == "o"').select("o_orderkey", "o_orderstatus")
 
 
 @query("S15_count", "SELECT count(*) AS n FROM lineitem")
@@ -435,7 +446,18 @@ def j3(spark, d):
     return _customer_supplier(spark, d, only="s_acctbal > 2000").select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"))
 
 
-@query("J4_greedy_assignment")
+@query(
+    "J4_greedy_assignment",
+    f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT c_custkey, s_suppkey, CAST(s_acctbal AS DOUBLE) AS rank {_PAIRS}),
+    asked AS MATERIALIZED (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM (SELECT DISTINCT c_custkey FROM pairs)),
+    walk AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS c_custkey, CAST(NULL AS BIGINT) AS s_suppkey, CAST(NULL AS DOUBLE) AS rank, CAST([] AS BIGINT[]) AS taken
+      UNION ALL
+      SELECT i, c_custkey, s_suppkey, rank, CASE WHEN s_suppkey IS NULL THEN taken ELSE list_append(taken, s_suppkey) END FROM (
+        SELECT q.i AS i, q.c_custkey, first(p.s_suppkey ORDER BY p.rank DESC, p.s_suppkey) AS s_suppkey, first(p.rank ORDER BY p.rank DESC, p.s_suppkey) AS rank, w.taken
+        FROM walk w JOIN asked q ON q.i = w.i + 1 LEFT JOIN pairs p ON p.c_custkey = q.c_custkey AND NOT list_contains(w.taken, p.s_suppkey) GROUP BY q.i, q.c_custkey, w.taken)
+    ) SELECT c.c_custkey, w.s_suppkey, w.rank FROM customer c LEFT JOIN walk w USING (c_custkey)""",
+)
 def j4(spark, d):
     pairs = _customer_supplier(spark, d, "TARGET.s_acctbal").select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), "rank")
     return matching.greedy(pairs, "c_custkey", "s_suppkey", [], _load(spark, d, "customer"))
@@ -449,9 +471,11 @@ def j5(spark, d):
 
 @query("J6_anti_merge", "SELECT p_partkey, p_size FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_size <= 25")
 def j6(spark, d):
-    base = _load(spark, d, "part").select("p_partkey", "p_size")
-    own = scan.where(base, "p_size <= 25").withColumn("p_size", F.lit(0))
-    return base.join(own.select("p_partkey"), "p_partkey", "left_anti").unionByName(own)
+    """A transaction's buffered rows stand before those of the snapshot."""
+    base = _load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_size")
+    txn = _table(spark, base, "p_partkey bigint, p_size int").begin()
+    txn.put(scan.where(base, "p_size <= 25").withColumn("p_size", F.lit(0)))
+    return txn.scan().select("p_partkey", "p_size")
 
 
 @query("J7_equi_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
@@ -499,15 +523,43 @@ projection(
 )
 
 
-@query("F8_versions")
-def f8(spark, d):
-    """Natural order has no SQL: the evaluator runs over Arrow batches."""
-    return scan.project(_load(spark, d, "part"), {"p_partkey": "p_partkey", "c": 'versioncmp(p_brand, "Brand#9")', "ge": 'versionGE(p_brand, "Brand#12")', "within": 'version_in_range(p_brand, "Brand#11", "Brand#33")'})
+def evaluated_projection(name: str, table: str, attrs: dict[str, tuple[str, str, str]]) -> None:
+    """Like ``projection``, of expressions that run in the evaluator: the kind (i, d, s or b) says which part of a value is meant."""
 
-
-@query("F9_split_and_eval")
-def f9(spark, d):
-    return scan.project(_load(spark, d, "part"), {"p_partkey": "p_partkey", "words": "size(split(p_type))", "joined": 'join("+", split(p_type))', "dyn": 'eval("p_size * 2")', "first": 'replace("[A-Z]+", p_type, "X")'})
+    @query(name, f"SELECT {', '.join(f'{s} AS {n}' for n, (_, _, s) in attrs.items())} FROM {table}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = scan.project(_load(spark, sf_dir, table), {n: e for n, (e, _, _) in attrs.items()})
+        kinds = dict(out.dtypes)
+        part = lambda n, k: F.col(n)["i"] == 1 if k == "b" else F.col(n)[k]
+        return out.select(*(part(n, k).alias(n) if kinds[n].startswith("struct") else F.col(n) for n, (_, k, _) in attrs.items()))
+
+
+_N = "CAST(substr(p_brand, 7) AS BIGINT)"
+evaluated_projection(
+    "F8_versions", "part",
+    {"p_partkey": ("p_partkey", "i", "p_partkey"), "c": ('versioncmp(p_brand, "Brand#9")', "i", f"CASE WHEN {_N} > 9 THEN CAST(1 AS BIGINT) ELSE {_N} - 9 END"), "ge": ('versionGE(p_brand, "Brand#12")', "b", f"{_N} >= 12"),
+     "gt": ('versionGT(p_brand, "Brand#12")', "b", f"{_N} > 12"), "le": ('versionLE(p_brand, "Brand#4")', "b", f"{_N} <= 4"), "lt": ('versionLT(p_brand, "Brand#4")', "b", f"{_N} < 4"), "eq": ('versionEQ(p_brand, "Brand#21")', "b", f"{_N} = 21"),
+     "within": ('version_in_range(p_brand, "Brand#11", "Brand#33")', "b", f"{_N} BETWEEN 11 AND 33")},
+)
+evaluated_projection(
+    "F9_split_and_eval", "part",
+    {"p_partkey": ("p_partkey", "i", "p_partkey"), "words": ("size(split(p_name))", "i", "CAST(len(list_filter(string_split(p_name, ' '), lambda x: x <> '')) AS BIGINT)"),
+     "joined": ('join("+", split(p_name))', "s", "array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), '+')"), "dyn": ('eval("p_size * 2")', "i", "CAST(p_size * 2 AS BIGINT)"),
+     "first": ('replace("[A-Z]+", p_type, "X")', "s", "regexp_replace(p_type, '[A-Z]+', 'X')")},
+)
+evaluated_projection(
+    "F10_list_numbers", "part",
+    {"p_partkey": ("p_partkey", "i", "p_partkey"), "total": ('stringListSum(strcat(p_size, ",", p_partkey))', "i", "CAST(p_size + p_partkey AS BIGINT)"), "mean": ('stringListAvg(strcat(p_size, ",", p_partkey))', "i", "CAST((p_size + p_partkey) // 2 AS BIGINT)"),
+     "low": ('stringListMin(strcat(p_size, ",", p_partkey))', "i", "CAST(least(p_size, p_partkey) AS BIGINT)"), "high": ('stringListMax(strcat(p_size, ",", p_partkey))', "i", "CAST(greatest(p_size, p_partkey) AS BIGINT)"),
+     "has": ('stringListRegexpMember("^ST", p_type, " ")', "b", "len(list_filter(string_split(p_type, ' '), lambda x: starts_with(x, 'ST'))) > 0"), "any": ('regexpMember("^brand#1", {"none", p_brand}, "i")', "b", "starts_with(p_brand, 'Brand#1')")},
+)
+evaluated_projection(
+    "F11_records_and_names", "customer",
+    {"c_custkey": ("c_custkey", "i", "c_custkey"), "user": ('splitUserName(strcat(c_name, "@", c_mktsegment))[0]', "s", "c_name"), "domain": ('splitUserName(strcat(c_name, "@", c_mktsegment))[1]', "s", "c_mktsegment"),
+     "slot": ('splitSlotName(strcat("slot1@", c_name))[1]', "s", "c_name"), "hits": ("countMatches(x > 10, {[x = 5], [x = 20], [x = 30]})", "i", "CAST(2 AS BIGINT)"), "each": ("evalInEachContext(x * 2, {[x = 4], [x = 7]})[1]", "i", "CAST(14 AS BIGINT)"),
+     "record": ("[a = 1; b = a + 2].b", "i", "CAST(3 AS BIGINT)"), "shown": ('unparse(c_custkey)', "s", "CAST(c_custkey AS VARCHAR)"), "now": ("time() > 1500000000", "b", "true"), "chance": ("random() < 1.0", "b", "true"),
+     "up": ("ceil(c_acctbal)", "i", "CAST(ceil(c_acctbal) AS BIGINT)"), "mean": ("avg({c_custkey, c_nationkey})", "d", "(c_custkey + c_nationkey) / 2")},
+)
 
 
 projection("T3_list_predicates", "part", {"a": ('stringListsIntersect(p_type, "STEEL,BRASS", " ,")', "list_has_any(string_split(p_type, ' '), ['STEEL', 'BRASS'])")})
@@ -541,12 +593,23 @@ def w5(spark, d):
     f"""SELECT event_type, count(*) AS count, coalesce(round(sum(value), 4), 0) AS sum FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {_LOG}) WHERE rn = 1 AND NOT deleted GROUP BY 1""",
 )
 def w6(spark, d):
-    spec = views.ViewSpec(groups=("event_type",), value="value")
-    out = views.rollup(views.contributions(versions.visible(_event_log(spark, d)), spec), spec)
-    return out.select("event_type", "count", F.round("sum", 4).alias("sum"))
+    """Two batches of changes: the second replaces contributions of the first."""
+    log = _event_log(spark, d)
+    mid = log.agg(F.round(F.avg("seq")).cast("bigint")).first()[0]
+    view = views.View(spark, scratch_path(spark, "view"), views.ViewSpec(groups=("event_type",), value="value"))
+    for n, part in enumerate((log.where(F.col("seq") <= mid), log.where(F.col("seq") > mid))):
+        view.apply(part.drop("ts"), n)
+    return view.rows().select("event_type", "count", F.round("sum", 4).alias("sum"))
 
 
-_CONT = views.ViewSpec(groups=("event_type",), value="value", time="ts", width=3600, grace=600)
+_CONT = views.ViewSpec(groups=("event_type",), value="value", time="ts", width=3600, grace=600, max_series=1 << 20)
+
+
+def _hourly(spark, d):
+    """The events as changes, their last time, and a view of them by the hour."""
+    e = _load(spark, d, "events")
+    rows = e.select(F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.lit(False).alias("deleted"), "event_type", "value", unix_time(F.col("ts")).alias("ts"))
+    return rows, rows.agg(F.max("ts")).first()[0], views.View(spark, scratch_path(spark, "view"), _CONT)
 
 
 @query(
@@ -555,28 +618,29 @@ _CONT = views.ViewSpec(groups=("event_type",), value="value", time="ts", width=3
     WHERE CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) <= (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) FROM events) - 4200 GROUP BY 1, 2""",
 )
 def w7(spark, d):
-    e = _load(spark, d, "events")
-    rows = e.select(F.col("event_id").cast("string").alias("key"), "event_type", "value", unix_time(F.col("ts")).alias("ts"))
-    now = rows.agg(F.max("ts")).first()[0]
-    return views.tumbling(rows, _CONT, now).select("event_type", "bucket", "count", F.round("sum", 4).alias("sum"))
+    rows, now, view = _hourly(spark, d)
+    view.apply(rows)
+    view.seal(now)
+    return view.sealed().select("event_type", "bucket", "count", F.round("sum", 4).alias("sum"))
 
 
 @query("W8_late_rows", "SELECT count(*) AS late FROM events WHERE CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) <= (SELECT CAST(floor(min(epoch(ts)) / 3600) * 3600 AS BIGINT) + 7200 FROM events)")
 def w8(spark, d):
-    rows = _load(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), "event_type", "value", unix_time(F.col("ts")).alias("ts"))
-    c = views.contributions(rows, _CONT)
-    sealed = c.agg(F.min("bucket")).first()[0] + 7200
-    return c.where(F.col("bucket") <= sealed).agg(F.count(F.lit(1)).alias("late"))
+    """The first three hours are sealed; then all rows come, theirs too late."""
+    rows, _, view = _hourly(spark, d)
+    edge = rows.agg(F.min("ts")).first()[0] // 3600 * 3600 + 3 * 3600
+    view.apply(rows.where(F.col("ts") < edge))
+    view.seal(edge + _CONT.grace)
+    view.apply(rows)
+    return spark.createDataFrame([(view.state["late"],)], "late bigint")
 
 
 @query("T1_W10_live_and_sealed", "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, count(*) AS count FROM events GROUP BY 1, 2")
 def w10(spark, d):
-    rows = _load(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), "event_type", "value", unix_time(F.col("ts")).alias("ts"))
-    now = rows.agg(F.max("ts")).first()[0]
-    c = views.contributions(rows, _CONT)
-    edge = now - _CONT.width - _CONT.grace
-    sealed, live = (views.rollup(c.where(f), _CONT) for f in (F.col("bucket") <= edge, F.col("bucket") > edge))
-    return live.unionByName(sealed).select("event_type", "bucket", "count")
+    rows, now, view = _hourly(spark, d)
+    view.apply(rows)
+    view.seal(now)
+    return view.rows().select("event_type", "bucket", "count")
 
 
 @query("W11_events_round_trip", f"SELECT key, seq, CASE WHEN deleted THEN 'delete' ELSE 'upsert' END AS kind, CASE WHEN NOT deleted THEN event_type END AS event_type FROM {_LOG}")
@@ -601,14 +665,13 @@ def p6(spark, d):
 # -- writes, as the rows that they leave ---------------------------------------
 
 
-def _with_writes(spark, d):
-    """The event log after an upsert of every user with a value over 90 and a delete of every user under 3."""
-    log = _event_log(spark, d).select("key", "seq", "deleted", "value")
-    head = log.agg(F.max("seq")).first()[0]
-    now = versions.visible(log)
-    ups = scan.where(now, "value > 90").select("key", F.lit(head + 1).cast("bigint").alias("seq"), F.lit(False).alias("deleted"), (F.col("value") + 1000).alias("value"))
-    downs = scan.where(now, "int(value) < 3").select("key", F.lit(head + 2).cast("bigint").alias("seq"), F.lit(True).alias("deleted"), F.lit(None).cast("double").alias("value"))
-    return log.unionByName(ups).unionByName(downs), head
+def _written(spark, d):
+    """The event log as a table, and a transaction begun on it before every user with a value over 90 is written and every one under 3 deleted."""
+    t = _table(spark, _event_log(spark, d), "event_type string, value double")
+    txn = t.begin()
+    t.put(t.query("value > 90").withColumn("value", F.col("value") + 1000))
+    t.delete_where("int(value) < 3")
+    return t, txn
 
 
 _VISIBLE = f"(SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {_LOG}) WHERE rn = 1 AND NOT deleted)"
@@ -616,21 +679,22 @@ _VISIBLE = f"(SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITIO
 
 @query("S21_S22_upsert_delete_where", f"SELECT key, CASE WHEN value > 90 THEN value + 1000 ELSE value END AS value FROM {_VISIBLE} WHERE trunc(value) >= 3")
 def s21(spark, d):
-    return versions.visible(_with_writes(spark, d)[0]).select("key", "value")
+    return _written(spark, d)[0].scan().select("key", "value")
 
 
 @query("P2_conflicts", f"SELECT DISTINCT key FROM {_VISIBLE} WHERE value > 90 OR trunc(value) < 3")
 def p2(spark, d):
-    """Keys written after a transaction's snapshot: its writes to them would be refused."""
-    log, head = _with_writes(spark, d)
-    return log.where(F.col("seq") > head).select("key").distinct()
+    """Keys written after a transaction's snapshot: its writes to them are refused."""
+    _, txn = _written(spark, d)
+    txn.put(txn.scan())
+    return spark.createDataFrame([(k,) for k in txn.commit()], "key string")
 
 
 @query("P3_set_attribute", "SELECT p_partkey, CASE WHEN p_partkey = 5 THEN 77 ELSE p_size END AS p_size FROM part")
 def p3(spark, d):
-    base = _load(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit(1).alias("seq"), F.lit(False).alias("deleted"), "p_size")
-    one = scan.where(base, "key == 5").withColumns({"seq": F.lit(2), "p_size": F.lit(77)})
-    return versions.visible(base.unionByName(one)).select(F.col("key").alias("p_partkey"), "p_size")
+    t = _table(spark, _load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_size"), "p_partkey bigint, p_size int")
+    t.set_attribute("5", "p_size", 77)
+    return t.scan().select("p_partkey", "p_size")
 
 
 @query(
@@ -640,15 +704,18 @@ def p3(spark, d):
 )
 def p1(spark, d):
     """Whole days go when their newest possible row is five days old."""
-    rows = _load(spark, d, "events").select(unix_time(F.col("ts")).alias("t")).withColumn("day", F.expr("t div 86400"))
-    now = rows.agg(F.max("t")).first()[0]
-    return rows.where(F.lit(now) - ((F.col("day") + 1) * 86400 - 1) <= 5 * 86400).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    rows = _load(spark, d, "events").select(unix_time(F.col("ts")).alias("t"))
+    kept = versions.Archive(spark, scratch_path(spark, "archive"), "t")
+    kept.append(rows)
+    kept.rotate(rows.agg(F.max("t")).first()[0], max_age=5 * 86400)
+    return kept.rows().groupBy(F.col("_day").cast("bigint").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S14_system_records", "SELECT key FROM (SELECT 'sys-' || n_name AS key, n_nationkey AS k FROM nation) WHERE k < 5")
 def s14(spark, d):
-    keyed = _load(spark, d, "nation").select(F.when(F.col("n_nationkey") < 5, F.concat(F.lit(versions.SYSTEM), F.col("n_name"))).otherwise(F.col("n_name")).alias("key"))
-    own = keyed.where(F.col("key").startswith(versions.SYSTEM))
+    nation = _load(spark, d, "nation")
+    keyed = nation.select(F.when(F.col("n_nationkey") < 5, F.concat(F.lit(versions.SYSTEM), F.col("n_name"))).otherwise(F.col("n_name")).alias("key"), "n_regionkey")
+    own = _table(spark, keyed, "n_regionkey int").scan(system=True)
     return own.select(F.concat(F.lit("sys-"), F.substring(F.col("key"), len(versions.SYSTEM) + 1, 1000)).alias("key"))
 
 
@@ -697,7 +764,7 @@ def w1(spark, d):
     """What a reader with a cursor in the middle gets: every later key once, at its last event."""
     log = _event_log(spark, d)
     cursor = log.agg(F.round(F.avg("seq")).cast("bigint")).first()[0]
-    return watch.coalesce(watch.events(log, cursor)).select("key", "seq")
+    return watch.catch_up(_table(spark, log, "event_type string, value double"), cursor)[0].select("key", "seq")
 
 
 def queries() -> dict:
