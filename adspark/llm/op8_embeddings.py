@@ -13,8 +13,8 @@ budget it meets, and only after an exact cosine in double precision.
 Exact copies (equal components) are one vector with a multiplicity before the
 join. No pairs leave a task: counts per vector do, and the edges of a spanning
 forest of the links found there. A slab with more rows than a tile holds is
-dealt to tiles by hash, homes against homes and guests, so a hot slab is many
-tasks.
+dealt to tiles by hash, its homes and its guests apart, and each two tiles that
+are to meet are a task, so none holds more than two tiles.
 
 Vectors link within their own length; each length is a join of its own. Null,
 zero and non-finite vectors and a null id link with nothing. Repeated ids with equal vectors count as copies.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize
 from .graph import components
 
-TILE = 8192
+TILE = 4096
 
 
 def _vectors(col: pa.Array, dim: int) -> np.ndarray:
@@ -100,6 +100,8 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axe
     spark = vectors.sparkSession
     bound_batches(spark)
     budget = 2 - 2 * threshold
+    # vectors travel as wide as they came; all sums are in doubles
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     e = F.col("embedding").cast("array<double>")
     largest = F.aggregate(e, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
     sound = (
@@ -117,7 +119,7 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axe
     for dim in dims:
         own = good.where(F.col("dim") == dim).select("vec_id", "vector")
         one = materialize(own.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-        found = materialize(_join(one, dim, budget, threshold, blocks, axes), "near")
+        found = materialize(_join(one, dim, budget, threshold, blocks, axes, kind), "near")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("near"))
         comp = components(found.where("b IS NOT NULL").select("a", "b"))
         per = (
@@ -129,7 +131,7 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axe
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int, axes: int) -> DataFrame:
+def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int, axes: int, kind: str) -> DataFrame:
     """Rows (a, null, n): n links of a found in a tile; rows (a, b, 0): an edge of a tile's forest."""
     spark = one.sparkSession
     blocks = max(1, min(blocks, dim))
@@ -148,9 +150,10 @@ def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int
     def cells(batches):
         """(block, cell, guest, vector row) for each vector: at home once, guest in the later neighbours."""
         for b in batches:
-            x = _unit(_vectors(b.column("vector"), dim))
+            own = _vectors(b.column("vector"), dim)
+            x = _unit(own)
             y = x @ turn
-            raw = np.ascontiguousarray(x).view(np.dtype((np.void, 8 * dim))).ravel()
+            raw = pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())
             rep, mult = b.column("rep").to_numpy(), b.column("copies").to_numpy()
             for k in range(blocks):
                 home = np.floor(y[:, cut[k] : cut[k] + axes[k]] / radius[k]).astype(np.int64)
@@ -164,26 +167,31 @@ def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int
                     name = [f"{k}:" + ",".join(map(str, c)) for c in cell.tolist()]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(x), k, np.int32)), pa.array(name), pa.array(np.full(len(x), guest)),
-                        pa.array(rep), pa.array(mult), pa.array([v.tobytes() for v in raw], pa.binary()),
+                        pa.array(rep), pa.array(mult), raw,
                     ], names=["block", "cell", "guest", "rep", "copies", "vector"])
 
     placed = materialize(one.mapInArrow(cells, "block int, cell string, guest boolean, rep long, copies long, vector binary"), "cells")
-    count = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("guest"), 1)).alias("homes")).where("homes > 0 AND n > 1"), "sizes")
-    # a home row sits in one of T tiles and visits the tiles before it; a guest visits all
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("homes") / TILE)).cast("int")
+    homes = F.count(F.when(~F.col("guest"), 1))
+    count = placed.groupBy("cell").agg(homes.alias("homes"), (F.count(F.lit(1)) - homes).alias("guests")).where("homes > 0 AND homes + guests > 1")
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int").alias(f"{n[0]}t")
+    count = materialize(count.select("cell", tiles("homes"), tiles("guests")), "sizes")
+    whole = "named_struct('one', 0, 'two', 0, 'cross', false, 'second', guest)"
+    pairs = f"""CASE WHEN ht = 1 AND gt <= 1 THEN array({whole})
+        WHEN guest THEN transform(sequence(0, ht - 1), t -> named_struct('one', t, 'two', ht + own, 'cross', true, 'second', true))
+        ELSE concat(transform(sequence(0, ht - 1), t -> named_struct('one', least(own, t), 'two', greatest(own, t), 'cross', own <> t, 'second', own > t)),
+            CASE WHEN gt = 0 THEN array() ELSE transform(sequence(0, gt - 1), g -> named_struct('one', own, 'two', ht + g, 'cross', true, 'second', false)) END) END"""
     spread = (
         placed.join(count, "cell")
-        .withColumn("tiles", tiles)
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        .withColumn("tile", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.sequence(F.lit(0), F.col("own")))))
-        .select("block", "cell", "tile", (F.col("guest") | (F.col("tile") != F.col("own"))).alias("guest"), "rep", "copies", "vector")
+        .withColumn("own", F.expr("cast(pmod(xxhash64(rep), IF(guest, greatest(gt, 1), ht)) AS int)"))
+        .select("block", "cell", F.explode(F.expr(pairs)).alias("p"), "rep", "copies", "vector")
+        .select("block", "cell", "p.*", "rep", "copies", "vector")
     )
 
     def compare(t: pa.Table) -> pa.Table:
-        k = t.column("block")[0].as_py()
-        guest = t.column("guest").to_numpy()
+        k, cross = t.column("block")[0].as_py(), t.column("cross")[0].as_py()
+        guest = t.column("second").to_numpy()
         rep, mult = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(-1, dim)
+        x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).astype(np.float64).reshape(-1, dim))
         homes = np.flatnonzero(~guest)
         y = x @ turn
         part = np.ascontiguousarray(y[:, cut[k] : cut[k + 1]])
@@ -195,10 +203,10 @@ def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int
         everyone = np.concatenate((homes, np.flatnonzero(guest)))
         for a in range(0, len(homes), some):
             h = homes[a : a + some]
-            for c in range(a, len(everyone), 4096):
+            # two tiles meet across; within one, homes meet each other once, and guests
+            for c in range(len(homes) if cross else a, len(everyone), 4096):
                 g = everyone[c : c + 4096]
                 near = norm[h][:, None] + norm[g][None, :] - 2 * (part[h] @ part[g].T) <= radius[k] ** 2 + 1e-9
-                # homes meet each other once
                 i, j = np.nonzero(near & (np.arange(c, c + len(g))[None, :] > np.arange(a, a + len(h))[:, None]))
                 i, j = h[i], g[j]
                 for s in range(0, len(i), 1 << 16):
@@ -225,7 +233,7 @@ def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int
             "n": pa.array(np.concatenate((links[some], np.zeros(len(root), np.int64)))),
         })
 
-    return spread.groupBy("cell", "tile").applyInArrow(compare, "a long, b long, n long")
+    return spread.groupBy("cell", "one", "two").applyInArrow(compare, "a long, b long, n long")
 
 
 def op8_embeddings(spark, sf_dir: str) -> DataFrame:
