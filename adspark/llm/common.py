@@ -75,20 +75,24 @@ def buckets_for(df: DataFrame, bytes_each: int = 10 << 20) -> int:
     return least if size >= 1 << 60 else max(least, -(-size // bytes_each))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shield(df: DataFrame, *keep: str):
     """``df`` with all columns but ``keep`` under names that no operator uses, and a function that names them back.
 
     Where a result has a column of an input column's name besides, the result's own stays and the input's goes.
     """
     names = {c: f"_adspark_own{i}" for i, c in enumerate(df.columns) if c not in keep}
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    col = lambda c: F.col(quoted(c))
 
     def back(out: DataFrame) -> DataFrame:
         old = {v: k for k, v in names.items()}
         own = {c for c in out.columns if c not in old}
-        return out.select(*(quoted(c).alias(old.get(c, c)) for c in out.columns if old.get(c) not in own))
+        return out.select(*(col(c).alias(old.get(c, c)) for c in out.columns if old.get(c) not in own))
 
-    return df.select(*(quoted(c).alias(names.get(c, c)) for c in df.columns)), back
+    return df.select(*(col(c).alias(names.get(c, c)) for c in df.columns)), back
 
 
 def row_key(df: DataFrame) -> DataFrame:
