@@ -129,6 +129,31 @@ def test_op2(spark, sf, table):
         assert abs(m - of[s] / 8) <= 2
 
 
+def test_op2_by_brute_force(spark, docs, monkeypatch):
+    """The whole order from its definition, in whatever order rows come and in however many buckets, with columns of any name."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    slim = docs.select("doc_id", "source", "text", F.lit("x").alias("shard"), F.lit(1).alias("_h"), F.lit(2).alias("_cut"), F.col("n_chars").alias("a`b"))
+    slim = slim.unionByName(slim.where("doc_id < 30").withColumns({"doc_id": F.lit(None).cast("bigint"), "source": F.lit(None).cast("string")}))
+    rows = [(r["doc_id"], r["source"], r["t"]) for r in slim.withColumn("t", op2_shards.row_hash(slim)).collect()]
+    sources = collections.defaultdict(list)
+    for i, s, t in rows:
+        h = int(hashlib.md5(f"7:{'' if i is None else i}:{t}".encode()).hexdigest()[:15], 16)
+        sources[s].append((h, t, i))
+    order = sorted((Fraction(2 * k - 1, len(v)), (s is not None, (s or "").encode()), k, i) for s, v in sources.items() for k, (_, _, i) in enumerate(sorted(v, key=lambda x: x[:2]), 1))
+    n = len(order)
+    want = sorted(((p * 5 // n, p - -(-(p * 5 // n) * n // 5), i) for p, (*_, i) in enumerate(order)), key=repr)
+    for size, df in ((4 << 20, slim), (1, slim.orderBy(F.desc("text"))), (64, slim.repartition(7))):
+        monkeypatch.setattr(op2_shards, "BUCKET_BYTES", size)
+        if size == 1:
+            monkeypatch.setattr(op2_shards, "input_bytes", lambda df: 5000)
+        out = op2_shards.interleave(df, shards=5)
+        assert out.columns == ["doc_id", "source", "text", "_h", "_cut", "a`b", "shard", "slot"]
+        assert sorted(((r["shard"], r["slot"], r["doc_id"]) for r in out.collect()), key=repr) == want
+
+
 # -- 3 and 10 ------------------------------------------------------------------
 
 
