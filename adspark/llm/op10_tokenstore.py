@@ -144,10 +144,21 @@ def _byte_lengths(tok) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def encoder(blob: str) -> SegmentEncoder:
+    """The library's plain encoding; it looks for added tokens only in texts that hold one's string, where alone it matters."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_str(blob)
-    return SegmentEncoder(lambda texts: [np.array(e.ids, np.int64) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], _byte_lengths(tok))
+    plain, fast = Tokenizer.from_str(blob), Tokenizer.from_str(blob)
+    fast.encode_special_tokens = True
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        odd = [any(a in t for a in added) for t in texts]
+        out = [np.array(e.ids, np.int64) for e in fast.encode_batch_fast(texts, add_special_tokens=False)]
+        for i in np.flatnonzero(odd):
+            out[i] = np.array(plain.encode(texts[i], add_special_tokens=False).ids, np.int64)
+        return out
+
+    return SegmentEncoder(encode, _byte_lengths(plain))
 
 
 # -- operator ------------------------------------------------------------------
