@@ -158,7 +158,7 @@ def encoder(blob: str) -> SegmentEncoder:
             out[i] = np.array(plain.encode(texts[i], add_special_tokens=False).ids, np.int64)
         return out
 
-    return SegmentEncoder(encode, _byte_lengths(plain))
+    return SegmentEncoder(encode, _byte_lengths(plain), keep=1 << 19)
 
 
 # -- operator ------------------------------------------------------------------
