@@ -233,6 +233,15 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, shard_words:
     return shards, catalogue
 
 
+#: Shards whose offsets are broadcast, at 16 bytes each; beyond it the payloads are shuffled to theirs.
+SMALL_CATALOGUE = 1 << 20
+
+
+def small_catalogue(shards: DataFrame) -> bool:
+    """Whether there are few enough shards; the count reads Parquet footers only."""
+    return shards.count() <= SMALL_CATALOGUE
+
+
 def read_store(shards: DataFrame, catalogue: DataFrame) -> DataFrame:
     """One row per stored document, each read through the shard's index: doc_id, start, n_tokens, ids_crc32, keyed.
 
@@ -257,6 +266,8 @@ def read_store(shards: DataFrame, catalogue: DataFrame) -> DataFrame:
                 ], schema=out)
 
     where = catalogue.select(F.col("part").alias("p"), F.col("number").alias("k"), "start")
+    if small_catalogue(shards):
+        where = F.broadcast(where)
     joined = shards.join(where, (F.col("part") == F.col("p")) & (F.col("number") == F.col("k"))).drop("p", "k")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, keyed boolean")
 

@@ -207,6 +207,14 @@ def test_op10(spark, sf, table):
     assert ids == sorted(ids, key=lambda i: -math.inf if i is None else i)
 
 
+def test_op10_large_catalogue(spark, sf, monkeypatch):
+    """Past the bound of the broadcast the shards are shuffled to their offsets; the rows are the same."""
+    small = collect(op10_tokenstore.op10_tokenstore(spark, sf[0]))
+    monkeypatch.setattr(op10_tokenstore, "SMALL_CATALOGUE", 0)
+    key = lambda r: r["start"]
+    assert sorted(collect(op10_tokenstore.op10_tokenstore(spark, sf[0])), key=key) == sorted(small, key=key)
+
+
 def test_op10_special_tokens_are_the_librarys():
     """Strings of the vocabulary's added tokens get the ids that a plain call of the library gives, wherever they stand."""
     import public_tokenizers
