@@ -71,13 +71,19 @@ def match_by_text(left: DataFrame, right: DataFrame, column: str = "requirements
     return out if out is not None else match(left.limit(0).drop(column), right.limit(0).drop(column), "false", "false", rank)
 
 
-def greedy(matches: DataFrame, order: str, resource: str, keep: list[str], requests: DataFrame | None = None) -> DataFrame:
+def greedy(matches: DataFrame, order: str, resource: str, keep: list[str], requests: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Requests in order each take their best resource that is still free.
 
     Sequential by definition: the pairs stream, sorted, through one task that
     remembers the resources taken and nothing else. ``requests`` (with the
     order column) adds a row with an empty resource for those that get none.
+    ``limit``: only the first so many requests, those without a match among them.
     """
+    if limit is not None:
+        asked = matches if requests is None else requests
+        first = asked.select(order).distinct().orderBy(order).limit(limit)
+        matches = matches.join(first, order, "left_semi")
+        requests = None if requests is None else first
     cols = list(dict.fromkeys([order, resource, "rank", *keep]))
     stream = matches.select(*cols).repartition(1).sortWithinPartitions(order, F.col("rank").desc_nulls_last(), resource)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..lang.fold import is_match_all, is_match_none, reads
 from ..lang.syntax import is_private, parse_expr
 from ..plans.compile import Compiler, Typed, Untyped, plain_arithmetic, scope_of, true_of
-from ..plans.fallback import BOOL_TAG, evaluated
+from ..plans.fallback import BOOL_TAG, INT_TAG, REAL_TAG, STRING_TAG, evaluated
 
 
 class PrivateName(ValueError):
@@ -68,6 +68,72 @@ def project(df: DataFrame, attrs: dict[str, str] | list[str], constraint: str =
         return df.select(*cols)
 
 
+#: Spark types that hold a kind's values, by the kind's letter in the compiler.
+_KINDS = {"int": "i", "real": "r", "number": "ir", "string": "s", "bool": "b"}
+_TAGS = {"int": (INT_TAG,), "real": (REAL_TAG,), "number": (INT_TAG, REAL_TAG), "string": (STRING_TAG,), "bool": (BOOL_TAG,)}
+_HOST = {"int": "bigint", "real": "double", "number": "double", "string": "string", "bool": "boolean"}
+
+
+def typed(df: DataFrame, reads: dict[str, tuple], now: int | None = None) -> DataFrame:
+    """Values read as one kind each: ``{name: (expression, kind[, default])}``.
+
+    An int comes only from an integer, a real only from a real, a number from
+    both, a string and a bool only from their own; anything else is the default,
+    NULL where none is given.
+    """
+    with plain_arithmetic(df.sparkSession):
+        cols = []
+        for name, (text, kind, *default) in reads.items():
+            host, other = _HOST[kind], F.lit(default[0] if default else None)
+            try:
+                x = compile_over(df, text, now)
+                got = x.v.cast(host) if x.v is not None and x.kind and x.kind in _KINDS[kind] else F.lit(None)
+                if x.err is not False and x.v is not None:
+                    got = F.when(~(F.lit(x.err) if isinstance(x.err, bool) else x.err), got)
+            except Untyped:
+                v = evaluated(df, text, now)
+                part = v["s"] if kind == "string" else v["i"] == 1 if kind == "bool" else v["d"] if kind == "real" else v["i"]
+                if kind == "number":
+                    part = F.coalesce(v["d"], v["i"].cast("double"))
+                got = F.when(v["t"].isin(*_TAGS[kind]), part).cast(host)
+            cols.append(F.coalesce(got.cast(host), other.cast(host)).alias(name))
+        return df.select(*cols)
+
+
+def for_each(df: DataFrame, f) -> int:
+    """Call ``f(key, attributes)`` on rows with a ``key`` until it returns False; how many calls. The driver holds one partition at a time."""
+    n = 0
+    for row in df.toLocalIterator():
+        n += 1
+        d = row.asDict()
+        if f(d.pop("key"), d) is False:
+            break
+    return n
+
+
+def raw_batches(ads: DataFrame, names: list[str], follow: bool = False, redact: bool = True, rows: int = 1024) -> DataFrame:
+    """``raw_projected`` rows packed into wire batches: (rows int, wire binary), a wire being an Arrow stream of ``rows`` rows at most."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, rows):
+                part = b.slice(a, rows)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows", "wire"])
+
+    return raw_projected(ads, names, follow, redact).mapInArrow(run, "rows int, wire binary")
+
+
+def read_wire(wire: bytes):
+    """The Arrow table of a wire batch."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(wire).read_all()
+
+
 def explain(df: DataFrame, constraint: str) -> dict:
     """The compiled predicate's conjuncts, which of them reach the scan, and the physical plan."""
     kept = where(df, constraint)

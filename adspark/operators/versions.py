@@ -8,6 +8,7 @@ readers are any number.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.files import delete_path, path_exists, read_text, rename_path, write_text
-from .scan import project, where
+from .scan import for_each, project, where
 
 SYSTEM = "\u0000sys/"
 META = ["seq", "ts", "deleted"]
@@ -71,8 +72,18 @@ class Table:
     def seq(self) -> int:
         return self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
+    def epoch(self) -> tuple[str, int]:
+        """The log's generation, and the sequence number up to which tombstones are gone."""
+        raw = read_text(self.spark, f"{self.path}.epoch")
+        return tuple(json.loads(raw)) if raw else ("", 0)
+
+    def _renew(self, trimmed: int = 0) -> None:
+        write_text(self.spark, f"{self.path}.epoch", json.dumps([uuid.uuid4().hex, trimmed]))
+
     def _append(self, *parts: tuple[DataFrame, bool]) -> int:
         """Write rows and tombstones as one batch under the next sequence number: all of it or nothing."""
+        if not path_exists(self.spark, self.path):
+            self._renew()
         seq, ts = self.seq() + 1, int(self.clock())
         batch = None
         for rows, deleted in parts:
@@ -107,6 +118,7 @@ class Table:
         return self.put(row.withColumn(name, F.lit(value).cast(kinds[name])))
 
     def truncate(self) -> None:
+        self._renew()
         delete_path(self.spark, self.path)
 
     # -- reads -----------------------------------------------------------------
@@ -133,6 +145,10 @@ class Table:
     def __len__(self) -> int:
         return self.scan().count()
 
+    def for_each(self, f, upto: int | None = None) -> int:
+        """Call ``f(key, attributes)`` on every row until it returns False; how many calls. Rows stream a partition at a time."""
+        return for_each(self.scan(upto), f)
+
     def begin(self) -> "Txn":
         return Txn(self)
 
@@ -145,6 +161,8 @@ class Table:
         """
         fresh, was = (f"{self.path}.{kind}-{uuid.uuid4().hex}" for kind in ("fresh", "was"))
         visible(self.log()).select(*(f.name for f in self.schema)).write.parquet(fresh)
+        # noted before they go: a reader that misses a tombstone would keep its key for good
+        write_text(self.spark, f"{self.path}.epoch", json.dumps([self.epoch()[0], self.seq()]))
         rename_path(self.spark, self.path, was)
         rename_path(self.spark, fresh, self.path)
         delete_path(self.spark, was)
@@ -262,14 +280,12 @@ class Catalog:
     """Named tables, archives, views and exporters under one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        import json
-
-        self.spark, self.path, self._json = spark, path.rstrip("/"), json
+        self.spark, self.path = spark, path.rstrip("/")
         raw = read_text(spark, f"{self.path}/catalog.json")
         self.entries = json.loads(raw) if raw else {}
 
     def _save(self) -> None:
-        write_text(self.spark, f"{self.path}/catalog.json", self._json.dumps(self.entries))
+        write_text(self.spark, f"{self.path}/catalog.json", json.dumps(self.entries))
 
     def _add(self, kind: str, name: str, info: dict) -> None:
         import re
@@ -323,10 +339,10 @@ class Catalog:
     def snapshot(self, path: str) -> None:
         for n in self.names("table"):
             self.table(n).snapshot(f"{path}/tables/{n}")
-        write_text(self.spark, f"{path}/catalog.json", self._json.dumps(self.entries))
+        write_text(self.spark, f"{path}/catalog.json", json.dumps(self.entries))
 
     def restore(self, path: str) -> None:
-        self.entries = self._json.loads(read_text(self.spark, f"{path}/catalog.json") or "{}")
+        self.entries = json.loads(read_text(self.spark, f"{path}/catalog.json") or "{}")
         self._save()
         for n in self.names("table"):
             self.table(n).restore(f"{path}/tables/{n}")

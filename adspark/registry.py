@@ -767,6 +767,196 @@ def w1(spark, d):
     return watch.catch_up(_table(spark, log, "event_type string, value double"), cursor)[0].select("key", "seq")
 
 
+# -- wire batches, callbacks, typed reads --------------------------------------
+
+
+@query("S8_raw_wire", "SELECT p_partkey, 'Base + Extra' AS price, CAST(p_size AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS claim FROM part")
+def s8(spark, d):
+    """Raw records packed into wire batches and read back from them."""
+
+    def unpack(batches):
+        for b in batches:
+            for wire in b.column("wire").to_pylist():
+                yield from scan.read_wire(wire).to_batches()
+
+    wires = scan.raw_batches(_part_ads(spark, d), ["price", "base", "claimid"], rows=100)
+    back = wires.mapInArrow(unpack, "p_partkey bigint, ad map<string, string>")
+    return back.select("p_partkey", F.col("ad")["Price"].alias("price"), F.col("ad")["Base"].alias("base"), F.col("ad")["ClaimId"].alias("claim"))
+
+
+@query("S13_callback_scan", "SELECT n_name AS key, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def s13(spark, d):
+    """What a callback over a table's rows was called with."""
+    t = _table(spark, _load(spark, d, "nation").select(F.col("n_name").alias("key"), "n_regionkey"), "n_regionkey int")
+    seen: list = []
+    t.for_each(lambda key, row: seen.append((key, row["n_regionkey"])))
+    return spark.createDataFrame(seen, "key string, region bigint")
+
+
+@query(
+    "E32_typed_reads",
+    """SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CAST(NULL AS DOUBLE) AS real_size, CAST(p_size AS DOUBLE) AS number_size, CAST(-1 AS BIGINT) AS name_as_int, p_name AS name, p_size > 25 AS large,
+    'none' AS missing, CAST(NULL AS BOOLEAN) AS size_as_bool, CAST(p_size * 2 AS BIGINT) AS dynamic, CAST(7 AS BIGINT) AS failed FROM part""",
+)
+def e32(spark, d):
+    return scan.typed(
+        _load(spark, d, "part"),
+        {
+            "p_partkey": ("p_partkey", "int"), "size": ("p_size", "int"), "real_size": ("p_size", "real"), "number_size": ("p_size", "number"), "name_as_int": ("p_name", "int", -1), "name": ("p_name", "string"),
+            "large": ("p_size > 25", "bool"), "missing": ("nosuch", "string", "none"), "size_as_bool": ("p_size", "bool"), "dynamic": ('eval("p_size * 2")', "int", 0), "failed": ("p_size / 0", "int", 7),
+        },
+    )
+
+
+# -- tables as a whole ---------------------------------------------------------
+
+
+@query("S23_append", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def s23(spark, d):
+    """Two appends to an archive leave every row."""
+    rows = _load(spark, d, "events").select("event_id", "event_type", unix_time(F.col("ts")).alias("t"))
+    kept = versions.Archive(spark, scratch_path(spark, "archive"), "t")
+    for part in ("event_id % 2 == 0", "event_id % 2 != 0"):
+        kept.append(scan.where(rows, part))
+    return aggregate(kept.rows(), ["event_type"], [Agg("COUNT", name="n")])
+
+
+def _parts_table(spark, d):
+    rows = _load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_size")
+    return rows, _table(spark, rows, "p_partkey bigint, p_size int")
+
+
+@query("S24_truncate", "SELECT p_partkey, p_size FROM part WHERE p_size > 25")
+def s24(spark, d):
+    rows, t = _parts_table(spark, d)
+    t.truncate()
+    t.put(scan.where(rows, "p_size > 25"))
+    return t.scan().select("p_partkey", "p_size")
+
+
+@query("S25_snapshot_restore", "SELECT p_partkey, p_size FROM part WHERE p_size <> 7")
+def s25(spark, d):
+    """A catalog's table as it was at the snapshot, whatever was written after it."""
+    rows, _ = _parts_table(spark, d)
+    cat = versions.Catalog(spark, scratch_path(spark, "catalog"))
+    t = cat.create_table("parts", "key string, p_partkey bigint, p_size int")
+    t.put(rows)
+    t.delete_where("p_size == 7")
+    at = scratch_path(spark, "snapshot")
+    cat.snapshot(at)
+    t.delete_where("p_size > 10")
+    t.put(rows.limit(1).withColumn("p_size", F.lit(-1)))
+    cat.restore(at)
+    return cat.table("parts").scan().select("p_partkey", "p_size")
+
+
+@query("S29_exporters", """SELECT 'out' AS name, '{"to": "there"}' AS config, 'at 7' AS state""")
+def s29(spark, d):
+    import json
+
+    path = scratch_path(spark, "catalog")
+    cat = versions.Catalog(spark, path)
+    cat.create_exporter("out", {"to": "there"})
+    cat.save_exporter_state("out", "at 7")
+    e = versions.Catalog(spark, path).exporter("out")
+    return spark.createDataFrame([("out", json.dumps(e["config"]), e["state"])], "name string, config string, state string")
+
+
+@query("P4_commit_once", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 1 ELSE p_size END AS p_size, CAST(2 AS BIGINT) AS writes FROM part")
+def p4(spark, d):
+    """A commit tried again under the same ledger id writes nothing more."""
+    _, t = _parts_table(spark, d)
+    for _ in range(2):
+        txn = t.begin()
+        txn.put(txn.query("p_size > 25").withColumn("p_size", F.col("p_size") + 1))
+        txn.commit("move-1")
+    return t.scan().select("p_partkey", "p_size", F.lit(t.seq()).cast("bigint").alias("writes"))
+
+
+# -- events as a reader gets them ----------------------------------------------
+
+
+def _shifted(spark, d):
+    """A table of parts and a cursor from before the large ones went and the small ones grew."""
+    rows, t = _parts_table(spark, d)
+    _, cursor = watch.watch(t)
+    t.delete_where("p_size > 40")
+    t.put(scan.where(rows, "p_size < 10").withColumn("p_size", F.col("p_size") + 100))
+    return t, cursor
+
+
+@query("W1_snapshot_events", "SELECT 'reset' AS kind, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS INT) AS p_size UNION ALL SELECT 'upsert', CAST(p_partkey AS VARCHAR), CASE WHEN p_size < 10 THEN p_size + 100 ELSE p_size END FROM part WHERE p_size <= 40 UNION ALL SELECT 'synced', NULL, NULL")
+def w1_snapshot(spark, d):
+    """A truncated and refilled table is another generation, so the cursor does not fit and all rows come anew."""
+    t, cursor = _shifted(spark, d)
+    rows = t.scan()
+    again = _table(spark, rows, "p_partkey bigint, p_size int")
+    again._renew()
+    return watch.watch(again, cursor)[0].select("kind", "key", "p_size")
+
+
+@query("W1_delta_events", "SELECT 'delete' AS kind, CAST(p_partkey AS VARCHAR) AS key, CAST(NULL AS INT) AS p_size FROM part WHERE p_size > 40 UNION ALL SELECT 'upsert', CAST(p_partkey AS VARCHAR), p_size + 100 FROM part WHERE p_size < 10 UNION ALL SELECT 'synced', NULL, NULL")
+def w1_delta(spark, d):
+    t, cursor = _shifted(spark, d)
+    return watch.watch(t, cursor)[0].select("kind", "key", "p_size")
+
+
+@query("W2_live_and_resync", "SELECT 'delete' AS kind, CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_size > 40 UNION ALL SELECT 'upsert', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size < 10 UNION ALL SELECT 'resync', NULL")
+def w2(spark, d):
+    """Live events after a cursor; once compaction has dropped tombstones that it had not seen, it must catch up again."""
+    t, cursor = _shifted(spark, d)
+    live = watch.poll(t, cursor)[0].select("kind", "key")
+    copy = _table(spark, t.log(), "p_partkey bigint, p_size int")
+    copy.compact()
+    return live.unionByName(watch.poll(copy, cursor)[0].select("kind", "key"))
+
+
+@query("W9_watermark_persists", "SELECT count(*) AS late, CAST(floor(min(epoch(ts)) / 3600) * 3600 AS BIGINT) + 7200 AS sealed_to FROM events WHERE CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) <= (SELECT CAST(floor(min(epoch(ts)) / 3600) * 3600 AS BIGINT) + 7200 FROM events)")
+def w9(spark, d):
+    """A view opened again goes on from its stored watermark: replayed rows of sealed buckets are dropped."""
+    rows, _, view = _hourly(spark, d)
+    edge = rows.agg(F.min("ts")).first()[0] // 3600 * 3600 + 3 * 3600
+    view.apply(rows.where(F.col("ts") < edge), 0)
+    view.seal(edge + _CONT.grace)
+    again = views.View(spark, view.path, _CONT)
+    again.apply(rows, 1)
+    state = views.View(spark, view.path, _CONT).state
+    return spark.createDataFrame([(state["late"], state["sealed_to"])], "late bigint, sealed_to bigint")
+
+
+@query("W12_ack_floor", "SELECT r_name, (SELECT min(n_nationkey * 10) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey >= 10) AS floor FROM region")
+def w12(spark, d):
+    """Each nation acknowledges its region's table at its own time; at time 20, leases of 10 given before time 10 have run out."""
+    acks = watch.AckRegistry(spark, scratch_path(spark, "acks"), lease=10)
+    names = {r["r_regionkey"]: r["r_name"] for r in _load(spark, d, "region").collect()}
+    for r in _load(spark, d, "nation").orderBy("n_nationkey").collect():
+        acks.ack(names[r["n_regionkey"]], r["n_name"], r["n_nationkey"] * 10, r["n_nationkey"])
+    return spark.createDataFrame([(n, acks.floor(n, 20)) for n in names.values()], "r_name string, floor bigint")
+
+
+@query("S28_sinks", f"SELECT key, value, (SELECT count(*) FROM {_LOG} WHERE NOT deleted) AS archived FROM {_VISIBLE}")
+def s28(spark, d):
+    """A log streamed into both sinks, then given to them again."""
+    t = _table(spark, _event_log(spark, d), "event_type string, value double")
+    copy = versions.Table(spark, scratch_path(spark, "table"), "key string, event_type string, value double", lambda: 0)
+    path = scratch_path(spark, "archive")
+    sinks = watch.TableSink(copy, "s"), watch.ArchiveSink(spark, path, "s")
+
+    def each(batch, n):
+        for sink in sinks:
+            sink.apply(watch.events(batch).drop("ts", "deleted"))
+
+    watch.run_available(watch.stream(spark, t), each, scratch_path(spark, "stream"))
+    each(t.log(), 1)
+    return copy.scan().select("key", "value", F.lit(spark.read.parquet(path).count()).cast("bigint").alias("archived"))
+
+
+@query("J4_limit", f"SELECT * FROM ({_SQL['J4_greedy_assignment']}) WHERE c_custkey IN (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 20)")
+def j4_limit(spark, d):
+    pairs = _customer_supplier(spark, d, "TARGET.s_acctbal").select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), "rank")
+    return matching.greedy(pairs, "c_custkey", "s_suppkey", [], _load(spark, d, "customer"), limit=20)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

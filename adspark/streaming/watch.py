@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scan import compile_over
-from ..operators.versions import META, Table
+from ..operators.versions import META, SYSTEM, Table
 from ..plans.compile import plain_arithmetic, true_of
 from ..sources.files import path_exists, read_text, write_text
 
 
-def events(log: DataFrame, after: int = 0) -> DataFrame:
+def events(log: DataFrame, after: int = -1) -> DataFrame:
     """Log rows after a cursor as events: kind, key, seq and the row. Deletes come before upserts."""
     kind = F.when(F.col("deleted"), "delete").otherwise("upsert")
     return log.where(F.col("seq") > after).withColumn("kind", kind).orderBy(F.col("kind"), "seq", "key")
@@ -29,6 +29,55 @@ def catch_up(table: Table, after: int | None = None) -> tuple[DataFrame, int]:
     return coalesce(events(log, after).drop("ts", "deleted")), head
 
 
+def _resumes_at(table: Table, cursor: str | None) -> int | None:
+    """The sequence number a cursor goes on from; none where it is of another generation or before lost tombstones."""
+    epoch, trimmed = table.epoch()
+    if cursor is None:
+        return None
+    own, at = json.loads(cursor)
+    return at if own == epoch and trimmed <= at <= table.seq() else None
+
+
+def _marks(rows: DataFrame, kind: str, cursor: str | None) -> DataFrame:
+    """One event without a key."""
+    mark = rows.sparkSession.createDataFrame([(kind, cursor)], "kind string, cursor string")
+    return mark.select(*((F.col(f.name) if f.name in mark.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+
+
+def watch(table: Table, cursor: str | None = None) -> tuple[DataFrame, str]:
+    """Catch up from a cursor: the events and the cursor to go on from.
+
+    After a fitting cursor: each changed key's last event, deletes before
+    upserts. Else a ``reset``, upon which a reader forgets what it has, and all
+    visible rows. ``synced`` ends both and alone carries the cursor. The parts
+    are a union in that order, so no sort orders them.
+    """
+    at, head = _resumes_at(table, cursor), table.seq()
+    after = json.dumps([table.epoch()[0], head])
+    shape = lambda df: df.withColumn("cursor", F.lit(None).cast("string"))
+    if at is None:
+        rows = shape(table.scan(head).withColumns({"kind": F.lit("upsert"), "seq": F.lit(head).cast("bigint")}))
+        parts = [_marks(rows, "reset", None), rows]
+    else:
+        log = table.log().where((F.col("seq") > at) & (F.col("seq") <= head) & ~F.col("key").startswith(SYSTEM))
+        rows = shape(coalesce(log.withColumn("kind", F.when(F.col("deleted"), "delete").otherwise("upsert")).drop("ts", "deleted")))
+        parts = [rows.where("kind = 'delete'"), rows.where("kind = 'upsert'")]
+    out = parts[0].unionByName(parts[1])
+    return out.unionByName(_marks(out, "synced", after)), after
+
+
+def poll(table: Table, cursor: str) -> tuple[DataFrame, str]:
+    """Live events after a cursor, each with its own; where it fits no more, one ``resync``: the reader must catch up again."""
+    at, head = _resumes_at(table, cursor), table.seq()
+    epoch = table.epoch()[0]
+    log = table.log().where((F.col("seq") > (head if at is None else at)) & (F.col("seq") <= head) & ~F.col("key").startswith(SYSTEM))
+    kind = F.when(F.col("deleted"), "delete").otherwise("upsert")
+    rows = log.withColumns({"kind": kind, "cursor": F.format_string("[%s, %d]", F.lit(json.dumps(epoch)), F.col("seq"))}).drop("ts", "deleted")
+    if at is None:
+        return _marks(rows, "resync", None), cursor
+    return rows.orderBy("seq", "kind", "key"), json.dumps([epoch, head])
+
+
 def coalesce(changes: DataFrame) -> DataFrame:
     """The last event of every key."""
     cols = [c for c in changes.columns if c != "key"]
@@ -91,7 +140,7 @@ class TableSink:
 
     def cursor(self) -> int:
         raw = read_text(self.table.spark, self.mark)
-        return json.loads(raw) if raw else 0
+        return json.loads(raw) if raw else -1
 
     def apply(self, changes: DataFrame) -> None:
         fresh = coalesce(changes.where(F.col("seq") > self.cursor()))
@@ -119,7 +168,7 @@ class ArchiveSink:
 
     def apply(self, changes: DataFrame) -> None:
         raw = read_text(self.spark, self.mark)
-        note = json.loads(raw) if raw else {"after": 0, "head": 0, "done": True}
+        note = json.loads(raw) if raw else {"after": -1, "head": -1, "done": True}
         if not note["done"]:
             self._write(changes, note["after"], note["head"])
         after = note["head"]

@@ -123,3 +123,30 @@ def test_view_spec():
     for bad in (dict(groups=()), dict(groups=("a",), time="t"), dict(groups=("a",), max_series=0)):
         with pytest.raises(ValueError):
             views.ViewSpec(**bad).check()
+
+
+def test_watch_events(spark, tmp_path):
+    """Reset and snapshot without a fitting cursor, deletes before upserts with one, resync once tombstones or the generation are gone."""
+    t = jobs(spark, f"file://{tmp_path}/t")
+    t.put(rows(spark, ("a", "x", 1, 0), ("b", "x", 9, 0)))
+    kinds = lambda df: [(r["kind"], r["key"]) for r in df.collect()]
+    first, cursor = watch.watch(t)
+    got = kinds(first)
+    assert got[0] == ("reset", None) and sorted(got[1:-1]) == [("upsert", "a"), ("upsert", "b")] and got[-1] == ("synced", None)
+    assert [r["cursor"] for r in first.collect()] == [None] * 3 + [cursor]
+    t.put(rows(spark, ("a", "x", 5, 0)))
+    t.delete(rows(spark, ("b", None, None, None)))
+    assert kinds(watch.watch(t, cursor)[0]) == [("delete", "b"), ("upsert", "a"), ("synced", None)]
+    live, after = watch.poll(t, cursor)
+    assert kinds(live) == [("upsert", "a"), ("delete", "b")]
+    # an event's own cursor goes on behind it
+    assert kinds(watch.poll(t, live.collect()[0]["cursor"])[0]) == [("delete", "b")]
+    assert kinds(watch.poll(t, after)[0]) == [] and kinds(watch.watch(t, after)[0]) == [("synced", None)]
+    t.compact()
+    assert kinds(watch.poll(t, cursor)[0]) == [("resync", None)] and kinds(watch.watch(t, cursor)[0]) == [("reset", None), ("upsert", "a"), ("synced", None)]
+    after = watch.watch(t)[1]
+    t.truncate()
+    t.put(rows(spark, ("c", "x", 1, 0)))
+    assert kinds(watch.watch(t, after)[0]) == [("reset", None), ("upsert", "c"), ("synced", None)]
+    t.truncate()
+    assert kinds(watch.watch(t)[0]) == [("reset", None), ("synced", None)]

@@ -203,3 +203,45 @@ def test_top_k_skips_what_is_no_number(spark):
 def test_fallback_filter(spark):
     df = spark.createDataFrame([("1.10",), ("1.9",), (None,)], "v string")
     assert [r["v"] for r in scan.where(df, 'versionGT(v, "1.9")').collect()] == ["1.10"]
+
+
+def test_callback_stops(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t", "key string, n bigint", lambda: 0)
+    t.put(spark.createDataFrame([(str(i), i) for i in range(9)], "key string, n bigint"))
+    t.delete(spark.createDataFrame([("3",)], "key string"))
+    seen = []
+    assert t.for_each(lambda k, row: seen.append((k, row["n"]))) == 8 and sorted(seen) == [(str(i), i) for i in range(9) if i != 3]
+    assert t.for_each(lambda k, row: False) == 1 and t.for_each(lambda k, row: True, upto=1) == 9
+
+
+def test_wire_batches(spark):
+    from adspark.operators import scan
+
+    ads = spark.createDataFrame([(i, {"A": str(i), "ClaimId": '"x"'}) for i in range(10)], "k bigint, ad map<string, string>").coalesce(1)
+    got = scan.raw_batches(ads, ["a", "claimid"], rows=4).collect()
+    assert [r["rows"] for r in got] == [4, 4, 2]
+    assert [x for r in got for x in scan.read_wire(r["wire"]).to_pylist()] == [{"k": i, "ad": [("A", str(i))]} for i in range(10)]
+    assert scan.raw_batches(ads.limit(0), ["a"]).count() == 0
+
+
+def test_typed_reads(spark):
+    from adspark.operators import scan
+
+    df = spark.createDataFrame([(1, 1.5, "x", True), (None, None, None, None)], "i bigint, r double, s string, b boolean")
+    want = {"int": ("i", 1), "real": ("r", 1.5), "string": ("s", "x"), "bool": ("b", True)}
+    for kind, (own, value) in want.items():
+        for form in ("{}", "eval(\"{}\")"):
+            got = scan.typed(df, {c: (form.format(c), kind) for c in "irsb"}).collect()
+            assert [got[0][c] for c in "irsb"] == [value if c == own else None for c in "irsb"] and not any(got[1])
+    got = scan.typed(df, {"a": ("i", "number", 9), "b": ("r", "number", 9), "c": ("s", "number", 9), "d": ("i / 0", "int", 4)}).collect()
+    assert [tuple(r) for r in got] == [(1.0, 1.5, 9.0, 4), (9.0, 9.0, 9.0, 4)]
+
+
+def test_greedy_limit(spark):
+    from adspark.operators.match import greedy
+
+    pairs = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (3, "b", 5.0), (3, "a", 4.0), (4, "c", 1.0)], "o int, r string, rank double")
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "o int")
+    got = lambda **kw: sorted((x["o"], x["r"]) for x in greedy(pairs, "o", "r", [], **kw).collect())
+    assert got(requests=asked, limit=3) == [(1, "b"), (2, None), (3, "a")] and got(limit=2) == [(1, "b"), (3, "a")]
+    assert got(requests=asked) == [(1, "b"), (2, None), (3, "a"), (4, "c")]
