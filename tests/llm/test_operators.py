@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -104,6 +105,61 @@ def test_op1_whole_trie(spark, sf, table, monkeypatch, cache):
         assert any(math.isclose(g[0], want, rel_tol=1e-5) for g in own[i]), (i, own[i], want)
 
 
+def plain_ppm(train: list[bytes], order: int, floor: int):
+    """Prediction by partial matching by dictionaries, a symbol at a time: method D, symbols of longer contexts excluded."""
+    pad = bytes([op1_ppm.END])
+    grams: list = [collections.Counter() for _ in range(order + 1)]
+    for t in train:
+        x = pad * order + t + pad
+        for p in range(order, len(x)):
+            for k in range(order + 1):
+                grams[k][x[p - k : p + 1]] += 1
+    follow: list = [collections.defaultdict(dict) for _ in range(order + 1)]
+    for k in range(order + 1):
+        for g, n in grams[k].items():
+            if n >= (floor if k > 1 else 1):
+                follow[k][g[:-1]][g[-1]] = n
+
+    def lost(k, ctx):
+        """Occurrences of a context whose follower is not kept."""
+        return sum(grams[k][ctx + bytes([s])] for s in range(256)) - sum(follow[k][ctx].values())
+
+    def score(text: bytes) -> float:
+        x, total = pad * order + text + pad, 0.0
+        for p in range(order, len(x)):
+            above: dict = {}
+            for k in range(order, -1, -1):
+                ctx = x[p - k : p]
+                if ctx not in follow[k]:
+                    continue
+                rest = {s: n for s, n in follow[k][ctx].items() if s not in above}
+                other = lost(k, ctx)
+                if x[p] in rest:
+                    total += math.log10((rest[x[p]] - 0.5) / (sum(rest.values()) + other))
+                    break
+                if rest or other:
+                    total += math.log10((len(rest) / 2 + other) / (sum(rest.values()) + other))
+                above = follow[k][ctx]
+            else:
+                total -= math.log10(256 - len(follow[0][b""]))
+        return total
+
+    return score
+
+
+def test_op1_by_dictionaries(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["ab", "abc", "Bab", "c a", "é", "zz"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(90)] + [(90, None), (91, ""), (92, "unseen Ω x"), (None, "ab abc")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    score = plain_ppm([(t or "").encode() for i, t in rows if not held(i)], op1_ppm.ORDER, op1_ppm.FLOOR)
+    got = {r["doc_id"]: r["score"] for r in collect(op1_ppm.op1_ppm(spark, str(tmp_path)))}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert math.isclose(got[i], score((t or "").encode()), rel_tol=1e-4), (i, t, got[i], score((t or "").encode()))
+
+
 def test_op1_adaptive(spark, docs):
     fresh, again = op1_ppm.AdaptivePPM(), op1_ppm.AdaptivePPM()
     once = fresh.log10(b"abracadabra")
@@ -440,6 +496,76 @@ def test_op7_few_words(item):
     assert sorted((d, key, verbatim) for d, key, *_, verbatim in found) == [(0, 1, True), (3, 2, True)]
 
 
+def plain_templates(text: str) -> list[tuple]:
+    """(template, value) of each token; a template is a word or one of the three types."""
+    b = text.encode()
+    out = []
+    for m in re.finditer(rb"(?:[0-9A-Za-z\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", b):
+        value = m[0].lower()
+        before = re.search(rb"([^\x00-\x20])[\x00-\x20]*\Z", b[: m.start()])
+        opens = before is None or before[1] in b".!?:\"'" or b"\n" in before[0]
+        if m[0][:1].isdigit():
+            kind = "number"
+        elif value in {u.encode() for u in op7_decontaminate.UNITS}:
+            kind = "unit"
+        elif not opens and (b"A" <= m[0][:1] <= b"Z" or b"\xc3\x80" <= m[0][:2] <= b"\xc3\x9e"):
+            kind = "name"
+        else:
+            kind = value
+        out.append((kind, value))
+    return out
+
+
+def plain_contaminated(text: str, item: str, width: int, cover: float):
+    """(windows, found, slots, verbatim) or None, by comparing every window with every other."""
+    t, u = plain_templates(text), plain_templates(item)
+    w = min(width, len(u))
+    wordy = lambda x: 2 * sum(isinstance(k, bytes) for k, _ in x) >= w
+    places = [j for j in range(len(u) - w + 1) if wordy(u[j : j + w])] if w else []
+    bare = w > 0 and not places
+    if bare:
+        places = list(range(len(u) - w + 1))
+    part = lambda x: [v if bare else k for k, v in x]
+    diagonals = collections.defaultdict(set)
+    for p in range(len(t) - w + 1):
+        for j in places:
+            if (bare or wordy(t[p : p + w])) and part(t[p : p + w]) == part(u[j : j + w]):
+                diagonals[p - j].add(j)
+    found, slots, verbatim = set(), 0, True
+    for shift, js in diagonals.items():
+        typed = sorted({j + x for j in js for x in range(w) if not isinstance(u[j + x][0], bytes)})
+        stands = collections.defaultdict(set)
+        for x in typed:
+            stands[u[x][1]].add(t[x + shift][1])
+        if all(len(v) == 1 for v in stands.values()):
+            found |= js
+            slots += len(typed)
+            verbatim &= all(u[x][1] == t[x + shift][1] for x in typed)
+    return (len(places), len(found), slots, verbatim) if found and len(found) >= cover * len(places) else None
+
+
+def test_op7_by_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("take the red box and go back to old mill then count it over again near our house".split())
+    slot = lambda: rng.choice(["Anna", "Émile", "Bob", "12", "7.5", "1,000", "km", "hours", "kg", "3"])
+    stop = lambda: rng.choice(["", "", "", "", ",", ".", "?\n", ":", "\n"])
+    make = lambda n, share: " ".join((slot() if rng.random() < share else word()) + stop() for _ in range(n))
+    items = [(i, make(rng.randint(1, 25), rng.choice([0.1, 0.3, 0.9]))) for i in range(25)] + [(25, ""), (26, None), (27, "7 km")]
+    texts = []
+    for i in range(120):
+        base = rng.choice(items[:25])[1].split(" ")
+        if rng.random() < 0.8:
+            base = [rng.choice([slot(), x, x]) if x[:1].isdigit() or x[:1].isupper() else x for x in base]
+        if rng.random() < 0.3 and len(base) > 4:
+            base = base[: len(base) // 2] + [word()] + base[len(base) // 2 :]
+        texts.append((i, f"{make(rng.randint(0, 12), 0.3)} {' '.join(base)} {make(rng.randint(0, 12), 0.3)}"))
+    texts += [(120, None), (121, ""), (None, items[0][1])]
+    out = op7_decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    want = collections.Counter((d, i, *x) for d, t in texts for i, u in items for x in [plain_contaminated(t or "", u or "", 8, 0.5)] if x)
+    assert collections.Counter(map(tuple, out.select("doc_id", "item_id", "windows", "found", "slots", "verbatim").collect())) == want
+    assert len(want) > 60 and {x[-1] for x in want} == {True, False}
+
+
 def test_op7_slots():
     item = "add 5 apples to 5 pears and give back the 9 plums you took"
     index = op7_decontaminate.Index([(1, item)], 8)
@@ -515,6 +641,38 @@ def test_op9_learns_and_reads_whole_texts():
     assert model.score(*flat([long]))[0] != model.score(*flat([long + b" " + bad[0]]))[0]
 
 
+def test_op9_by_loops():
+    """A text's score, filter by filter and place by place."""
+    model = op9_quality.ByteCNN(5)
+    rng = np.random.default_rng(2)
+    model.p["bias"] += rng.normal(0, 0.3, op9_quality.FILTERS)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 119, 120, 121, 128, 500, 1500)]
+    got = model.score(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    W, H = op9_quality.WIDTH, op9_quality.HOP
+    for t, score in zip(texts, got):
+        hops = max(1, -(-(len(t) + W) // H))
+        x = t + bytes(hops * H - len(t))
+        top, mean = [], []
+        for f in range(op9_quality.FILTERS):
+            at = {p: sum(model.p["embed"][x[p + j]] @ model.p["filter"][j, :, f] for j in range(W)) for p in range(0, len(x) - W + 1, op9_quality.STEP)}
+            best = [max(v for p, v in at.items() if p // H == h) for h in range(hops)]
+            chunks = [max(0.0, max(best[h : h + 2]) + model.p["bias"][f]) for h in range(hops)]
+            top.append(max(chunks))
+            mean.append(sum(chunks) / hops)
+        assert math.isclose(score, 1 / (1 + math.exp(-(np.array(top + mean) @ model.p["out"] + model.p["shift"][0]))), rel_tol=1e-4)
+
+
+def test_op9_held_out(spark):
+    """Of a held-out document marked good and one marked bad, the good one mostly scores higher."""
+    top = "/root/testdata/sf0.01"
+    marked = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{top}/labels.parquet").collect()}
+    out = [r for r in collect(op9_quality.op9_quality(spark, top)) if r["held_out"] and r["doc_id"] in marked]
+    good, bad = (np.array([r["score"] for r in out if marked[r["doc_id"]] == q]) for q in (1, 0))
+    assert len(good) > 10 and len(bad) > 10
+    assert (good[:, None] > bad[None]).mean() > 0.9
+    assert np.mean([r["predicted"] == marked[r["doc_id"]] for r in out]) > 0.85
+
+
 def test_op9_gradient():
     model = op9_quality.ByteCNN(3)
     rng = np.random.default_rng(1)
