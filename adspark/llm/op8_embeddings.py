@@ -1,20 +1,18 @@
-"""Embedding near-duplicates by a subspace pigeonhole join.
-
-Unit vectors with cosine >= t lie within squared distance D = 2 - 2 t. Vectors
-are rotated to the principal axes, which are dealt over low-dimensional blocks
-so that all have like shares of the variance; block b gets the budget
-D * share(b). Two linked vectors meet some block's budget, or the blocks'
-distances would sum to more than D. Each block is a range join: rows are cut
-into slabs, one budget radius wide, along the block's first axes; a row is at
-home in one slab and a guest in the next ones, and a slab's rows are compared
-there in that block's coordinates. A pair counts in the first block whose
-budget it meets, and only after an exact cosine in double precision.
-
-Exact copies (equal components) are one vector with a multiplicity before the
-join. No pairs leave a task: counts per vector do, and the edges of a spanning
-forest of the links found there. A slab with more rows than a tile holds is
-dealt to tiles by hash, its homes and its guests apart, and each two tiles that
-are to meet are a task, so none holds more than two tiles.
+"""Embedding near-duplicates by partial distances along principal axes.
+
+Unit vectors with cosine >= t lie within squared distance D = 2 - 2 t, so they
+do in any part of their coordinates. Vectors are rotated to the principal axes;
+the leading ones, which hold most of the variance, part nearly all pairs in
+single precision with room for its rounding. What they leave is settled by an
+exact cosine in double precision.
+
+Exact copies (equal components, by a 128-bit hash) are one vector with a
+multiplicity before the join. The others are packed into tiles, a row of a
+table each, sorted along the first axis; each two tiles meet in a task by a
+Cartesian product over files, which shuffles nothing, so disk grows with the
+vectors and not with their pairs. In two tiles only slabs whose stretches of
+the first axis come within the distance are compared. No pairs leave a task:
+counts per vector do, and the edges of a spanning forest of the links found there.
 
 Vectors link within their own length; each length is a join of its own. Null,
 zero and non-finite vectors and a null id link with nothing. Repeated ids with equal vectors count as copies.
@@ -23,17 +21,22 @@ Empty table: no rows.
 
 from __future__ import annotations
 
-import math
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import BATCH_BYTES, bound_batches, files_for, lean, materialize
 from .graph import components
 
-TILE = 4096
+#: Rows of a tile at most; fewer where so many are more bytes than a batch.
+TILE = 8192
+#: Rows of two slabs that are compared at once.
+SLABS = 512, 2048
+#: The leading axes hold so much of the variance, and are so many at least.
+SHARE, LEAST_AXES = 0.4, 16
 
 
 def _vectors(col: pa.Array, dim: int) -> np.ndarray:
@@ -64,18 +67,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def deal_axes(values: np.ndarray, blocks: int) -> list[np.ndarray]:
-    """Axes, strongest first, each to the block with the least variance so far; sizes at most one apart."""
-    dim = len(values)
-    room = [dim // blocks + (i < dim % blocks) for i in range(blocks)]
-    out: list[list[int]] = [[] for _ in range(blocks)]
-    load = np.zeros(blocks)
-    for axis in np.argsort(-values, kind="stable"):
-        free = [b for b in range(blocks) if len(out[b]) < room[b]]
-        b = min(free, key=lambda i: (load[i], i))
-        out[b].append(int(axis))
-        load[b] += values[axis]
-    return [np.array(x) for x in out]
+def leading(values: np.ndarray) -> int:
+    """How many axes are compared first; ``values``: variances, largest first."""
+    held = np.cumsum(np.maximum(values, 0))
+    return min(len(values), max(LEAST_AXES, int(np.searchsorted(held, SHARE * held[-1])) + 1))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -95,12 +90,11 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axes: int = 2) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``vectors`` (vec_id long, embedding array): one row per vector with n_links, component_id and kept."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    budget = 2 - 2 * threshold
-    # vectors travel as wide as they came; all sums are in doubles
+    # vectors travel as wide as they came; all sums that decide are in doubles
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     e = F.col("embedding").cast("array<double>")
     largest = F.aggregate(e, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
@@ -111,129 +105,151 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, blocks: int = 4, axe
         & (largest > 0)
     )
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
-    good = rows.where("sound AND vec_id IS NOT NULL").select("vec_id", e.alias("vector")).withColumn("dim", F.size("vector"))
+    own_width = F.col("embedding") if kind == "<f4" else e
+    good = rows.where("sound AND vec_id IS NOT NULL").select("vec_id", own_width.alias("vector")).withColumn("dim", F.size("vector"))
     # a vector that is alone in its length links with nothing
-    dims = sorted(r["dim"] for r in good.groupBy("dim").count().where("count > 1").collect())
-    joined = F.col("sound") & F.col("vec_id").isNotNull() & F.size("embedding").isin(dims)
+    dims = {r["dim"]: r["count"] for r in good.groupBy("dim").count().where("count > 1").collect()}
+    joined = F.col("sound") & F.col("vec_id").isNotNull() & F.size("embedding").isin(sorted(dims))
     out = rows.where(~F.coalesce(joined, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    for dim in dims:
+    for dim, count in sorted(dims.items()):
         own = good.where(F.col("dim") == dim).select("vec_id", "vector")
-        one = materialize(own.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-        found = materialize(_join(one, dim, budget, threshold, blocks, axes, kind), "near")
+        tile = max(1, min(TILE, BATCH_BYTES // (dim * np.dtype(kind).itemsize)))
+        values, turn = (v[..., ::-1] for v in np.linalg.eigh(_moments(own, dim)[0]))
+        keyed = own.mapInArrow(lambda it, dim=dim: _keys(it, dim, kind, True), "vec_id long, key binary, vector binary")
+        one = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+        tiles = materialize(_tiles(one, dim, kind, turn, tile, files_for(count, tile)), "tiles")
+        found = materialize(_join(tiles, dim, kind, turn, leading(values), threshold), "near")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("near"))
         comp = components(found.where("b IS NOT NULL").select("a", "b"))
+        names = own.mapInArrow(lambda it, dim=dim: _keys(it, dim, kind, False), "vec_id long, key binary")
         per = (
-            one.join(counts, F.col("rep") == F.col("a"), "left")
+            names.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+            .join(counts, F.col("rep") == F.col("a"), "left")
             .join(comp, F.col("rep") == F.col("id"), "left")
-            .select("vector", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+            .select("key", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
         )
-        out = own.join(per, "vector").select("vec_id", "n_links", "component_id").unionByName(out)
+        out = names.join(per, "key").select("vec_id", "n_links", "component_id").unionByName(out)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _join(one: DataFrame, dim: int, budget: float, threshold: float, blocks: int, axes: int, kind: str) -> DataFrame:
-    """Rows (a, null, n): n links of a found in a tile; rows (a, b, 0): an edge of a tile's forest."""
-    spark = one.sparkSession
-    blocks = max(1, min(blocks, dim))
-    second, total = _moments(one, dim)
-    values, turn = np.linalg.eigh(second)
-    dealt = deal_axes(values, blocks)
-    share = np.array([max(values[a].sum(), 1e-12) for a in dealt])
-    # proportional budgets; the slack keeps rounding from losing a pair at the edge
-    radius = np.sqrt(budget * share / share.sum()) * (1 + 1e-9) + 1e-9
-    order = np.concatenate(dealt)
-    sizes = [len(a) for a in dealt]
-    cut = np.concatenate(([0], np.cumsum(sizes)))
-    turn = turn[:, order]
-    axes = [min(axes, s) for s in sizes]
-
-    def cells(batches):
-        """(block, cell, guest, vector row) for each vector: at home once, guest in the later neighbours."""
+def _keys(batches, dim: int, kind: str, whole: bool):
+    """Ids with a 128-bit hash of the components, and, for ``whole``, the components as bytes; 0.0 and -0.0 are equal."""
+    for b in batches:
+        x = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim) + np.zeros(1, kind)
+        raw = [v.tobytes() for v in x]
+        cols = {"vec_id": b.column("vec_id"), "key": pa.array([hashlib.blake2b(v, digest_size=16).digest() for v in raw], pa.binary())}
+        yield pa.RecordBatch.from_pydict(cols | ({"vector": pa.array(raw, pa.binary())} if whole else {}))
+
+
+def _tiles(one: DataFrame, dim: int, kind: str, turn: np.ndarray, tile: int, files: int) -> DataFrame:
+    """The vectors of ``one`` packed into rows of ``tile`` vectors at most, each sorted along the first axis."""
+    first = turn[:, 0]
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        held, rows = [], 0
+
+        def full():
+            nonlocal at
+            t = pa.Table.from_batches(held)
+            x = np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(-1, dim)
+            order = np.argsort(_unit(x.astype(np.float64)) @ first, kind="stable")
+            cols = t.column("rep").to_numpy()[order], t.column("copies").to_numpy()[order], x[order]
+            name = (part << 32) + at
+            at += 1
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["tile", "rep", "copies", "vector"])
+
         for b in batches:
-            own = _vectors(b.column("vector"), dim)
-            x = _unit(own)
-            y = x @ turn
-            raw = pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())
-            rep, mult = b.column("rep").to_numpy(), b.column("copies").to_numpy()
-            for k in range(blocks):
-                home = np.floor(y[:, cut[k] : cut[k] + axes[k]] / radius[k]).astype(np.int64)
-                steps = np.array(np.meshgrid(*[[-1, 0, 1]] * axes[k], indexing="ij")).reshape(axes[k], -1).T
-                for step in steps:
-                    # half of the neighbours: a pair in two cells meets in the first of them only
-                    if tuple(step) < (0,) * axes[k]:
-                        continue
-                    guest = bool(np.any(step))
-                    cell = home - step if guest else home
-                    name = [f"{k}:" + ",".join(map(str, c)) for c in cell.tolist()]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(x), k, np.int32)), pa.array(name), pa.array(np.full(len(x), guest)),
-                        pa.array(rep), pa.array(mult), raw,
-                    ], names=["block", "cell", "guest", "rep", "copies", "vector"])
-
-    placed = materialize(one.mapInArrow(cells, "block int, cell string, guest boolean, rep long, copies long, vector binary"), "cells")
-    homes = F.count(F.when(~F.col("guest"), 1))
-    count = placed.groupBy("cell").agg(homes.alias("homes"), (F.count(F.lit(1)) - homes).alias("guests")).where("homes > 0 AND homes + guests > 1")
-    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int").alias(f"{n[0]}t")
-    count = materialize(count.select("cell", tiles("homes"), tiles("guests")), "sizes")
-    whole = "named_struct('one', 0, 'two', 0, 'cross', false, 'second', guest)"
-    pairs = f"""CASE WHEN ht = 1 AND gt <= 1 THEN array({whole})
-        WHEN guest THEN transform(sequence(0, ht - 1), t -> named_struct('one', t, 'two', ht + own, 'cross', true, 'second', true))
-        ELSE concat(transform(sequence(0, ht - 1), t -> named_struct('one', least(own, t), 'two', greatest(own, t), 'cross', own <> t, 'second', own > t)),
-            CASE WHEN gt = 0 THEN array() ELSE transform(sequence(0, gt - 1), g -> named_struct('one', own, 'two', ht + g, 'cross', true, 'second', false)) END) END"""
-    spread = (
-        placed.join(count, "cell")
-        .withColumn("own", F.expr("cast(pmod(xxhash64(rep), IF(guest, greatest(gt, 1), ht)) AS int)"))
-        .select("block", "cell", F.explode(F.expr(pairs)).alias("p"), "rep", "copies", "vector")
-        .select("block", "cell", "p.*", "rep", "copies", "vector")
-    )
+            while rows + b.num_rows >= tile:
+                held.append(b.slice(0, tile - rows))
+                b = b.slice(tile - rows)
+                yield full()
+                held, rows = [], 0
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+        if rows:
+            yield full()
 
-    def compare(t: pa.Table) -> pa.Table:
-        k, cross = t.column("block")[0].as_py(), t.column("cross")[0].as_py()
-        guest = t.column("second").to_numpy()
-        rep, mult = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-        x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).astype(np.float64).reshape(-1, dim))
-        homes = np.flatnonzero(~guest)
-        y = x @ turn
-        part = np.ascontiguousarray(y[:, cut[k] : cut[k + 1]])
-        norm = (part * part).sum(axis=1)
-        links = np.zeros(len(x), np.int64)
-        ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        label = np.arange(len(x))
-        some = 512
-        everyone = np.concatenate((homes, np.flatnonzero(guest)))
-        for a in range(0, len(homes), some):
-            h = homes[a : a + some]
-            # two tiles meet across; within one, homes meet each other once, and guests
-            for c in range(len(homes) if cross else a, len(everyone), 4096):
-                g = everyone[c : c + 4096]
-                near = norm[h][:, None] + norm[g][None, :] - 2 * (part[h] @ part[g].T) <= radius[k] ** 2 + 1e-9
-                i, j = np.nonzero(near & (np.arange(c, c + len(g))[None, :] > np.arange(a, a + len(h))[:, None]))
-                i, j = h[i], g[j]
-                for s in range(0, len(i), 1 << 16):
-                    p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    live = np.ones(len(p), bool)
-                    for before in range(k):
-                        d = y[p, cut[before] : cut[before + 1]] - y[q, cut[before] : cut[before + 1]]
-                        live &= (d * d).sum(axis=1) > radius[before] ** 2 + 1e-9
-                    p, q = p[live], q[live]
-                    live = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-                    p, q = p[live], q[live]
-                    np.add.at(links, p, mult[q])
-                    np.add.at(links, q, mult[p])
+    return one.select("rep", "copies", "vector").coalesce(files).mapInArrow(lean(pack), "tile long, rep binary, copies binary, vector binary")
+
+
+def _join(tiles: DataFrame, dim: int, kind: str, turn: np.ndarray, lead: int, threshold: float) -> DataFrame:
+    """Rows (a, null, n): n links of a found in two tiles; rows (a, b, 0): an edge of their links' forest."""
+    turn = np.ascontiguousarray(turn[:, :lead])
+    # single precision may be off by so much, sums of all coordinates included
+    most = 2 - 2 * threshold + 1e-6 * (dim + 64)
+
+    class Tile:
+        def __init__(self, rep, copies, vector):
+            self.rep, self.copies = np.frombuffer(rep, np.int64), np.frombuffer(copies, np.int64)
+            self.x = _unit(np.frombuffer(vector, kind).astype(np.float64).reshape(-1, dim))
+            y = (self.x @ turn).astype(np.float32)
+            norm = (y * y).sum(axis=1, keepdims=True)
+            one = np.ones_like(norm)
+            # the product of a left and a right row is their squared distance
+            self.left, self.right = np.hstack((-2 * y, norm, one)), np.ascontiguousarray(np.hstack((y, one, norm)).T)
+            self.first = y[:, 0]
+
+        def __len__(self):
+            return len(self.rep)
+
+    def meet(s: Tile, t: Tile):
+        """Places of the linked rows of two tiles, slab by slab; in a tile with itself each pair once."""
+        for a in range(0, len(s), SLABS[0]):
+            z = min(a + SLABS[0], len(s))
+            lo, hi = np.searchsorted(t.first, (s.first[a:z].min() - most**0.5 - 1e-3, s.first[a:z].max() + most**0.5 + 1e-3))
+            for c in range(max(lo, a) if s is t else lo, hi, SLABS[1]):
+                e = min(c + SLABS[1], hi)
+                hit = np.flatnonzero(s.left[a:z] @ t.right[:, c:e] <= most)
+                if not len(hit):
+                    continue
+                i, j = np.divmod(hit, e - c)
+                i, j = i + a, j + c
+                if s is t:
+                    i, j = i[j > i], j[j > i]
+                if len(i) > (z - a) * (e - c) // 16:
+                    # many: all at once, and those at the threshold again as below
+                    cosine = (s.x[a:z] @ t.x[c:e].T)[i - a, j - c]
+                    i, j, cosine = (v[cosine >= threshold - 1e-9] for v in (i, j, cosine))
+                    edge = cosine < threshold + 1e-9
+                    live = ~edge
+                    live[edge] = np.einsum("ij,ij->i", s.x[i[edge]], t.x[j[edge]]) >= threshold
+                else:
+                    live = np.einsum("ij,ij->i", s.x[i], t.x[j]) >= threshold
+                yield i[live], j[live]
+
+    def compare(batches):
+        held: dict[int, Tile] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["tile"] not in held:
+                    held.clear()
+                    held[r["tile"]] = Tile(r["rep"], r["copies"], r["vector"])
+                s = held[r["tile"]]
+                t = s if r["tile2"] == r["tile"] else Tile(r["rep2"], r["copies2"], r["vector2"])
+                far = 0 if s is t else len(s)
+                rep, copies = (s.rep, s.copies) if s is t else (np.concatenate((s.rep, t.rep)), np.concatenate((s.copies, t.copies)))
+                links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+                for p, q in meet(s, t):
+                    q = q + far
+                    np.add.at(links, p, copies[q])
+                    np.add.at(links, q, copies[p])
                     live = label[p] != label[q]
                     if live.any():
-                        ea.append(p[live])
-                        eb.append(q[live])
-                        label = _spanning(np.concatenate((np.arange(len(x)), p[live])), np.concatenate((label, q[live])), len(x))
-        root = np.flatnonzero(label != np.arange(len(x)))
-        some = np.flatnonzero(links)
-        return pa.table({
-            "a": pa.array(np.concatenate((rep[some], rep[root]))),
-            "b": pa.array(np.concatenate((rep[some], rep[label[root]])), mask=np.arange(len(some) + len(root)) < len(some)),
-            "n": pa.array(np.concatenate((links[some], np.zeros(len(root), np.int64)))),
-        })
-
-    return spread.groupBy("cell", "one", "two").applyInArrow(compare, "a long, b long, n long")
+                        label = _spanning(np.concatenate((np.arange(len(rep)), p[live])), np.concatenate((label, q[live])), len(rep))
+                some, root = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rep)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((rep[some], rep[root]))),
+                    pa.array(np.concatenate((rep[some], rep[label[root]])), mask=np.arange(len(some) + len(root)) < len(some)),
+                    pa.array(np.concatenate((links[some], np.zeros(len(root), np.int64)))),
+                ], names=["a", "b", "n"])
+
+    other = tiles.select(*(F.col(c).alias(f"{c}2") for c in tiles.columns))
+    met = tiles.hint("shuffle_replicate_nl").join(other, F.col("tile") <= F.col("tile2"))
+    return met.mapInArrow(lean(compare), "a long, b long, n long")
 
 
 def op8_embeddings(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -613,6 +614,24 @@ def test_op8_lengths(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 0, 7), (8, 0, 8)]
 
 
+def test_op8_disk_follows_the_vectors(spark, monkeypatch):
+    """Tables written for many tiles hold about one copy of the vectors, not one for each two tiles or cells."""
+    monkeypatch.setattr(op8_embeddings, "TILE", 64)
+    x = np.random.default_rng(3).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    written = []
+    keep = op8_embeddings.materialize
+
+    def note(t, *args):
+        out = keep(t, *args)
+        written.append(sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(op8_embeddings, "materialize", note)
+    assert op8_embeddings.near_pairs(df).where("n_links = 0").count() == 3000
+    assert x.nbytes <= sum(written) < 2 * x.nbytes
+
+
 # -- 9 -------------------------------------------------------------------------
 
 
