@@ -71,12 +71,24 @@ def match_by_text(left: DataFrame, right: DataFrame, column: str = "requirements
     return out if out is not None else match(left.limit(0).drop(column), right.limit(0).drop(column), "false", "false", rank)
 
 
+#: A stretch of greedy assignment has so many pairs at most, unless one request has more; the first tries so many requests.
+PAIRS, REQUESTS = 4_000_000, 32_768
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out now, in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def greedy(matches: DataFrame, order: str, resource: str, keep: list[str], requests: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Requests in order each take their best resource that is still free.
 
-    Sequential by definition: the pairs stream, sorted, through one task that
-    remembers the resources taken and nothing else. ``requests`` (with the
-    order column) adds a row with an empty resource for those that get none.
+    Sequential by definition, so it goes by stretches of the order: a stretch's
+    pairs with resources that earlier ones left free stream, sorted, through one
+    task that remembers the resources taken. Both conditions are on one side of
+    a join, so the optimizer moves them below the matching and pairs of taken
+    resources are never made. A null request or resource takes no part.
+    ``requests`` (with the order column) adds a row with an empty resource for those that get none.
     ``limit``: only the first so many requests, those without a match among them.
     """
     if limit is not None:
@@ -85,7 +97,8 @@ def greedy(matches: DataFrame, order: str, resource: str, keep: list[str], reque
         matches = matches.join(first, order, "left_semi")
         requests = None if requests is None else first
     cols = list(dict.fromkeys([order, resource, "rank", *keep]))
-    stream = matches.select(*cols).repartition(1).sortWithinPartitions(order, F.col("rank").desc_nulls_last(), resource)
+    o, r = F.col(f"`{order}`"), F.col(f"`{resource}`")
+    pairs = matches.select(*cols).where(o.isNotNull() & r.isNotNull())
 
     def claim(batches):
         taken: set = set()
@@ -101,7 +114,29 @@ def greedy(matches: DataFrame, order: str, resource: str, keep: list[str], reque
                 rows.append(i)
             yield pdf.iloc[rows]
 
-    got = stream.mapInPandas(claim, stream.schema)
+    asked = _settled((pairs if requests is None else requests.where(o.isNotNull())).select(order).distinct())
+    got, after, many = None, None, REQUESTS
+    while True:
+        rest = asked if after is None else asked.where(o > F.lit(after))
+        n, upto = rest.orderBy(o).limit(many).agg(F.count(F.lit(1)), F.max(o)).first()
+        last = n < many  # what lies behind the last request known is in the last stretch
+        part = pairs if after is None else pairs.where(o > F.lit(after))
+        part = part if last else part.where(o <= F.lit(upto))
+        if got is not None:
+            part = part.join(got.select(r.alias("_taken")), r == F.col("_taken"), "left_anti")
+        size = part.count()
+        if size > PAIRS and n > 1:
+            many = max(1, min(n // 2, n * PAIRS // size))
+            continue
+        if size:
+            new = _settled(part.repartition(1).sortWithinPartitions(o, F.col("rank").desc_nulls_last(), r).mapInPandas(claim, part.schema))
+            got = new if got is None else got.unionByName(new)
+        if last:
+            break
+        after = upto
+        many = max(1, min(16 * many, many * PAIRS // max(size, 1)))
+    if got is None:
+        got = pairs.limit(0)
     if requests is None:
         return got
     return requests.select(order).distinct().join(got, order, "left")

@@ -245,3 +245,27 @@ def test_greedy_limit(spark):
     got = lambda **kw: sorted((x["o"], x["r"]) for x in greedy(pairs, "o", "r", [], **kw).collect())
     assert got(requests=asked, limit=3) == [(1, "b"), (2, None), (3, "a")] and got(limit=2) == [(1, "b"), (3, "a")]
     assert got(requests=asked) == [(1, "b"), (2, None), (3, "a"), (4, "c")]
+
+
+def test_greedy_by_stretches(spark, monkeypatch):
+    """Stretches of few pairs give what a walk gives, and no pair of a taken resource is made again."""
+    import random
+
+    rng = random.Random(4)
+    asked = [(i, rng.randrange(3), rng.randrange(50)) for i in range(200)] + [(None, 1, 0)]
+    offers = [(i, rng.randrange(3), rng.randrange(60)) for i in range(90)] + [(None, 1, 99)]
+    a, b = spark.createDataFrame(asked, "o long, k int, least int"), spark.createDataFrame(offers, "r long, k int, size int")
+    want, taken = {}, set()
+    for o, k, least in asked[:-1]:
+        free = [(-s, r) for r, kk, s in offers[:-1] if kk == k and s >= least and r not in taken]
+        want[o] = min(free)[1] if free else None
+        taken.add(want[o])
+    pairs = match.match(a, b, "TARGET.k == k && TARGET.size >= least", "true", "TARGET.size").selectExpr("l_o AS o", "r_r AS r", "rank")
+    sizes = []
+    keep = match._settled
+    monkeypatch.setattr(match, "_settled", lambda df: sizes.append(df) or keep(df))
+    monkeypatch.setattr(match, "PAIRS", 1500)
+    monkeypatch.setattr(match, "REQUESTS", 64)
+    out = match.greedy(pairs, "o", "r", [], a)
+    assert {x["o"]: x["r"] for x in out.collect()} == want | {None: None}
+    assert len(sizes) > 2
