@@ -71,20 +71,19 @@ def gram_codes(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarra
     docs = len(n)
     gap = max(order, 1)
     total = len(data) + gap * (docs + 1)
-    sym = np.full(total, END, U64)
-    at = np.ones(total, bool)
-    begin = gap + off[:-1] + gap * np.arange(docs)
-    keep = np.zeros(total + 1, np.int8)
-    np.add.at(keep, begin, 1)
-    np.add.at(keep, begin + n, -1)
-    text = np.cumsum(keep[:-1]).astype(bool)
-    sym[text] = data
-    at = text
+    begin = gap + off[:-1] - off[0] + gap * np.arange(docs)
+    edge = np.zeros(total + 1, np.int8)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + n, -1)
+    at = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    # the eight symbols up to each position are a word of their own
+    sym = np.full(7 + total, END, np.uint8)
+    sym[7:][at] = data
     at[begin + n] = True  # the end after each text
-    code = np.zeros(total, U64)
-    for i in range(order, -1, -1):
-        code = (code << U64(8)) | (sym if i == 0 else np.concatenate((np.full(i, END, U64), sym[:-i])))
-    return code[at], np.cumsum(n + 1) - (n + 1)
+    code = np.ndarray((total,), ">u8", buffer=sym, strides=(1,))[at].astype(U64)
+    if order < 7:
+        code &= U64((1 << (8 * (order + 1))) - 1)
+    return code, np.cumsum(n + 1) - (n + 1)
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

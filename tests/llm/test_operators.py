@@ -50,6 +50,23 @@ def test_empty_table(spark, sf, name):
 # -- 1 -------------------------------------------------------------------------
 
 
+def test_op1_codes_in_one_pass():
+    """Codes hold each position's last symbols, and take few arrays as long as the text."""
+    import tracemalloc
+
+    texts = [b"", b"ab", "é".encode() * 5, b"", bytes(range(1, 200)), b"x"]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for order in range(8):
+        want = [int.from_bytes((b"\xff" * 8 + t + b"\xff")[i + 8 - order : i + 9], "big") for t in texts for i in range(len(t) + 1)]
+        code, first = op1_ppm.gram_codes(data, off, order)
+        assert code.tolist() == want and first.tolist() == [0, 1, 4, 15, 16, 216]
+    data = np.full(1 << 20, 97, np.uint8)
+    tracemalloc.start()
+    op1_ppm.gram_codes(data, np.array([0, len(data)]), 7)
+    assert tracemalloc.get_traced_memory()[1] < 24 * len(data)
+    tracemalloc.stop()
+
+
 def test_op1(spark, sf, table):
     out = collect(op1_ppm.op1_ppm(spark, sf[0]))
     own = by_row(table, out, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
