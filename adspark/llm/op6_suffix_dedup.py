@@ -24,11 +24,16 @@ and each gram one class.
 A 4 MB Bloom filter of the documents concerned spares shuffling other texts.
 Equality of runs and grams rests on 64-bit hashes (a run's on two together).
 
+A text is a sequence of bytes or, for passages of so many words, of its words'
+64-bit hashes (words as they are written, whatever blanks part them); all of
+the above holds for both.
+
 Null or short text: nothing removed. Empty text: hash of no bytes. Repeated
 rows: each one's windows occur in the other, so all of their bytes go where
 they are long enough. Very long texts are read in overlapping segments. Columns
-of the input named ``n_bytes``, ``removed`` or ``kept`` give way to the
-result's; others are carried, whatever their names.
+of the input named ``n_bytes``, ``removed``, ``kept`` or, with passages,
+``passages`` or ``rest`` give way to the result's; others are carried, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import flat, mix, ragged
+from .bytesops import flat, hash_spans, mix, ragged, runs_of_words, spaced
 from .common import bloom, bloom_hits, bound_batches, buckets_for, files_for, lean, materialize, row_key, shield, with_bloom_places
 from .suffix_array import suffix_array
 
@@ -50,6 +55,8 @@ HOT = 256
 SYMBOLS = 8
 #: Blocks of windows in a file.
 ROWS_A_FILE = 1 << 17
+#: Words of the shortest passage that the query's text is without: over fifty.
+PASSAGE = 51
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -68,12 +75,12 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any substrings of a byte array."""
+    """Hashes of any substrings of an array of bytes or of words' hashes."""
 
     def __init__(self, x: np.ndarray):
         up, self.down = _table(len(x) + 1)
         self.sum = np.zeros(len(x) + 1, U64)
-        np.cumsum(_BYTE[x] * up[:-1], out=self.sum[1:])
+        np.cumsum((_BYTE[x] if x.dtype == np.uint8 else x) * up[:-1], out=self.sum[1:])
 
     def of(self, start, stop) -> np.ndarray:
         """Depends on the bytes alone, not on where they are."""
@@ -84,6 +91,20 @@ class Rolling:
         return mix((self.sum[n:] - self.sum[:m]) * self.down[:m])
 
 
+def word_places(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts in ``data``, their hashes, and the n+1 offsets of words."""
+    buf, at = spaced(data, off)
+    start, end = runs_of_words(buf)
+    first = np.searchsorted(start, at)
+    moved = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    return start - moved, end - moved, hash_spans(buf, start, end), first
+
+
+def word_hashes(col) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a string column as hashes and the n+1 offsets, as ``flat`` gives bytes."""
+    return word_places(*flat(col))[2:]
+
+
 def anchor_runs(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     """(text, first window, last window, anchor, gram hash, run hash) of every run; places within the text."""
     span = length - gram + 1
@@ -156,20 +177,20 @@ def blocks(data: np.ndarray, base: np.ndarray, lo: np.ndarray, hi: np.ndarray, a
 
 
 def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Byte strings as rows, zero-padded to ``width``."""
-    out = np.zeros((len(start), width), np.uint8)
+    """Strings of symbols as rows, zero-padded to ``width``."""
+    out = np.zeros((len(start), width), data.dtype)
     rows = np.repeat(np.arange(len(start)), size)
     out[rows, ragged(np.zeros(len(start), np.int64), size)] = data[ragged(start, size)]
     return out
 
 
 def sorted_side(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of byte rows within ascending groups, and each one's common prefix with the one before it."""
+    """The order of rows of symbols within ascending groups, and each one's common prefix with the one before it."""
     m, width = rows.shape
     each = -(-width // SYMBOLS)
-    wide = np.zeros((m, SYMBOLS * each), np.uint8)
+    wide = np.zeros((m, SYMBOLS * each), rows.dtype)
     wide[:, :width] = rows
-    symbols = np.ascontiguousarray(wide).view(f"V{each}").ravel()
+    symbols = np.ascontiguousarray(wide).view(f"V{each * rows.itemsize}").ravel()
     _, rank = np.unique(symbols, return_inverse=True)
     text = np.concatenate((group[:, None], rank.reshape(m, SYMBOLS) + int(group.max()) + 1), axis=1).ravel()
     order = suffix_array(text)
@@ -246,14 +267,17 @@ def _unsettled(runs: DataFrame, files: int | None = None) -> tuple[DataFrame, Da
     return settled, materialize(equal.join(loose, "gram").select("gram", "m", alone.alias("open"), "one.*"), "wanted", files)
 
 
-def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, lo, hi): starts lo..hi of repeated strings in the documents (k1, k2, text)."""
+def repeated_windows(docs: DataFrame, length: int, gram: int, symbols=flat) -> DataFrame:
+    """(k1, k2, lo, hi): starts lo..hi of repeated strings in the documents (k1, k2, text).
+
+    ``symbols`` reads a column's texts: ``flat`` as bytes, ``word_hashes`` as words.
+    """
     need = length - gram
 
     def runs(batches):
         """Runs that are equal in a batch are settled there: their stretches (gram null), and one of them for the rest of the table."""
         for b in batches:
-            data, off = flat(b.column("text"))
+            data, off = symbols(b.column("text"))
             t, lo, hi, q, g, f = anchor_runs(data, off, length, gram)
             order = np.lexsort((f, g))
             new = np.ones(len(order), bool)
@@ -289,14 +313,14 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         hot = wanted.where(F.col("m") > HOT)
         cold = wanted.where(F.col("m") <= HOT)
         if not cold.isEmpty():
-            spans = spans.unionByName(_sorted(docs, cold, length, gram))
+            spans = spans.unionByName(_sorted(docs, cold, length, gram, symbols))
         crowded = hot.count()
         if not crowded:
             return spans
 
         def cut(batches, step=step):
             for b in batches:
-                data, doc, base, k1, k2, g, op, lo, hi, at = _wanted(b)
+                data, doc, base, k1, k2, g, op, lo, hi, at = _wanted(b, symbols)
                 own, a, z, core, whole = blocks(data, base, lo, hi, at, length, gram, step)
                 core = mix(core ^ g[own].view(U64))
                 yield pa.RecordBatch.from_arrays(
@@ -324,9 +348,9 @@ def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(per, ["k1", "k2"]).select("k1", "k2", "text", "runs")
 
 
-def _wanted(b: pa.RecordBatch):
-    """The bytes of a batch of ``_beside``, and of each run: its text, where that begins, and the run's columns."""
-    data, off = flat(b.column("text"))
+def _wanted(b: pa.RecordBatch, symbols):
+    """The symbols of a batch of ``_beside``, and of each run: its text, where that begins, and the run's columns."""
+    data, off = symbols(b.column("text"))
     lists = b.column("runs")
     n = np.diff(lists.offsets.to_numpy())
     g, op, lo, hi, at = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -334,20 +358,21 @@ def _wanted(b: pa.RecordBatch):
     return data, doc, off[doc], b.column("k1").to_numpy()[doc], b.column("k2").to_numpy()[doc], g, op, *(x.astype(np.int64) for x in (lo, hi, at))
 
 
-def _sorted(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+def _sorted(docs: DataFrame, wanted: DataFrame, length: int, gram: int, symbols) -> DataFrame:
     """The repeated windows of the wanted runs that are open, by suffix arrays of their gram's contexts."""
     need = length - gram
+    kind = symbols(pa.array([], pa.string()))[0].dtype
 
     def contexts(batches):
-        """Bytes left (nearest first) and right of each wanted anchor."""
+        """Symbols left (nearest first) and right of each wanted anchor."""
         for b in batches:
-            data, doc, base, k1, k2, g, op, lo, hi, at = _wanted(b)
+            data, doc, base, k1, k2, g, op, lo, hi, at = _wanted(b, symbols)
             if not len(g):
                 continue
             ends = np.concatenate(([0], np.cumsum(at - lo))), np.concatenate(([0], np.cumsum(hi + length - at - gram)))
             left = data[::-1][ragged(len(data) - (base + at), at - lo)]
             right = data[ragged(base + at + gram, hi + length - at - gram)]
-            sides = [pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(e.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for e, x in zip(ends, (left, right))]
+            sides = [pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer((e * kind.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for e, x in zip(ends, (left, right))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g), pa.array(op), pa.array(k1), pa.array(k2), *(pa.array(x, pa.int32()) for x in (lo, hi, at)), *sides],
                 names=["gram", "open", "k1", "k2", "lo", "hi", "at", "before", "behind"],
@@ -361,7 +386,8 @@ def _sorted(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataF
         sides = []
         for c in ("before", "behind"):
             data, off = flat(t.column(c))
-            sides.append(_matrix(data, off[:-1], np.diff(off), need))
+            off //= kind.itemsize
+            sides.append(_matrix(data.copy().view(kind), off[:-1], np.diff(off), need))
         hit = repeated_in_groups(group, *sides, at - hi, at - lo, need)
         hit &= t.column("open").to_numpy(zero_copy_only=False)[:, None]
         r, a, z = _spans(hit, at)
@@ -384,8 +410,12 @@ def _bytes_removed(n: int, spans: np.ndarray, length: int) -> np.ndarray:
     return np.stack((start[at], stop[np.append(at[1:], len(start)) - 1]), axis=1)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``removed`` array<struct<start,stop>> and ``kept`` binary (what is left)."""
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None, words: int | None = None) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``removed`` array<struct<start,stop>> and ``kept`` binary (what is left).
+
+    With ``words``, also ``passages``, like ``removed`` the stretches that so many words in a row cover which
+    start anywhere else too, and ``rest`` binary: what is left without both.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     if gram is None:
@@ -393,13 +423,24 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None)
     docs, back = shield(docs, "doc_id", "text")
     own = docs.columns
     keyed = row_key(docs)
-    spans = repeated_windows(keyed.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text")), length, gram)
-    per = materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "removed")
+    texts = keyed.select("k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
+    spans = repeated_windows(texts, length, gram).withColumn("by_word", F.lit(False))
+    if words is not None:
+        spans = spans.unionByName(repeated_windows(texts, words, max(words // 3, 1), word_hashes).withColumn("by_word", F.lit(True)))
+    per = materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "by_word")).alias("spans")), "removed")
     filt = bloom(per, "k1", "k2")
     rows = with_bloom_places(keyed, "k1", "k2")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", n_bytes long, removed array<struct<start:int,stop:int>>, kept binary"
+    added = {"n_bytes": "long", "removed": "array<struct<start:int,stop:int>>", "kept": "binary"}
+    if words is not None:
+        added |= {"passages": "array<struct<start:int,stop:int>>", "rest": "binary"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + "".join(f", {c} {kind}" for c, kind in added.items())
     spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    pairs = lambda m: [{"start": int(a), "stop": int(z)} for a, z in m]
+
+    def without(text: bytes, m: np.ndarray) -> bytes:
+        edges = [0, *m.ravel().tolist(), len(text)]
+        return b"".join(text[a:z] for a, z in zip(edges[0::2], edges[1::2]))
 
     def cut(batches, concerned: bool):
         for b in batches:
@@ -408,20 +449,27 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None)
             data, off = flat(b.column("text"))
             n = np.diff(off)
             found = b.column("spans") if concerned else None
-            removed, kept = [], []
+            if concerned and words is not None:
+                start, end, _, first = word_places(data, off)
+            removed, kept, passages, rest = [], [], [], []
             whole = data.tobytes()
             for i in range(len(n)):
                 text = whole[off[i] : off[i + 1]]
-                s = found[i].as_py() if found is not None else None
-                if not s:
-                    removed.append([])
-                    kept.append(text)
+                s = (found[i].as_py() if found is not None else None) or []
+                m = _bytes_removed(len(text), np.array([(x["lo"], x["hi"]) for x in s if not x["by_word"]], np.int64), length)
+                removed.append(pairs(m))
+                kept.append(without(text, m) if len(m) else text)
+                own_words = np.array([(x["lo"], x["hi"]) for x in s if x["by_word"]], np.int64)
+                if not len(own_words):
+                    passages.append([])
+                    rest.append(None)  # as kept
                     continue
-                m = _bytes_removed(len(text), np.array([(x["lo"], x["hi"]) for x in s], np.int64), length)
-                removed.append([{"start": int(a), "stop": int(z)} for a, z in m])
-                edges = [0, *m.ravel().tolist(), len(text)]
-                kept.append(b"".join(text[a:z] for a, z in zip(edges[0::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n), pa.array(removed, spans_kind), pa.array(kept, pa.binary())], names=[*own, "n_bytes", "removed", "kept"])
+                places = np.stack((start[first[i] + own_words[:, 0]], end[first[i] + own_words[:, 1] + words - 1]), axis=1) - off[i]
+                w = _bytes_removed(len(text), places, 0)
+                passages.append(pairs(w))
+                rest.append(without(text, _bytes_removed(len(text), np.concatenate((m, w)), 0)))
+            results = {"n_bytes": pa.array(n), "removed": pa.array(removed, spans_kind), "kept": pa.array(kept, pa.binary()), "passages": pa.array(passages, spans_kind), "rest": pa.array(rest, pa.binary())}
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(results[c] for c in added)], names=[*own, *added])
 
     def maybe(batches):
         for b in batches:
@@ -430,18 +478,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None)
     clean = rows.select(*own, "_p1", "_p2").mapInArrow(lambda it: cut(it, False), schema)
     inner = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", k1 long, k2 long"
     near = rows.select(*own, "k1", "k2", "_p1", "_p2").mapInArrow(maybe, inner).join(per, ["k1", "k2"], "left")
-    return back(clean.unionByName(near.select(*own, "spans").mapInArrow(lambda it: cut(it, True), schema)))
+    out = clean.unionByName(near.select(*own, "spans").mapInArrow(lambda it: cut(it, True), schema))
+    return back(out if words is None else out.withColumn("rest", F.coalesce("rest", "kept")))
 
 
-def kept_text():
-    """``kept`` as text: a cut inside a character leaves bytes that are none, and these are dropped."""
-    left = F.col("kept").cast("string")
+def kept_text(column: str = "kept"):
+    """``kept`` or ``rest`` as text: a cut inside a character leaves bytes that are none, and these are dropped."""
+    left = F.col(column).cast("string")
     return F.coalesce(F.try_validate_utf8(left), F.regexp_replace(F.make_valid_utf8(left), "\ufffd", ""))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The repeats of 400 bytes by document; ``text`` is without them and without repeated passages of over fifty words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
-    return remove_repeats(docs, length=400).select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept_text().alias("text")
-    )
+    return remove_repeats(docs, length=400, words=PASSAGE).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"), kept_text("rest").alias("text"),
+    )

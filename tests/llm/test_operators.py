@@ -476,6 +476,55 @@ def test_op6(docs, table, length, hot, monkeypatch):
     assert got == want and sum(len(k[2]) for k in want) > 10
 
 
+@pytest.mark.parametrize("words,hot", [(51, 256), (20, 256), (6, 1), (3, 2)])
+def test_op6_passages(docs, table, words, hot, monkeypatch):
+    """Passages are words in a row that start anywhere else too, whatever blanks part them; the bytes' results stay."""
+    monkeypatch.setattr(op6_suffix_dedup, "HOT", hot)
+    out = collect(op6_suffix_dedup.remove_repeats(docs, length=400, words=words))
+    plain = collections.Counter((r["doc_id"], r["n_bytes"], str(r["removed"]), bytes(r["kept"])) for r in collect(op6_suffix_dedup.remove_repeats(docs, length=400)))
+    assert plain == collections.Counter((r["doc_id"], r["n_bytes"], str(r["removed"]), bytes(r["kept"])) for r in out)
+    texts = [(i, [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]) for i, t in table]
+    window = lambda w, p: tuple(x[2] for x in w[p : p + words])
+    starts = collections.Counter(window(w, p) for _, w in texts for p in range(len(w) - words + 1))
+    want = collections.Counter()
+    for (i, w), (_, t) in zip(texts, table):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(w) - words + 1):
+            if starts[window(w, p)] > 1:
+                gone[w[p][0] : w[p + words - 1][1]] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))))
+        want[i, len(b), tuple(zip(edge[0::2].tolist(), edge[1::2].tolist()))] += 1
+    assert want == collections.Counter((r["doc_id"], r["n_bytes"], tuple((x["start"], x["stop"]) for x in r["passages"])) for r in out)
+    assert sum(len(k[2]) for k in want) > 10
+    whole = collections.defaultdict(set)
+    for i, t in table:
+        whole[i].add((t or "").encode())
+    for r in out:
+        left = set()
+        for b in whole[r["doc_id"]]:
+            gone = np.zeros(len(b), bool)
+            for x in r["removed"] + r["passages"]:
+                gone[x["start"] : x["stop"]] = True
+            left.add(np.frombuffer(b, np.uint8)[~gone].tobytes() if len(b) == r["n_bytes"] else b"")
+        assert bytes(r["rest"]) in left
+
+
+def test_op6_short_passages(spark, tmp_path):
+    """A passage of 51 words under 400 bytes goes from the query's text, one of 50 stays; the contract's columns keep both."""
+    rng = random.Random(8)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    long, short = make(51), make(50)
+    around = [(make(30), make(30)) for _ in range(6)]
+    texts = [f"{a} {long} {b}" for a, b in around[:2]] + [f"{a} {short} {b}" for a, b in around[2:4]] + [f"{a} {long.replace(' ', '  ')} {b}" for a, b in around[4:]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in collect(op6_suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)))}
+    for i, t in enumerate(texts):
+        assert len(long) < 400 and out[i]["n_bytes"] == len(t) and out[i]["n_removed"] == out[i]["n_spans"] == 0
+        assert out[i]["kept_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        assert out[i]["text"] == (t if i in (2, 3) else "  ".join(around[i])) and out[i]["n_passages"] == (i not in (2, 3))
+
+
 # -- 7 -------------------------------------------------------------------------
 
 
