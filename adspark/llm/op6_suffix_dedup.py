@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat, hash_spans, mix, ragged, runs_of_words, spaced
-from .common import bloom, bloom_hits, bound_batches, buckets_for, files_for, lean, materialize, row_key, shield, with_bloom_places
+from .common import bloom, bloom_hits, bound_batches, buckets_for, files_for, lean, materialize, release, row_key, shield, with_bloom_places
 from .suffix_array import suffix_array
 
 U64 = np.uint64
@@ -252,26 +252,39 @@ RUN = "k1 long, k2 long, gram long, run long, lo int, hi int, at int"
 SPAN = "k1 long, k2 long, lo int, hi int"
 
 
-def _unsettled(runs: DataFrame, files: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _unsettled(runs: DataFrame, table, files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of ``runs`` (RUN and open: still to settle): spans repeated as a whole, and what to sort.
 
     That is one run of each class of the grams with a class that is alone and
-    open beside others; ``m`` is the number of the gram's classes.
+    open beside others; ``m`` is the number of the gram's classes. ``table`` is ``materialize``.
     """
-    equal = materialize(
+    equal = table(
         runs.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")), "equal", files
     )
     settled = runs.where("open").join(equal.select("gram", "run", "n"), ["gram", "run"]).where("n > 1").select("k1", "k2", "lo", "hi")
     alone = (F.col("n") == 1) & F.col("open")
     loose = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max(alone).alias("some")).where("some AND m > 1").select("gram", "m")
-    return settled, materialize(equal.join(loose, "gram").select("gram", "m", alone.alias("open"), "one.*"), "wanted", files)
+    return settled, table(equal.join(loose, "gram").select("gram", "m", alone.alias("open"), "one.*"), "wanted", files)
 
 
 def repeated_windows(docs: DataFrame, length: int, gram: int, symbols=flat) -> DataFrame:
     """(k1, k2, lo, hi): starts lo..hi of repeated strings in the documents (k1, k2, text).
 
-    ``symbols`` reads a column's texts: ``flat`` as bytes, ``word_hashes`` as words.
+    ``symbols`` reads a column's texts: ``flat`` as bytes, ``word_hashes`` as words. Its own tables go when the spans are written.
     """
+    made = []
+
+    def table(*args) -> DataFrame:
+        made.append(materialize(*args))
+        return made[-1]
+
+    spans = materialize(_repeated(docs, length, gram, symbols, table), "spans")
+    for t in made:
+        release(t)
+    return spans
+
+
+def _repeated(docs: DataFrame, length: int, gram: int, symbols, table) -> DataFrame:
     need = length - gram
 
     def runs(batches):
@@ -303,10 +316,10 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, symbols=flat) -> D
                 *(pa.array(x, pa.int32()) for x in (lo[rows], high, q[rows])), pa.array(~twice[rows]),
             ], names=["k1", "k2", "gram", "run", "lo", "hi", "at", "open"])
 
-    found = materialize(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN + ", open boolean"), "runs")
+    found = table(docs.select("k1", "k2", "text").mapInArrow(lean(runs), RUN + ", open boolean"), "runs")
     every, here = found.where("gram IS NOT NULL"), found.where("gram IS NULL").select("k1", "k2", "lo", "hi")
-    often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    spans, wanted = _unsettled(materialize(every.join(often, "gram"), "candidates"))
+    often = table(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    spans, wanted = _unsettled(table(every.join(often, "gram"), "candidates"), table)
     spans = spans.unionByName(here)
     # what is cut into blocks of windows, and those into single ones; a single window's classes are its grams, so none is left
     for step in (math.isqrt(need) + 1, 1):
@@ -330,7 +343,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, symbols=flat) -> D
 
         # a run has step blocks at most, and a block step windows
         files = files_for(crowded * (math.isqrt(need) + 1), ROWS_A_FILE)
-        more, wanted = _unsettled(materialize(_beside(docs, hot).mapInArrow(lean(cut), RUN + ", open boolean"), "blocks", files), files)
+        more, wanted = _unsettled(table(_beside(docs, hot).mapInArrow(lean(cut), RUN + ", open boolean"), "blocks", files), table, files)
         spans = spans.unionByName(more)
     return spans
 

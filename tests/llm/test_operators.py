@@ -525,6 +525,17 @@ def test_op6_short_passages(spark, tmp_path):
         assert out[i]["text"] == (t if i in (2, 3) else "  ".join(around[i])) and out[i]["n_passages"] == (i not in (2, 3))
 
 
+def test_op6_tables(docs, monkeypatch):
+    """The tables between are gone when the spans are written, by bytes and by words."""
+    import adspark.llm.common as common
+
+    names, gone = [], []
+    monkeypatch.setattr(op6_suffix_dedup, "materialize", lambda df, name, *a: (names.append(name), common.materialize(df, name, *a))[1])
+    monkeypatch.setattr(op6_suffix_dedup, "release", lambda df: (gone.append(df), common.release(df)))
+    op6_suffix_dedup.remove_repeats(docs, length=60, words=6).collect()
+    assert names.count("spans") == 2 and names.count("removed") == 1 and len(gone) == len(names) - 3
+
+
 # -- 7 -------------------------------------------------------------------------
 
 
