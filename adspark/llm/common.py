@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -23,6 +24,20 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+def pieces(batch, column: str, limit: int = PIECE_BYTES):
+    """An Arrow batch in parts of at most ``limit`` bytes of a text column, a row at least; rows keep their order."""
+    import numpy as np
+
+    from .bytesops import flat
+
+    _, off = flat(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where it is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -3,7 +3,7 @@
 The model file's protobuf is parsed here (pieces, scores, types, trainer and
 normaliser fields); the normaliser, the metaspace marker, the scores (Unigram,
 or the merges that a BPE model's scores stand for) and byte fallback are
-rebuilt as a ``tokenizers.Tokenizer``. Batches are encoded multithreaded.
+rebuilt as a ``tokenizers.Tokenizer``. A task encodes in one thread.
 Parity with the reference library is verified on every distinct segment that
 is encoded, so on all of each text.
 
@@ -15,6 +15,7 @@ those named ``ids``, ``round_trip`` or ``parity`` give way to the result's.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat
-from .common import bound_batches, lean, shield
+from .common import bound_batches, lean, pieces, shield
 from .segments import SegmentEncoder
 
 MARK = "▁"
@@ -208,6 +209,28 @@ def codec(blob: bytes, verify: bool) -> Codec:
     return Codec(blob, verify)
 
 
+def encoded(batches, text: str, names: list[str], blob: bytes, verify: bool):
+    """The columns ``names`` of Arrow batches with ids, round trip and parity of the texts.
+
+    A task has one core: the library's own threads would each keep their buffers as long as the worker lives.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    coder = codec(blob, verify)
+    for b in (x for whole in batches for x in pieces(whole, text)):
+        data, off = flat(b.column(text))
+        ids, n = coder.encode(data, off)
+        back, back_off = coder.decode(ids, n)
+        if np.array_equal(back_off, off) and np.array_equal(back, data):
+            same = np.ones(len(n), bool)
+        else:
+            same = np.array([bytes(back[a:c]) == bytes(data[d:e]) for a, c, d, e in zip(back_off[:-1], back_off[1:], off[:-1], off[1:])])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(x) for x in names), lists, pa.array(same), pa.array(~coder.odd)],
+            names=[*names, "ids", "round_trip", "parity"],
+        )
+
+
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verify: bool = True) -> DataFrame:
     """Add ``ids`` array<int>, ``round_trip`` (decoding gives the text back) and ``parity``
     (every segment of the text has the reference library's ids).
@@ -225,22 +248,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", verif
     names = [x.name for x in schema[:-3]]
 
     def run(batches):
-        coder = codec(blob, verify)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            data, off = flat(b.column(text))
-            ids, n = coder.encode(data, off)
-            back, back_off = coder.decode(ids, n)
-            if np.array_equal(back_off, off) and np.array_equal(back, data):
-                same = np.ones(len(n), bool)
-            else:
-                same = np.array([bytes(back[a:c]) == bytes(data[d:e]) for a, c, d, e in zip(back_off[:-1], back_off[1:], off[:-1], off[1:])])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(x) for x in names), lists, pa.array(same), pa.array(~coder.odd)],
-                names=[*names, "ids", "round_trip", "parity"],
-            )
+        yield from encoded(batches, text, names, blob, verify)
 
     return back(docs.mapInArrow(lean(run), schema))
 

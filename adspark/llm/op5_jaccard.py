@@ -405,7 +405,7 @@ def _stars(groups: DataFrame) -> DataFrame:
                 best = best[first]
                 yield _pair_batch(table[h[best]], table[x[best]])
 
-    return groups.select("sizes", "members", "classes", "often").mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return groups.select("sizes", "members", "classes", "often").mapInArrow(lean(run), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool, slices: int) -> DataFrame:
@@ -495,7 +495,7 @@ def _rest(groups: DataFrame, known: DataFrame, num: int, den: int, every: bool,
         both = np.unique(np.frombuffer(b"".join(t.column("pairs").to_pylist()), "V32"))
         return pa.table({x: pa.array([v.tobytes()[i : i + 16] for v in both], pa.binary()) for x, i in (("a", 0), ("b", 16))})
 
-    asked = groups.select("bucket", "piece", "classes").mapInArrow(names, "slice int, bucket int, piece long, cids binary")
+    asked = groups.select("bucket", "piece", "classes").mapInArrow(lean(names), "slice int, bucket int, piece long, cids binary")
     slice_of = F.conv(F.hex(F.substring("cid", 1, 7)), 16, 10).cast("bigint") % slices
     who = (
         known.withColumn("slice", slice_of.cast("int")).groupBy("slice").cogroup(asked.groupBy("slice"))
@@ -516,7 +516,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     files = files_for(pairs.count(), PAIRS_A_FILE)
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    live = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(sieve, "a binary, b binary"), "pairs", files)
+    live = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(lean(sieve), "a binary, b binary"), "pairs", files)
     used = live.select(F.col("a").alias("cid")).unionByName(live.select(F.col("b").alias("cid"))).distinct()
     where = classes.join(used, "cid").select("cid", F.col("row.doc_id").alias("doc_id"), F.col("row.k2").alias("k2"))
 
@@ -542,7 +542,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = live.join(known.select(F.col("cid").alias("a"), F.col("features").alias("fa")), "a").join(known.select(F.col("cid").alias("b"), F.col("features").alias("fb")), "b")
-    return materialize(joined.select("a", "b", "fa", "fb").mapInArrow(test, "a binary, b binary").distinct(), "linked", files)
+    return materialize(joined.select("a", "b", "fa", "fb").mapInArrow(lean(test), "a binary, b binary").distinct(), "linked", files)
 
 
 def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, keyed: bool = False) -> DataFrame:

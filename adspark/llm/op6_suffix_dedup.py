@@ -357,7 +357,7 @@ def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(bloom_hits(filt.value, b))).select(["k1", "k2", "text"])
 
-    texts = with_bloom_places(docs.select("k1", "k2", "text"), "k1", "k2").mapInArrow(maybe, "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
+    texts = with_bloom_places(docs.select("k1", "k2", "text"), "k1", "k2").mapInArrow(lean(maybe), "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
     return texts.join(per, ["k1", "k2"]).select("k1", "k2", "text", "runs")
 
 
@@ -455,6 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None,
         edges = [0, *m.ravel().tolist(), len(text)]
         return b"".join(text[a:z] for a, z in zip(edges[0::2], edges[1::2]))
 
+    @lean
     def cut(batches, concerned: bool):
         for b in batches:
             if not concerned:
@@ -490,7 +491,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None,
 
     clean = rows.select(*own, "_p1", "_p2").mapInArrow(lambda it: cut(it, False), schema)
     inner = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", k1 long, k2 long"
-    near = rows.select(*own, "k1", "k2", "_p1", "_p2").mapInArrow(maybe, inner).join(per, ["k1", "k2"], "left")
+    near = rows.select(*own, "k1", "k2", "_p1", "_p2").mapInArrow(lean(maybe), inner).join(per, ["k1", "k2"], "left")
     out = clean.unionByName(near.select(*own, "spans").mapInArrow(lambda it: cut(it, True), schema))
     return back(out if words is None else out.withColumn("rest", F.coalesce("rest", "kept")))
 

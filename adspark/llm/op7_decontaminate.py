@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, flat, hash_spans, mix, runs_of_words, spaced
-from .common import bound_batches
+from .common import bound_batches, lean, pieces
 
 U64 = np.uint64
 NUM, NAME, UNIT = U64(1), U64(2), U64(3)
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, cover: f
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches):
-            for b in batches:
+            for b in (x for whole in batches for x in pieces(whole, "text")):
                 data, off = flat(b.column("text"))
                 got = shared.value.matches(data, off, cover)
                 if got:
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, cover: f
                     cols = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), 1)]
                     yield pa.RecordBatch.from_arrays([*own, *cols], names=[*keys, "item_id", "windows", "found", "slots", "verbatim"])
 
-        return docs.select(*keys, "text").mapInArrow(run, schema)
+        return docs.select(*keys, "text").mapInArrow(lean(run), schema)
 
     out, items, size = None, [], 0
     parts = []

@@ -6,15 +6,19 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adspark.llm import (
     op1_ppm, op2_shards, op3_sentencepiece, op4_chat, op5_jaccard, op6_suffix_dedup, op7_decontaminate, op8_embeddings, op9_quality, op10_tokenstore,
 )
 from adspark.llm import queries as registered
+from adspark.llm.common import pieces
 from adspark.llm.suffix_array import repeated_starts, suffix_array
 
 
@@ -241,6 +245,38 @@ def test_op3(spark, sf, table):
         assert (sp.encode(t or ""), True, True) in own[i]
 
 
+def test_pieces_of_a_batch():
+    texts = ["a" * 700, None, "é" * 300, "", "b" * 2500, "c", "d" * 999, None]
+    b = pa.record_batch({"id": list(range(8)), "text": texts})
+    for whole in (b, b.slice(2, 5), b.slice(0, 0)):
+        parts = list(pieces(whole, "text", 1000))
+        assert [r for p in parts for r in p.to_pylist()] == whole.to_pylist()
+        assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 1000 for p in parts)
+    assert len(list(pieces(b, "text", 1000))) == 4
+
+
+def test_op3_a_task_keeps_no_threads():
+    """A worker lives on between stages, and with it the threads of a library and their buffers."""
+    code = """
+import os, pyarrow as pa
+from adspark.llm import op3_sentencepiece as op
+texts = [" ".join(f"word{(i * j) % 5003}" for j in range(2000)) for i in range(300)] + [None, ""]
+batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+blob = open(op.model_file(), "rb").read()
+before = len(os.listdir("/proc/self/task"))
+out = list(op.encoded([batch], "text", ["doc_id"], blob, True))
+after = len(os.listdir("/proc/self/task"))
+assert sum(b.num_rows for b in out) == len(texts) and len(out) > 2, len(out)
+assert all(x for b in out for c in ("round_trip", "parity") for x in b.column(c).to_pylist())
+assert after <= before, (before, after)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    path = os.pathsep.join(p for p in (root, env.get("PYTHONPATH")) if p)
+    done = subprocess.run([sys.executable, "-c", code], env=env | {"PYTHONPATH": path}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_op3_unigram_rebuild():
     pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("▁ab", -1.0, 1), ("ab", -2.5, 1)]
     tok = op3_sentencepiece.build({"pieces": pieces, "kind": 1, "byte_fallback": False, "unk_id": 0, "charsmap": b"", "squeeze": False, "escape": True})
